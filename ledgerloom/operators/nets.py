@@ -17,6 +17,7 @@ def batch_nets(settlement: DataFrame) -> DataFrame:
         F.max_by(F.when(F.col("utr") != "", F.col("utr")), with_utr).alias("utr"),
         F.min("line_no").alias("batch_seq"),
         F.min("settled_on").alias("first_settled_on"),
+        F.max("settled_on").alias("max_settled_on"),
     )
 
 
