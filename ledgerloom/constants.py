@@ -115,13 +115,13 @@ DATE_PATTERNS = (
 # Phrases that do not belong in a bank narration (fixed values).
 INJECTION_PATTERNS = (
     ("instruction_override",
-     r"(?i)\b(ignore|disregard|forget)\b.{0,20}\b(previous|prior|above|all)\b"),
+     r"(?id)\b(ignore|disregard|forget)\b.{0,20}\b(previous|prior|above|all)\b"),
     ("role_switch",
      r"(?i)\b(you are now|act as|system prompt|as an ai|new instructions?)\b"),
     ("directive",
-     r"(?i)\b(mark|treat|classify|report)\b.{0,30}\b(as )?(reconciled|matched|clean|resolved)\b"),
+     r"(?id)\b(mark|treat|classify|report)\b.{0,30}\b(as )?(reconciled|matched|clean|resolved)\b"),
     ("confidence_forcing",
-     r"(?i)\b(confidence|certainty)\b.{0,15}\b(1\.0|100%|maximum|highest)\b"),
+     r"(?id)\b(confidence|certainty)\b.{0,15}\b(1\.0|100%|maximum|highest)\b"),
     ("delimiter_break",
      r"(?i)(```|\"\"\"|</?\s*(system|instructions?|prompt)\s*>)"),
     ("json_injection",

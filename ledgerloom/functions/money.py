@@ -48,7 +48,7 @@ def within_tolerance(difference: Column) -> Column:
 
 def first_digit(amount: Column) -> Column:
     """First non-zero digit of a positive amount, null when there is none."""
-    digit = F.regexp_extract(F.abs(amount).cast("string"), r"^[0.]*([1-9])", 1)
+    digit = F.substring(F.ltrim(F.abs(amount).cast("string"), F.lit("0.")), 1, 1)
     return F.when(digit != "", digit.cast("int"))
 
 

@@ -8,33 +8,39 @@ from .. import constants as K
 from ..functions.money import fee_at, gst_on, implied_rate, lit_money
 from ..functions.rulebook import RuleBook
 from .rows import exception, finding, text_map
-from .scale import skew_join
+from .scale import materialise, skew_join
 
 
 def fee_checks(settlement: DataFrame, book: RuleBook) -> tuple[DataFrame, DataFrame]:
     """Overcharged rows as findings; a rate most of a method pays as one question."""
+    paid = F.col("fee").cast("double") / F.col("gross_amount").cast("double")
+    # Most rows are far below the margin; only the rest needs exact decimals.
+    maybe = paid > F.col("rate").cast("double") + float(K.RATE_MARGIN) * 0.8
+    implied = F.when(maybe, implied_rate())
+    fair = F.when(maybe, fee_at(F.col("rate")))
     rated = (
         settlement.filter("txn_type = 'payment' and gross_amount > 0")
         .select("close_id", "line_no", "txn_id", "method", "gross_amount", "fee", "gst_on_fee",
-                book.contracted_rate(F.col("method")).alias("rate"),
-                implied_rate().alias("implied"))
-        .withColumn("fair_fee", fee_at(F.col("rate")))
-        .withColumn("over", (F.col("implied") > F.col("rate") + F.lit(K.RATE_MARGIN)) & (
-            F.col("fee") - F.col("fair_fee") > F.lit(K.FEE_ROUNDING_ALLOWANCE)))
+                book.contracted_rate(F.col("method")).alias("rate"))
+        .withColumn("implied", implied).withColumn("fair_fee", fair)
+        .withColumn("over", F.coalesce(
+            (F.col("implied") > F.col("rate") + F.lit(K.RATE_MARGIN))
+            & (F.col("fee") - F.col("fair_fee") > F.lit(K.FEE_ROUNDING_ALLOWANCE)),
+            F.lit(False)))
         .withColumn("bucket", F.when(F.col("over"), F.bround("implied", 3)))
     )
     counts = rated.groupBy("close_id", "method", "rate", "bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line"))
     modal = F.max(F.when(F.col("bucket").isNotNull(), F.struct(
         "n", (-F.col("first_line")).alias("earliest"), "bucket")))
-    cards = (
+    cards = materialise(
         counts.groupBy("close_id", "method", "rate")
         .agg(F.sum("n").alias("total"), modal.alias("modal"))
         .filter((F.col("modal.n") >= K.SYSTEMATIC_MIN_ROWS)
                 & (F.col("modal.n") / F.col("total") >= K.SYSTEMATIC_MIN_SHARE))
         .select("close_id", "method", "rate", F.col("modal.bucket").alias("bucket"),
-                F.col("modal.n").alias("n"), (-F.col("modal.earliest")).alias("line_no"))
-    )
+                F.col("modal.n").alias("n"), (-F.col("modal.earliest")).alias("line_no")),
+        "rate-cards")
     context = text_map(method=F.col("method"), implied_rate=F.col("bucket"),
                        assumed_rate=F.col("rate").cast("decimal(10,4)"),
                        rows_at_this_rate=F.col("n"))
@@ -56,47 +62,81 @@ def fee_checks(settlement: DataFrame, book: RuleBook) -> tuple[DataFrame, DataFr
 
 
 def duplicate_captures(settlement: DataFrame) -> DataFrame:
-    """Payments of one order and amount after the one with the smallest id."""
+    """Payments of one order and amount after the one with the smallest id.
+
+    Repeated keys are counted first on narrow rows; only their payments are looked at.
+    """
+    keys = ["close_id", "order_id", "gross_amount"]
     paid = settlement.filter("txn_type = 'payment' and order_id != ''").select(
-        "close_id", "order_id", "gross_amount", "txn_id", "line_no")
+        *keys, "txn_id", "line_no")
+    repeated = materialise(
+        paid.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"),
+        "repeated")
+    suspects = skew_join(paid, repeated, keys, "left_semi")
     mark = F.struct("txn_id", "line_no")
-    repeated = (
-        paid.groupBy("close_id", "order_id", "gross_amount")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(mark).alias("original"))
-        .filter("n > 1").drop("n")
-    )
-    rows = skew_join(paid, repeated, ["close_id", "order_id", "gross_amount"]).filter(
-        mark != F.col("original"))
+    originals = suspects.groupBy(*keys).agg(F.min(mark).alias("original"))
+    rows = skew_join(suspects, originals, keys).filter(mark != F.col("original"))
     return finding(rows, "duplicate_capture", F.col("txn_id"), K.L0, 1.0, F.col("gross_amount"),
                    text_map(order_id=F.col("order_id"), original_txn_id=F.col("original.txn_id"),
                             duplicate_txn_id=F.col("txn_id"), amount=F.col("gross_amount")), 20)
 
 
-def ledger_coverage(settlement: DataFrame, ledger: DataFrame, duplicates: DataFrame) -> DataFrame:
+def one_sided(settlement: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Transactions only one of settlement and ledger knows, found in a single shuffle."""
+    def side(df, name):
+        return df.select("close_id", F.coalesce("txn_id", F.lit("")).alias("txn_id"),
+                         F.lit(name).alias("side"))
+
+    sides = side(settlement, 1).unionByName(side(ledger, 2))
+    return materialise(
+        sides.groupBy("close_id", "txn_id").agg(F.min("side").alias("side"),
+                                                F.max("side").alias("other"))
+        .filter("side = other").drop("other"), "one-sided")
+
+
+def _only_in(rows: DataFrame, gaps: DataFrame, side: int) -> DataFrame:
+    filled = rows.withColumn("txn_id", F.coalesce("txn_id", F.lit("")))
+    lone = gaps.filter(F.col("side") == side).select("close_id", "txn_id")
+    return skew_join(filled, lone, ["close_id", "txn_id"], "left_semi")
+
+
+def ledger_coverage(settlement: DataFrame, gaps: DataFrame, duplicates: DataFrame) -> DataFrame:
     """Settled payments the ledger does not know, apart from known duplicates."""
-    keys = ["close_id", "txn_id"]
     paid = settlement.filter("txn_type = 'payment'").select(
-        *keys, "line_no", "order_id", "gross_amount", "settlement_batch_id")
+        "close_id", "txn_id", "line_no", "order_id", "gross_amount", "settlement_batch_id")
     known = duplicates.select("close_id", F.col("subject_id").alias("txn_id")).distinct()
-    rows = skew_join(paid, ledger.select(*keys).distinct(), keys, "left_anti").join(
-        known, keys, "left_anti")
+    rows = skew_join(_only_in(paid, gaps, 1), known, ["close_id", "txn_id"], "left_anti")
     return finding(rows, "missing_ledger_entry", F.col("txn_id"), K.L0, 1.0,
                    F.col("gross_amount"),
                    text_map(order_id=F.coalesce("order_id", F.lit("")),
                             amount=F.col("gross_amount"), batch=F.col("settlement_batch_id")), 30)
 
 
+def unsettled_revenue(settlement: DataFrame, ledger: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Ledger entries a week or more old that no settlement row mentions."""
+    latest = settlement.groupBy("close_id").agg(F.max("settled_on").alias("latest"))
+    rows = skew_join(_only_in(ledger, gaps, 2), latest, ["close_id"]).filter(
+        F.col("created_at") <= F.date_sub("latest", K.UNSETTLED_HORIZON_DAYS))
+    return finding(rows, "unsettled_revenue", F.col("txn_id"), K.L0, 1.0, F.col("amount"),
+                   text_map(order_id=F.col("order_id"), amount=F.col("amount"),
+                            created_at=F.col("created_at"),
+                            aged_days=F.datediff("latest", "created_at"),
+                            status=F.col("status")), 50)
+
+
 def cross_cycle_refunds(settlement: DataFrame) -> DataFrame:
     """Refunds settled in another batch than the payment they reverse."""
+    keys = ["close_id", "order_id"]
     with_order = settlement.filter("order_id != ''").select(
-        "close_id", "order_id", "txn_type", "txn_id", "line_no", "settlement_batch_id",
-        "gross_amount")
+        *keys, "txn_type", "txn_id", "line_no", "settlement_batch_id", "gross_amount")
+    refunds = with_order.filter("txn_type = 'refund'")
+    refunded = materialise(refunds.select(*keys).distinct(), "refunded")
     origins = (
-        with_order.filter("txn_type = 'payment'").groupBy("close_id", "order_id")
-        .agg(F.max_by("settlement_batch_id", "line_no").alias("payment_batch"))
+        skew_join(with_order.filter("txn_type = 'payment'").select(
+            *keys, "settlement_batch_id", "line_no"), refunded, keys, "left_semi")
+        .groupBy(*keys).agg(F.max_by("settlement_batch_id", "line_no").alias("payment_batch"))
     )
-    rows = skew_join(with_order.filter("txn_type = 'refund'"), origins,
-                     ["close_id", "order_id"]).filter(
+    rows = skew_join(refunds, origins, keys).filter(
         "payment_batch != '' and payment_batch != settlement_batch_id")
     return finding(rows, "cross_cycle_refund", F.col("txn_id"), K.L0, 1.0, F.col("gross_amount"),
                    text_map(order_id=F.col("order_id"), payment_batch=F.col("payment_batch"),
@@ -104,20 +144,6 @@ def cross_cycle_refunds(settlement: DataFrame) -> DataFrame:
                             amount=F.col("gross_amount")), 40)
 
 
-def unsettled_revenue(settlement: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Ledger entries a week or more old that no settlement row mentions."""
-    keys = ["close_id", "txn_id"]
-    latest = settlement.groupBy("close_id").agg(F.max("settled_on").alias("latest"))
-    missing = skew_join(ledger, settlement.select(*keys).distinct(), keys, "left_anti")
-    rows = skew_join(missing, latest, ["close_id"]).filter(
-        F.col("created_at") <= F.date_sub("latest", K.UNSETTLED_HORIZON_DAYS))
-    return finding(rows, "unsettled_revenue", F.col("txn_id"), K.L0, 1.0, F.col("amount"),
-                   text_map(order_id=F.col("order_id"), amount=F.col("amount"),
-                            created_at=F.col("created_at"),
-                            aged_days=F.datediff("latest", "created_at"),
-                            status=F.col("status")), 50)
-
-
 def chargeback_holds(settlement: DataFrame) -> DataFrame:
     rows = settlement.filter("txn_type = 'chargeback_hold'")
     return finding(rows, "chargeback_hold", F.col("txn_id"), K.L0, 1.0, F.col("gross_amount"),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .. import constants as K, schemas as S
 from ..functions.rulebook import RuleBook
 from .rows import union_all
-from .scale import amount_window_join, materialise, skew_join
+from .scale import amount_window_join, materialise, materialise_all, skew_join
 
 CREDIT_FIELDS = ("value_date", "line_no", "bank_txn_id", "credit_amount", "adj", "adj_rule",
                  "utr_x", "has_ref", "narration")
@@ -185,18 +185,21 @@ def settle(wanted: DataFrame, contested: str, name: str) -> DataFrame:
     """Decide one stage: a demand is accepted when nobody else wants its credits.
 
     With ``contested='earliest'`` the batch that comes first in its report takes them.
+    Demands for one credit differ in date or amount and must lie within the tolerance
+    and the window, so the rivals looked at together are few whatever the volume.
     """
-    wanted = materialise(wanted, f"{name}-wanted")
-    asks = wanted.select(*DEMAND, "n_batches", "batch_seq",
-                         F.explode("credits.bank_txn_id").alias("bank_txn_id"))
-    rivals = asks.groupBy("close_id", "bank_txn_id").agg(
-        F.sum("n_batches").alias("_wants"), F.min("batch_seq").alias("_first"))
-    alone = F.col("_wants") == 1 if contested == "park" else F.col("_first") == F.col("batch_seq")
-    verdict = (
-        skew_join(asks, rivals, ["close_id", "bank_txn_id"], spread_by="batch_seq")
-        .groupBy(*DEMAND).agg(F.min(alone).alias("accepted"))
-    )
-    return materialise(wanted.join(verdict, [*DEMAND]), f"{name}-settled")
+    asks = wanted.select(*DEMAND, "n_batches", "batch_id", "batch_seq", "adj", "rule",
+                         F.posexplode("credits").alias("n", "c"))
+    rivals = W.partitionBy("close_id", "c.bank_txn_id")
+    if contested == "park":
+        alone = F.sum("n_batches").over(rivals) == 1
+    else:
+        alone = F.min("batch_seq").over(rivals) == F.col("batch_seq")
+    credits = F.transform(F.array_sort(F.collect_list(F.struct("n", "c"))), lambda x: x["c"])
+    return materialise(
+        asks.withColumn("alone", alone)
+        .groupBy(*DEMAND, "n_batches", "batch_id", "batch_seq", "adj", "rule")
+        .agg(credits.alias("credits"), F.min("alone").alias("accepted")), name)
 
 
 def _stage_matches(settled: DataFrame, layer, confidence, method) -> DataFrame:
@@ -228,12 +231,14 @@ def match_batches(batches: DataFrame, credits: DataFrame, book: RuleBook,
         raise ValueError("contested must be 'park' or 'earliest'")
     last_day = K.WINDOW_DAYS + book.extra_lag_days()
     claimed = reference_credits(batches, credits)
-    by_reference = materialise(reference_matches(batches, claimed), "by-reference")
     taken = [claimed.select(*S.MATCH_CREDITS.names)]
-    open_batches = materialise(
-        batches.join(by_reference, ["close_id", "batch_id"], "left_anti"), "open-batches")
-    open_credits = materialise(
-        credits.join(taken[0], ["close_id", "bank_txn_id"], "left_anti"), "open-credits")
+    first = materialise_all({
+        "by-reference": reference_matches(batches, claimed),
+        "open-batches": skew_join(batches, claimed.select("close_id", "batch_id").distinct(),
+                                  ["close_id", "batch_id"], "left_anti", spread_by="batch_seq"),
+        "open-credits": credits.join(taken[0], ["close_id", "bank_txn_id"], "left_anti"),
+    })
+    by_reference, open_batches, open_credits = first.values()
 
     subset_rule = F.col("rule").isNotNull()
     stages = [("exact", wants_exact, F.lit(K.L1), 0.95, F.lit("amount_date_window"))]

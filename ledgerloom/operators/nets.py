@@ -9,16 +9,23 @@ from .. import schemas as S
 
 
 def batch_nets(settlement: DataFrame) -> DataFrame:
-    """Expected payout per batch with its last date, last reference and first line."""
-    with_utr = F.when(F.col("utr") != "", F.col("line_no"))
-    return settlement.groupBy("close_id", F.col("settlement_batch_id").alias("batch_id")).agg(
-        F.sum(net_amount()).cast(S.TOTAL).alias("expected"),
-        F.max_by("settled_on", "line_no").alias("settled_on"),
-        F.max_by(F.when(F.col("utr") != "", F.col("utr")), with_utr).alias("utr"),
-        F.min("line_no").alias("batch_seq"),
-        F.min("settled_on").alias("first_settled_on"),
-        F.max("settled_on").alias("max_settled_on"),
-    )
+    """Expected payout per batch with its last date, last reference and first line.
+
+    The reference is a key of the first pass, so that pass holds only fixed-width
+    sums and dates and reduces the rows before they travel.
+    """
+    by_reference = settlement.groupBy(
+        "close_id", F.col("settlement_batch_id").alias("batch_id"), "utr").agg(
+        F.sum(net_amount()).alias("part"), F.max("line_no").alias("last_line"),
+        F.min("line_no").alias("first_line"), F.max_by("settled_on", "line_no").alias("last_day"),
+        F.min("settled_on").alias("low_day"), F.max("settled_on").alias("high_day"))
+    named = F.col("utr") != ""
+    return by_reference.groupBy("close_id", "batch_id").agg(
+        F.sum("part").cast(S.TOTAL).alias("expected"),
+        F.max_by("last_day", "last_line").alias("settled_on"),
+        F.max_by(F.when(named, F.col("utr")), F.when(named, F.col("last_line"))).alias("utr"),
+        F.min("first_line").alias("batch_seq"), F.min("low_day").alias("first_settled_on"),
+        F.max("high_day").alias("max_settled_on"))
 
 
 def prepare_credits(bank: DataFrame, book: RuleBook) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .. import constants as K
@@ -34,6 +36,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_all(frames: dict) -> dict[str, DataFrame]:
+    """Write independent intermediate tables at the same time, each by its own Spark jobs.
+
+    A value is a DataFrame or a function that makes one.
+    """
+    def write(made, name):
+        return materialise(made() if callable(made) else made, name)
+
+    spark = SparkSession.getActiveSession()
+    with ThreadPoolExecutor(max_workers=max(1, len(frames))) as pool:
+        running_jobs = {name: pool.submit(inheritable_thread_target(spark)(write), made, name)
+                        for name, made in frames.items()}
+        return {name: job.result() for name, job in running_jobs.items()}
+
+
 def planned_bytes(df: DataFrame) -> int | None:
     """Size of a relation as the optimizer estimates it, null when it cannot be asked."""
     try:
@@ -43,15 +60,26 @@ def planned_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Is the relation known to be small enough for Spark to broadcast it by itself?"""
+    size = planned_bytes(df)
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    limit = int(str(limit).rstrip("b")) if str(limit).rstrip("b").lstrip("-").isdigit() else 0
+    return size is not None and size <= limit
+
+
 def skew_join(left, right, on, how="inner", spread_by="line_no", force=None) -> DataFrame:
     """Equi join of many left rows to a right side with few rows per key.
 
-    Keys that hold more than ``HOT_SHARE`` of the left rows are found by a frequent
-    items pass, which returns at most ``1 / HOT_SHARE`` of them, so that list is
-    broadcast. Only their left rows are salted and only their right rows copied.
+    A right side of known small size is left to Spark to broadcast, and a left side
+    that fits one task needs nothing. Otherwise keys that hold more than ``HOT_SHARE``
+    of the left rows are found by a frequent items pass, which returns at most
+    ``1 / HOT_SHARE`` of them, so that list is broadcast. Only their left rows are
+    salted and only their right rows copied.
     """
     size = planned_bytes(left)
-    split = force if force is not None else (size is None or size > ONE_TASK_BYTES)
+    split = force if force is not None else (
+        (size is None or size > ONE_TASK_BYTES) and not fits_broadcast(right))
     if not split:
         return left.join(right, on, how)
     salts = max(4, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 4)

@@ -10,7 +10,7 @@ from .. import constants as K
 from ..functions.rulebook import RuleBook
 from ..operators import checks, forensics, matching, nets, post_match
 from ..operators.rows import union_all
-from ..operators.scale import materialise
+from ..operators.scale import materialise, materialise_all
 
 
 @dataclass
@@ -37,43 +37,56 @@ class Close:
         return matching.candidates(self.open_batches, self.open_credits, last_day)
 
 
-def match(settlement: DataFrame, bank: DataFrame, book: RuleBook, contested="park"):
-    """Batches, prepared credits and the outcome of matching them, written once."""
-    batches = materialise(nets.batch_nets(settlement), "batches")
-    credits = materialise(nets.prepare_credits(bank, book), "credits")
-    matched = {name: materialise(df, name) for name, df in
-               matching.match_batches(batches, credits, book, contested).items()}
-    return batches, credits, matched
-
-
 def close(settlement: DataFrame, bank: DataFrame, ledger: DataFrame,
           book: RuleBook | None = None, contested: str = "park") -> Close:
-    """Run every deterministic check. Duplicates are known before ledger coverage."""
+    """Run every deterministic check. Duplicates are known before ledger coverage.
+
+    Jobs that do not need each other run side by side: the row checks go along with
+    the preparation of batches and credits, and the outputs are written together.
+    """
     book = book or RuleBook()
-    batches, credits, m = match(settlement, bank, book, contested)
-    fees, rate_cards = checks.fee_checks(settlement, book)
-    duplicates = checks.duplicate_captures(settlement)
-    findings = union_all([
-        fees, duplicates,
-        checks.ledger_coverage(settlement, ledger, duplicates),
-        checks.cross_cycle_refunds(settlement),
-        checks.unsettled_revenue(settlement, ledger),
-        checks.chargeback_holds(settlement),
-        post_match.match_findings(batches, m["matches"]),
-    ])
-    counts = checks.source_counts(settlement, bank, ledger)
-    exceptions = union_all([
-        post_match.suspicious_narrations(bank),
-        checks.missing_sources(counts),
-        forensics.fabricated_amounts(settlement),
-        rate_cards,
-        post_match.stale_rules(m["matches"], book),
-        post_match.open_items(m["open_batches"], m["open_credits"]),
-    ])
+
+    def captures():
+        found = materialise(checks.duplicate_captures(settlement), "duplicates")
+        gaps = checks.one_sided(settlement, ledger)
+        return union_all([
+            found, checks.ledger_coverage(settlement, gaps, found),
+            checks.unsettled_revenue(settlement, ledger, gaps),
+            checks.chargeback_holds(settlement),
+        ])
+
+    def charges():
+        fees, questions = checks.fee_checks(settlement, book)
+        rate_cards["df"] = questions
+        return fees
+
+    rate_cards: dict = {}
+    ready = materialise_all({
+        "batches": lambda: nets.batch_nets(settlement),
+        "credits": lambda: nets.prepare_credits(bank, book),
+        "captures": captures, "charges": charges,
+        "refunds": lambda: checks.cross_cycle_refunds(settlement),
+        "row-exceptions": lambda: post_match.suspicious_narrations(bank).unionByName(
+            forensics.fabricated_amounts(settlement)),
+        "source-counts": lambda: checks.source_counts(settlement, bank, ledger),
+    })
+    batches, credits = ready["batches"], ready["credits"]
+    m = matching.match_batches(batches, credits, book, contested)
+    m = materialise_all(m)
+    out = materialise_all({
+        "findings": lambda: union_all([
+            ready["charges"], ready["captures"], ready["refunds"],
+            post_match.match_findings(batches, m["matches"])]),
+        "exceptions": lambda: union_all([
+            ready["row-exceptions"], rate_cards["df"], checks.missing_sources(ready["source-counts"]),
+            post_match.stale_rules(m["matches"], book),
+            post_match.open_items(m["open_batches"], m["open_credits"]),
+        ]),
+    })
     return Close(
         settlement, bank, ledger, batches, credits, m["matches"], m["match_credits"],
-        materialise(findings, "findings"), materialise(exceptions, "exceptions"),
-        materialise(counts, "source-counts"), m["open_batches"], m["open_credits"], book)
+        out["findings"], out["exceptions"], ready["source-counts"], m["open_batches"],
+        m["open_credits"], book)
 
 
 def match_rate(matches: DataFrame) -> DataFrame:

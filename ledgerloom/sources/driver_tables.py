@@ -40,7 +40,13 @@ def _month_end(mi):
     return F.last_day(F.make_date(year, (mi - year * 12).cast("int"), F.lit(1)))
 
 
-def settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _close_id(sk, year, yearly: bool):
+    """One close per supplier, or one per supplier and year."""
+    name = F.concat(F.lit("sup_"), sk.cast("string"))
+    return F.concat(name, F.lit("_"), year.cast("string")) if yearly else name
+
+
+def settlement(spark: SparkSession, sf_dir: str, yearly: bool = False) -> DataFrame:
     """Payments with refunds, holds and repeated captures mixed in."""
     ref = F.concat_ws("_", F.col("ok").cast("string"), F.col("cents").cast("string"))
     tagged = _base(spark, sf_dir).withColumn("kinds", F.array_compact(F.array(
@@ -65,7 +71,7 @@ def settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
                    _month(F.col("smi")).cast("string"))
     rows = rows.withColumn("fee", fee)
     return rows.select(
-        F.concat(F.lit("sup_"), F.col("sk").cast("string")).alias("close_id"),
+        _close_id(F.col("sk"), F.floor((F.col("smi") - 1) / 12), yearly).alias("close_id"),
         (F.col("ok") * 1000000000 + F.col("cents") * 10 + F.col("k")).alias("line_no"),
         F.when(kind == "pay", F.concat(F.lit("pay_"), "ref"))
         .when(kind == "dup", F.concat(F.lit("pay_"), "ref", F.lit("_d")))
@@ -83,7 +89,7 @@ def settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ledger(spark: SparkSession, sf_dir: str, yearly: bool = False) -> DataFrame:
     """Most payments, and some orders that never settled."""
     base = _base(spark, sf_dir).withColumn("ref", F.concat_ws(
         "_", F.col("ok").cast("string"), F.col("cents").cast("string")))
@@ -93,7 +99,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(known, "pay"), F.when(lost, "lost")))).alias("kind"))
     kept = F.col("kind") == "pay"
     return rows.select(
-        F.concat(F.lit("sup_"), F.col("sk").cast("string")).alias("close_id"),
+        _close_id(F.col("sk"), F.year("d"), yearly).alias("close_id"),
         (F.col("ok") * 1000000000 + F.col("cents") * 10 + F.when(kept, 0).otherwise(1))
         .alias("line_no"),
         F.concat(F.when(kept, "ord_").otherwise("lost_ord_"), "ref").alias("order_id"),
@@ -103,7 +109,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bank(spark: SparkSession, sf_dir: str, yearly: bool = False) -> DataFrame:
     """One or two credits per paid batch in five label styles, and stray deposits."""
     paid = (
         settlement(spark, sf_dir).groupBy("close_id", "settlement_batch_id", "settled_on")
@@ -114,7 +120,7 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     paid = paid.withColumn("sk", sk).withColumn("mi", mi)
     five = F.col("sk") % 5
     charge = (F.when(F.col("sk") % 10 == 1, 250).when(F.col("sk") % 10 == 6, 375)
-              .when(five == 2, 500).otherwise(0))
+              .when(F.col("sk") % 10 == 8, 120).when(five == 2, 500).otherwise(0))
     paid = paid.withColumn("total", (F.col("net") - charge).cast(M)).filter("total > 1")
     number = F.concat(F.lpad(F.col("sk").cast("string"), 5, "0"),
                       _month(F.col("mi")).cast("string"))
@@ -138,7 +144,7 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(1).alias("leg"), (F.col("total") - F.col("first")).cast(M).alias("amount"))),
         lambda leg: leg["amount"] > 0)
     credits = paid.select("*", F.inline(legs)).select(
-        "close_id", (F.col("mi") * 10 + F.col("leg")).cast("long").alias("line_no"),
+        _close_id(F.col("sk"), F.year("settled_on"), yearly).alias("close_id"), (F.col("mi") * 10 + F.col("leg")).cast("long").alias("line_no"),
         F.concat(F.lit("bank_"), F.col("sk").cast("string"), F.lit("_"),
                  _month(F.col("mi")).cast("string"), F.lit("_"), F.col("leg").cast("string"))
         .alias("bank_txn_id"),
@@ -150,7 +156,7 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     base = _base(spark, sf_dir).filter((F.col("ok") % 97 == 0) & (F.col("ln") == 2))
     stray = base.select(
-        F.concat(F.lit("sup_"), F.col("sk").cast("string")).alias("close_id"),
+        _close_id(F.col("sk"), F.year("d"), yearly).alias("close_id"),
         (F.col("ok") * 1000000000 + F.col("cents") * 10).alias("line_no"),
         F.concat(F.lit("stray_"), F.col("ok").cast("string"), F.lit("_"),
                  F.col("cents").cast("string")).alias("bank_txn_id"),
@@ -174,7 +180,47 @@ def rulebook() -> RuleBook:
     ])
 
 
-def load(spark: SparkSession, sf_dir: str):
-    return settlement(spark, sf_dir), bank(spark, sf_dir), ledger(spark, sf_dir)
+def load(spark: SparkSession, sf_dir: str, yearly: bool = False):
+    return (settlement(spark, sf_dir, yearly), bank(spark, sf_dir, yearly),
+            ledger(spark, sf_dir, yearly))
+
+
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the predicates above made defective, as labels."""
+    base = _base(spark, sf_dir).withColumn("ref", F.concat_ws(
+        "_", F.col("ok").cast("string"), F.col("cents").cast("string")))
+    close_id = _close_id(F.col("sk"), None, False)
+    ok, ln = F.col("ok"), F.col("ln")
+    twice = (ok % 37 == 0) & (ln == 1)
+    over = (F.col("pk") + ok) % 50 == 0
+    back = (F.col("rf") == "R") & (ok % 8 == 0)
+
+    def label(condition, defect_class, subject):
+        return F.when(condition, F.struct(F.lit(defect_class).alias("defect_class"),
+                                          subject.alias("subject_id")))
+
+    pay = F.concat(F.lit("pay_"), "ref")
+    again = F.concat(pay, F.lit("_d"))
+    rows = base.select(close_id.alias("close_id"), F.inline(F.array_compact(F.array(
+        label(twice, "duplicate_capture", again), label(over, "fee_overcharge", pay),
+        label(over & twice, "fee_overcharge", again),
+        label(back & (F.floor(ok / 8) % 4 == 0), "cross_cycle_refund",
+              F.concat(F.lit("rfnd_"), "ref")),
+        label((ok + ln) % 53 == 0, "missing_ledger_entry", pay),
+        label((ok % 61 == 0) & (ln == 1), "unsettled_revenue", F.concat(F.lit("lost_"), "ref")),
+        label(F.col("pk") % 47 == 0, "chargeback_hold", F.concat(F.lit("hold_"), "ref"))))))
+    months = settlement(spark, sf_dir).select(
+        "close_id", F.col("settlement_batch_id").alias("batch"), "settled_on").distinct()
+    sk = F.substring_index("close_id", "_", -1).cast("long")
+    mi = (F.year("settled_on") * 12 + F.month("settled_on")).cast("long")
+    late = (sk % 4 > 0) | ((sk + 2 * mi) % 29 == 0)
+    batch = F.col("batch")
+    batches = months.select("close_id", F.inline(F.array_compact(F.array(
+        label((sk + mi) % 7 == 0, "missing_utr", batch),
+        label((sk + 3 * mi) % 6 == 0, "split_settlement", batch),
+        label(late, "timing_shift", batch),
+        label((sk % 5).isin(1, 2) | (sk % 10 == 8), "unrecorded_adjustment", batch),
+        label((sk + mi) % 9 == 0, "narration_drift", batch)))))
+    return rows.unionByName(batches)
 
 
