@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .. import constants as K, schemas as S
-from .scale import running
+from .scale import running, skew_join
 
 LOW, MID, HIGH = K.LAG_BAND
 
@@ -55,7 +55,7 @@ def arrivals(batches: DataFrame, open_batches: DataFrame, matches: DataFrame,
     start = F.col("first_settled_on")
     rows = due.filter("expected > 0").select(
         "close_id", "batch_id", F.col("expected").alias("amount"), "first_settled_on")
-    dated = rows.join(model, "close_id").select(
+    dated = skew_join(rows, model, ["close_id"], spread_by="batch_id").select(
         "close_id", "batch_id", "amount", start.alias("settled_on"), "as_of", "n_lags",
         F.date_add(start, F.col("low")).alias("earliest"),
         F.date_add(start, F.col("median")).alias("expected_on"),
@@ -111,7 +111,7 @@ def backtest(matches: DataFrame, fit_share: float = 0.6) -> DataFrame:
     sizes = lags.groupBy("close_id").agg(F.count(F.lit(1)).alias("n"))
     split = F.floor(F.lit(fit_share) * F.col("n")).cast("long")
     sides = (
-        placed.join(sizes, "close_id").withColumn("n_fit", split)
+        skew_join(placed, sizes, ["close_id"], spread_by="batch_id").withColumn("n_fit", split)
         .withColumn("fit", F.col("place") <= F.col("n_fit"))
         .groupBy("close_id", "n", "n_fit", "fit", "lag").agg(F.count(F.lit(1)).alias("times"))
     )

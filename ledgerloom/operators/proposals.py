@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K, schemas as S
 from .rows import text_map
-from .scale import running
+from .scale import running, skew_join
 
 RAW = ("defect_class string, bank_txn_ids array<string>, reasoning string, confidence string, "
        "claimed_adjustment string, proposed_rule struct<kind:string,"
@@ -120,7 +120,7 @@ def outcomes(queue: DataFrame, verified: DataFrame, records: DataFrame,
     )
     placed = running(rows, ["close_id"], order, "queue", place=("count", "kind"),
                      refused=("sum", "_bad"))
-    placed = placed.join(records.select("close_id", budget.alias("budget")), "close_id")
+    placed = skew_join(placed, records.select("close_id", budget.alias("budget")), ["close_id"])
     # An accept resets the streak: it starts again from the refusals counted so far.
     placed = placed.withColumn("_reset", F.when(F.col("step") == "accepted", F.col("refused")))
     tracked = running(placed, ["close_id"], order, "streak", _base=("max", "_reset"))
@@ -135,7 +135,7 @@ def outcomes(queue: DataFrame, verified: DataFrame, records: DataFrame,
     final = (
         F.when(~inside, "deferred").when(F.col("place") > chunk_end, "abandoned")
         .otherwise(F.col("step")))
-    return tracked.join(stop, "close_id").withColumn("outcome", final).drop(
+    return skew_join(tracked, stop, ["close_id"]).withColumn("outcome", final).drop(
         "step", "_bad", "_base", "_reset", "refused")
 
 

@@ -77,7 +77,7 @@ def query(name, sql=None, learned=True, yearly=False, extra=""):
         QUERIES[name] = lambda spark, sf_dir: flat(job(spark, sf_dir))
         QUERIES[name].__doc__ = job.__doc__
         if sql is not None:
-            SQL[name] = sql if sql.startswith("--raw") else oracles.over(
+            SQL[name] = sql[5:].strip() if sql.startswith("--raw") else oracles.over(
                 sql, learned, yearly, extra)
         return job
     return add
@@ -785,11 +785,24 @@ def auto_clear(spark, sf_dir):
         "close_id", "findings", "auto_cleared", "threshold")
 
 
-@query("taught_against_untaught")
+def _scored(learned):
+    return oracles.over(f"""SELECT close_id, round(CAST(tp AS DOUBLE)/nullif(tp+fp,0),6) AS p,
+      round(CAST(tp AS DOUBLE)/nullif(tp+fn,0),6) AS r, coalesce(ne,0) AS ne FROM (
+      SELECT close_id, {SCORED} FROM pairs GROUP BY 1) LEFT JOIN (SELECT close_id, count(*) ne
+      FROM exceptions GROUP BY 1) USING (close_id)""", learned, extra=HITS)
+
+
+@query("taught_against_untaught", f"""--raw
+  SELECT close_id, a.p AS precision_a, b.p AS precision_b, round(b.p-a.p,4) AS precision_delta,
+  a.r AS recall_a, b.r AS recall_b, round(b.r-a.r,4) AS recall_delta, a.ne AS n_exceptions_a,
+  b.ne AS n_exceptions_b, b.ne-a.ne AS n_exceptions_delta
+  FROM ({_scored(False)}) a FULL JOIN ({_scored(True)}) b USING (close_id)""")
 def taught_against_untaught(spark, sf_dir):
     """Two scored closes side by side: without rules and with them."""
-    return scoring.compare(_card(spark, sf_dir, False), _card(spark, sf_dir, True),
-                           ["close_id"], ["precision", "recall", "match_rate", "n_exceptions"])
+    both = scoring.compare(_card(spark, sf_dir, False), _card(spark, sf_dir, True),
+                           ["close_id"], ["precision", "recall", "n_exceptions"])
+    return both.withColumns({f"{m}_delta": F.round(f"{m}_delta", 4)
+                             for m in ("precision", "recall")})
 
 
 @query("averages_by_year", f"""SELECT close_seq, count(*) AS runs, round(avg(mr),6) AS match_rate,
@@ -852,14 +865,31 @@ def rule_admission(spark, sf_dir):
         "rule_seq", "applicable", "contradictions", "admitted")
 
 
-@query("rule_regressions")
+@query("rule_regressions", """SELECT rule_seq, close_id, subject_id, regression, place FROM (
+  SELECT 4 AS rule_seq, close_id, subject_id, subject_id||': utr would become REF'||x||
+    ', confirmed value is '||utr AS regression, row_number() OVER (ORDER BY close_id, subject_id)
+    AS place FROM a WHERE x<>'' AND 'REF'||x<>utr) WHERE place<=5""", extra=CASES + """,
+a AS (SELECT *, regexp_extract(ltrim(substr(upper(narration),strpos(upper(narration),'UTR')+3),
+  ' :-/#'), '^[0-9]{6,24}') x FROM cases)""")
 def rule_regressions(spark, sf_dir):
     """The first cases each refused candidate would have changed."""
     c = closed(spark, sf_dir)
     return rules.regressions(_trial_rules(), rules.confirmed_cases(c.bank, c.findings))
 
 
-@query("rule_opinions")
+@query("rule_opinions", """SELECT close_id, kind, subject_id, CASE WHEN contains(t,'KKBK NEFT REF ')
+  THEN 'narration_alias_001' WHEN contains(t,'PROC CHG') THEN 'adjustment_pattern_001'
+  WHEN contains(t,'SVC CHG') THEN 'adjustment_pattern_002' ELSE 'fee_variant_001' END AS rule_id,
+  CASE WHEN contains(t,'KKBK NEFT REF ') THEN 'narration_alias' WHEN contains(t,'PROC CHG')
+  OR contains(t,'SVC CHG') THEN 'adjustment_pattern' ELSE 'fee_variant' END AS rule_kind
+  FROM (SELECT close_id, kind, subject_id, detail, coalesce(narration, first) t FROM exceptions e
+    LEFT JOIN (SELECT close_id, bank_txn_id subject_id, narration FROM bank) USING (close_id,
+      subject_id)
+    LEFT JOIN (SELECT b.close_id, b.batch_id subject_id, arg_min(narration, (value_date, line_no))
+      first FROM open_batches b JOIN open_credits c ON b.close_id=c.close_id
+      AND value_date-settled_on BETWEEN 0 AND 6 GROUP BY 1,2) USING (close_id, subject_id))
+  WHERE contains(t,'KKBK NEFT REF ') OR contains(t,'PROC CHG') OR contains(t,'SVC CHG')
+    OR (kind IN ('fabricated_amounts','unknown_rate_card') AND detail='intl_card')""")
 def rule_opinions(spark, sf_dir):
     """Rules that speak to open exceptions; none of them decides one."""
     c = closed(spark, sf_dir)
