@@ -25,6 +25,11 @@ def forget() -> None:
     _MADE.clear()
 
 
+def keep_sources(spark, sf_dir, views, yearly=False) -> None:
+    """Take already written views as the sources of the next queries."""
+    _MADE[(spark.sparkContext.applicationId, "sources", sf_dir, yearly)] = views
+
+
 def _once(spark, key, make):
     key = (spark.sparkContext.applicationId, *key)
     if key not in _MADE:
