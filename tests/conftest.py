@@ -9,17 +9,17 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from ledgerloom import schemas as S  # noqa: E402
+from ledgerloom.settings import configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (
+    session = configure(
         SparkSession.builder.master("local[8]").appName("tests")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    )
+        .config("spark.ui.showConsoleProgress", "false")
+    ).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
 
