@@ -44,7 +44,7 @@ def materialise_all(frames: dict) -> dict[str, DataFrame]:
     def write(made, name):
         return materialise(made() if callable(made) else made, name)
 
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     with ThreadPoolExecutor(max_workers=max(1, len(frames))) as pool:
         running_jobs = {name: pool.submit(inheritable_thread_target(spark)(write), made, name)
                         for name, made in frames.items()}

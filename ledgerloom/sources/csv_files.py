@@ -36,7 +36,9 @@ def read_raw(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     blocks = rows.groupBy("_file", "_block").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    shifts = blocks.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # One row per file split: written, so Spark knows its size and broadcasts it if small.
+    shifts = materialise(
+        blocks.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))), "splits")
     return rows.join(shifts, ["_file", "_block"]).withColumn(
         "_line", F.col("_id") - F.col("_first") + F.col("_shift") + 2).drop(
         "_id", "_first", "_n", "_shift", "_block")
