@@ -67,9 +67,10 @@ def settlement(spark: SparkSession, sf_dir: str, yearly: bool = False) -> DataFr
         + F.when((F.col("pk") + F.col("ok")) % 50 == 0, Decimal("0.005")).otherwise(Decimal("0.000"))
     fee = F.when(pays, F.bround(F.col("amt") * rate, 2)).otherwise(0).cast(M)
     half = F.bround(F.col("amt") * F.lit(Decimal("0.5")), 2).cast(M)
-    utr = F.concat(F.lit("UTR"), F.lpad(F.col("sk").cast("string"), 5, "0"),
-                   _month(F.col("smi")).cast("string"))
-    rows = rows.withColumn("fee", fee)
+    utr = F.concat(F.lit("UTR"), F.lpad(F.col("sk").cast("string"), 5, "0"), "ym")
+    # Worked out once per row; several columns below use them.
+    rows = rows.withColumns({"fee": fee, "ym": _month(F.col("smi")).cast("string"),
+                             "month_end": _month_end(F.col("smi"))})
     return rows.select(
         _close_id(F.col("sk"), F.floor((F.col("smi") - 1) / 12), yearly).alias("close_id"),
         (F.col("ok") * 1000000000 + F.col("cents") * 10 + F.col("k")).alias("line_no"),
@@ -77,14 +78,14 @@ def settlement(spark: SparkSession, sf_dir: str, yearly: bool = False) -> DataFr
         .when(kind == "dup", F.concat(F.lit("pay_"), "ref", F.lit("_d")))
         .when(kind == "ref", F.concat(F.lit("rfnd_"), "ref"))
         .otherwise(F.concat(F.lit("hold_"), "ref")).alias("txn_id"),
-        F.concat(F.lit("setl_"), F.col("sk").cast("string"), F.lit("_"),
-                 _month(F.col("smi")).cast("string")).alias("settlement_batch_id"),
+        F.concat(F.lit("setl_"), F.col("sk").cast("string"), F.lit("_"), "ym")
+        .alias("settlement_batch_id"),
         F.when((F.col("sk") + F.col("smi")) % 7 != 0, utr).alias("utr"),
         F.when(pays, "payment").when(kind == "ref", "refund")
         .otherwise("chargeback_hold").alias("txn_type"),
         F.when(kind == "ref", half).otherwise(F.col("amt")).cast(M).alias("gross_amount"),
         "fee", F.bround(F.col("fee") * F.lit(Decimal("0.18")), 2).cast(M).alias("gst_on_fee"),
-        _month_end(F.col("smi")).alias("settled_on"),
+        F.col("month_end").alias("settled_on"),
         F.concat(F.lit("ord_"), "ref").alias("order_id"), "method",
     )
 
