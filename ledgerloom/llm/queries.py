@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, simhash
 
 QUERIES = {}
 SQL = {}
@@ -26,3 +26,8 @@ def op10_byte_bpe(spark, sf_dir):
                        public_tokenizers.path("byte_bpe_50k.tiktoken"), decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op7_simhash(spark, sf_dir):
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
