@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, simhash
+from . import bpe, secrets, simhash
 
 QUERIES = {}
 SQL = {}
@@ -31,3 +31,18 @@ def op10_byte_bpe(spark, sf_dir):
 @query
 def op7_simhash(spark, sf_dir):
     return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_credential_links(spark, sf_dir):
+    found = secrets.find(table(spark, sf_dir, "documents"))
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, secrets.BASE),
+                        F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"),
+                        secrets.as_text(F.col("spans")).alias("spans"))
+
+
+SQL["op2_credential_links"] = secrets.oracle()
