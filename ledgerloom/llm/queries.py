@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, secrets, simhash
+from . import bpe, secrets, sharding, simhash
 
 QUERIES = {}
 SQL = {}
@@ -46,3 +46,10 @@ def op2_credential_links(spark, sf_dir):
 
 
 SQL["op2_credential_links"] = secrets.oracle()
+
+
+@query
+def op9_sampled_splitters(spark, sf_dir):
+    return sharding.by_text(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
