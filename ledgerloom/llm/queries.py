@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, secrets, sharding, simhash
+from . import bpe, mixing, secrets, sharding, simhash
 
 QUERIES = {}
 SQL = {}
@@ -53,3 +53,12 @@ def op9_sampled_splitters(spark, sf_dir):
     return sharding.by_text(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op5_curriculum(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op5_curriculum"] = mixing.ORACLE
