@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, mixing, quality, secrets, sharding, simhash
+from . import bpe, html, mixing, quality, secrets, sharding, simhash
 
 QUERIES = {}
 SQL = {}
@@ -67,3 +67,8 @@ SQL["op5_curriculum"] = mixing.ORACLE
 @query
 def op8_quality_trees(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_host_consensus(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
