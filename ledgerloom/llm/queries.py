@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, html, mixing, quality, secrets, sharding, simhash
+from . import ann, bpe, html, mixing, pivots, quality, secrets, sharding, simhash
 
 QUERIES = {}
 SQL = {}
@@ -72,3 +72,13 @@ def op8_quality_trees(spark, sf_dir):
 @query
 def op3_host_consensus(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_pivot_permutations(spark, sf_dir):
+    return pivots.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_adaptive_scan(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
