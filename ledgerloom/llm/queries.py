@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, html, mixing, pivots, quality, secrets, sharding, simhash
+from . import (ann, bpe, html, mixing, pivots, quality, secrets, sharding, simhash,
+               training_order)
 
 QUERIES = {}
 SQL = {}
@@ -82,3 +83,10 @@ def op4_pivot_permutations(spark, sf_dir):
 @query
 def op6_adaptive_scan(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op1_training_order(spark, sf_dir):
+    index, _ = training_order.write_shards(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), secret=2026)
+    return index
