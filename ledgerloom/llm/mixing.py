@@ -80,21 +80,23 @@ def due(part, slope):
     return 2.0 * part / (fall + F.sqrt(fall * fall + 4.0 * slope * part))
 
 
-def sized(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+def sized(df: DataFrame, key: str, text: str, source: str, carry: tuple[str, ...]) -> DataFrame:
     """Narrow rows: id, source, words, and the hash that orders and buckets documents."""
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     turn = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
     return materialise(df.select(F.col(key).alias("_id"), F.col(source).alias("source"),
-                                 words.alias("size"), turn.alias("turn")), "mix_sizes")
+                                 words.alias("size"), turn.alias("turn"), *carry), "mix_sizes")
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-        weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS) -> DataFrame:
+        weights=WEIGHTS, share: float = SHARE, most: float = MOST_REPEATS,
+        carry: tuple[str, ...] = ()) -> DataFrame:
     """``key``, ``size``, ``source_size``, ``target``, ``taken`` and ``starts`` of every row.
 
-    ``starts`` holds, for each copy taken, its words and the time of its middle.
+    ``starts`` holds, for each copy taken, its words and the time of its middle. Columns
+    named in ``carry`` are passed on.
     """
-    rows = sized(df, key, text, source).withColumn("bucket", F.substring("turn", 1, BUCKET_DIGITS))
+    rows = sized(df, key, text, source, carry).withColumn("bucket", F.substring("turn", 1, BUCKET_DIGITS))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sources = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     goal = targets(sources, weights, share, most)
@@ -128,7 +130,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
             (c["offset"] + c["words"] / F.lit(2.0)) / F.col("target"), F.col("slope")).alias("position")))
     return counted.select(
         F.col("_id").alias(key), "size", "source_size", "target",
-        (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), timed.alias("starts"))
+        (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), timed.alias("starts"), *carry)
 
 
 def curriculum(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
@@ -139,6 +141,24 @@ def curriculum(df: DataFrame, key: str = "doc_id", text: str = "text", source: s
             .orderBy("position", key, "words"))
 
 
+def mixture(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+            **options) -> DataFrame:
+    """The mixed rows themselves in training order: whole rows, as often as they are taken.
+
+    A copy that is taken in part keeps its first words and the white space between them.
+    """
+    rows = materialise(df.withColumn("_number", F.monotonically_increasing_id()), "mix_rows")
+    copies = (mix(rows, key, text, source, carry=("_number",), **options)
+              .select("_number", "size", F.explode("starts").alias("c"))
+              .select("_number", "size", "c.words", "c.position"))
+    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(F.col("_words") < F.col("_size"), F.array_join(
+        F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")).otherwise(F.col(text))
+    copies = copies.withColumnsRenamed({"size": "_size", "words": "_words", "position": "_position"})
+    return (rows.join(copies, "_number").withColumn(text, cut)
+            .orderBy("_position", "_number").select(*df.columns))
+
+
 ORACLE = f"""
 WITH d AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS turn,
   CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '{WORD}')) END::BIGINT AS size

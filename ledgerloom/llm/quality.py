@@ -29,6 +29,7 @@ TREES = 60
 DEPTH = 4
 RATE = 0.2
 RIDGE = 1.0
+# Rows of a leaf: this many, or a fiftieth of a small fit, but two at least.
 LEAST_ROWS = 20
 
 FEATURES = (
@@ -115,6 +116,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
     binned = np.column_stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)])
     spot = binned + np.arange(x.shape[1]) * BINS  # one flat histogram for all features
     width = x.shape[1] * BINS
+    least = max(2, min(LEAST_ROWS, len(y) // 50))
     margin = np.full(len(y), base)
     feature = np.zeros((trees, size), np.int64)
     threshold = np.full((trees, size), np.inf)
@@ -134,7 +136,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
             g, h, c = histogram(grad), histogram(hess), histogram(np.ones(len(y)))
             ga, ha, ca = g[:, :, -1:], h[:, :, -1:], c[:, :, -1:]
             gain = (g ** 2 / (h + RIDGE) + (ga - g) ** 2 / (ha - h + RIDGE) - ga ** 2 / (ha + RIDGE))
-            gain[(c < LEAST_ROWS) | (ca - c < LEAST_ROWS)] = 0
+            gain[(c < least) | (ca - c < least)] = 0
             best = gain.reshape(n, -1).argmax(axis=1)
             for i in range(n):
                 f, b = divmod(int(best[i]), BINS)

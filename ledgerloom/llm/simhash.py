@@ -198,8 +198,25 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
         key, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
+                most: int = MOST_BITS) -> DataFrame:
+    """One row of each component stays, whole: that with the smallest key, null last.
+
+    Rows are told apart by a number of their own, so repeated keys do no harm. The rows
+    that go are few and are looked up by it.
+    """
+    kept = materialise(with_fingerprint(df, text, "_fp", words).withColumn(
+        "_number", F.monotonically_increasing_id()), "fingerprinted")
+    rows = grouped(kept.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"),
+                                        F.col("_number").alias("number")).alias("_rank"), "_fp"),
+                   "_rank", most)
+    gone = materialise(rows.filter("_rank <> component_id").select(
+        F.col("_rank.number").alias("_number")), "copies")
+    return kept.join(gone, "_number", "left_anti").select(*df.columns)
+
+
 def grouped(rows: DataFrame, key: str, most: int = MOST_BITS) -> DataFrame:
-    """Rows of ``key`` and ``_fp`` with their component_id."""
+    """Rows of ``key`` and ``_fp`` with their component_id, the smallest key of theirs."""
     points = materialise(rows.groupBy("_fp").agg(F.min(key).alias("_least")), "points")
     label = components(links(points, "_fp", most))
     named = points.join(label, points["_fp"] == label["node"], "left").select(
