@@ -7,6 +7,10 @@ hypothesis test compares the partial distance, scaled to all dimensions, with th
 current k-th best, and a candidate that fails is abandoned. What remains is scored in
 double precision on the original vectors.
 
+A query's nearest lists are scanned first. Its k-th best score there is where the scan of
+its other lists starts from, so those abandon most candidates after the first block and
+return few rows.
+
 The centroids come from a bounded sample of ``SAMPLE`` vectors; every vector is in a list.
 How many lists a query probes is the smallest number that reached ``RECALL`` on queries
 of that sample, compared with all of it.
@@ -40,6 +44,8 @@ LISTS = (8, 1024)
 CHUNK = 4096
 # Columns of a block, and how sure a test must be (in standard deviations).
 BLOCK = 16
+# Lists of a query that are scanned first.
+FIRST_PROBES = 4
 SURE = 2.1
 # Candidates between two updates of a query's k-th best distance.
 STRIDE = 512
@@ -91,16 +97,20 @@ class Index:
         needed = np.sort(place[np.arange(len(q))[:, None], own[best]].ravel())
         return int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) + 1
 
-    def scan(self, q: np.ndarray, x: np.ndarray, k: int):
-        """(query, candidate) places that survive, candidates among rotated rows ``x``."""
+    def scan(self, q: np.ndarray, x: np.ndarray, k: int, known: np.ndarray):
+        """(query, candidate) places that survive, candidates among rotated rows ``x``.
+
+        ``known`` has a score per query that ``k`` candidates are known to reach, or -inf.
+        """
         blocks = [slice(a, min(a + BLOCK, self.dim)) for a in range(0, self.dim, BLOCK)]
         x_parts = [(x[:, b] ** 2).sum(axis=1) for b in blocks]
         q_parts = [(q[:, b] ** 2).sum(axis=1) for b in blocks]
         best = np.full((len(q), k), np.inf)
+        start = self.longest ** 2 + (q ** 2).sum(axis=1) - 2 * known
         out_q, out_x = [], []
         for a in range(0, len(x), STRIDE):
             rows = slice(a, a + STRIDE)
-            limit = best[:, -1]
+            limit = np.minimum(best[:, -1], start)
             first = blocks[0]
             part = np.maximum(q_parts[0][:, None] + x_parts[0][rows] - 2 * q[:, first] @ x[rows, first].T, 0)
             qi, xi = np.nonzero(self.passes(part, limit[:, None], first.stop))
@@ -166,14 +176,20 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
         lists, f"row long, id {id_type}, vector {kind}, own int, probes array<int>"), "ann_lists")
     full = chunk_counts(placed.withColumnRenamed("own", "list"), ["list"], CHUNK)
     chunks = materialise(full, "ann_chunks")  # at most one row per list
-    cut = F.coalesce("_chunks", F.lit(1))
     stored = placed.withColumnRenamed("own", "list").join(F.broadcast(chunks), "list", "left").select(
-        "list", F.pmod(F.xxhash64("row"), cut).cast("int").alias("chunk"), F.lit(0).alias("asks"),
-        "row", "id", "vector")
-    asking = (placed.select("row", "id", "vector", F.explode("probes").alias("list"))
-              .join(F.broadcast(chunks), "list", "left")
-              .select("list", F.explode(F.sequence(F.lit(0), cut - 1)).alias("chunk"),
-                      F.lit(1).alias("asks"), "row", "id", "vector"))
+        "list", F.pmod(F.xxhash64("row"), F.coalesce("_chunks", F.lit(1))).cast("int").alias("chunk"),
+        F.lit(0).alias("asks"), "row", "id", "vector", F.lit(None).cast("double").alias("known"))
+    asking = placed.filter(F.size("probes") > 0).select("row", "id", "vector", "probes")
+    best = W.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+
+    def scanned(queries, lists_):
+        """Best candidates of each query in some of its lists, per cell."""
+        turn = (queries.withColumn("list", F.explode(lists_)).join(F.broadcast(chunks), "list", "left")
+                .select("list", F.explode(F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1))
+                        .alias("chunk"), F.lit(1).alias("asks"), "row", "id", "vector", "known"))
+        cells = stored.unionByName(turn).repartition("list", "chunk").sortWithinPartitions(
+            "list", "chunk", "asks")
+        return cells.mapInArrow(work, f"query long, query_id {id_type}, vec_id {id_type}, score double")
 
     def work(batches):
         held = None
@@ -181,20 +197,21 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
             cell = (table["list"][0].as_py(), table["chunk"][0].as_py())
             if table["asks"][0].as_py() == 0:
                 x = rows_of(table["vector"])
-                held = cell, x, index.value.long(x), table["row"].to_numpy(), table["id"]
+                held = cell, x, index.value.long(x), table["row"].to_numpy(), table["id"].combine_chunks()
                 continue
             if held is None or held[0] != cell:
                 continue  # a list without vectors
             _, x, rotated, own, ids = held
+            tie = np.argsort(np.argsort(ids.fill_null(2 ** 63 - 1).to_numpy(), kind="stable"))
             for at in range(0, len(table), QUERY_BATCH):
                 part = table.slice(at, QUERY_BATCH)
                 q, me = rows_of(part["vector"]), part["row"].to_numpy()
-                qi, xi = index.value.scan(index.value.asked(q), rotated, min(k + 1, len(x)))
-                apart = me[qi] != own[xi]
-                qi, xi = qi[apart], xi[apart]
+                known = part["known"].combine_chunks().fill_null(-np.inf).to_numpy()
+                # One more than asked for: the query may be among them itself.
+                qi, xi = index.value.scan(index.value.asked(q), rotated, min(k + 1, len(x)), known)
                 score = np.einsum("ij,ij->i", q[qi], x[xi])
-                rank = ids.combine_chunks() if hasattr(ids, "combine_chunks") else ids
-                tie = np.argsort(np.argsort(rank.fill_null(2 ** 63 - 1).to_numpy(), kind="stable"))
+                keep = (me[qi] != own[xi]) & (score >= known[qi])
+                qi, xi, score = qi[keep], xi[keep], score[keep]
                 order = np.lexsort((tie[xi], -score, qi))
                 qi, xi, score = qi[order], xi[order], score[order]
                 start = np.searchsorted(qi, np.arange(len(q)))
@@ -202,12 +219,16 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
                 qi, xi, score = qi[keep], xi[keep], score[keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(me[qi]), part["id"].combine_chunks().take(pa.array(qi)),
-                     rank.take(pa.array(xi)), pa.array(score)],
+                     ids.take(pa.array(xi)), pa.array(score)],
                     names=["query", "query_id", "vec_id", "score"])
 
-    cells = stored.unionByName(asking).repartition("list", "chunk").sortWithinPartitions(
-        "list", "chunk", "asks")
-    found = cells.mapInArrow(work, f"query long, query_id {id_type}, vec_id {id_type}, score double")
-    best = W.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
-    return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    near = materialise(
+        scanned(asking.withColumn("known", F.lit(None).cast("double")),
+                F.slice("probes", 1, FIRST_PROBES))
+        .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "ann_near")
+    reached = near.filter(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").alias("known"))
+    far = scanned(asking.join(reached, "row", "left"),
+                  F.slice("probes", FIRST_PROBES + 1, F.greatest(F.size("probes") - FIRST_PROBES, F.lit(0))))
+    return (near.drop("rank").unionByName(far)
+            .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
