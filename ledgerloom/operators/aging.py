@@ -14,14 +14,20 @@ def appearances(exceptions: DataFrame) -> DataFrame:
         F.col("kind"), F.col("subject_id"), F.col("context")))
 
 
-def aged_questions(exceptions: DataFrame) -> DataFrame:
-    """Standing questions with every close counted once, and the run they are on."""
-    named = appearances(exceptions)
-    observed = exceptions.groupBy("series_id").agg(F.max("close_seq").alias("closes"))
-    asked = named.filter(F.col("identity").isNotNull()).select(
-        "series_id", "identity", "close_seq").distinct()
-    order = W.partitionBy("series_id", "identity").orderBy("close_seq")
-    islands = asked.withColumn("_island", F.col("close_seq") - F.row_number().over(order))
+def aged_questions(exceptions: DataFrame, closes: DataFrame) -> DataFrame:
+    """Standing questions with every close counted once, and the run they are on.
+
+    ``closes`` names every close held, by ``series_id`` and ``close_seq``. A close in
+    which nothing was asked counts: it ends a run and resolves what came before it.
+    """
+    in_series = W.partitionBy("series_id").orderBy("close_seq")
+    held = closes.select("series_id", "close_seq").distinct().select(
+        "*", F.row_number().over(in_series).alias("_place"))
+    observed = held.groupBy("series_id").agg(F.max("close_seq").alias("closes"))
+    asked = appearances(exceptions).filter(F.col("identity").isNotNull()).select(
+        "series_id", "identity", "close_seq").distinct().join(held, ["series_id", "close_seq"])
+    order = W.partitionBy("series_id", "identity").orderBy("_place")
+    islands = asked.withColumn("_island", F.col("_place") - F.row_number().over(order))
     runs = islands.groupBy("series_id", "identity", "_island").agg(
         F.count(F.lit(1)).alias("run"), F.min("close_seq").alias("first"),
         F.max("close_seq").alias("last"))
@@ -35,7 +41,9 @@ def aged_questions(exceptions: DataFrame) -> DataFrame:
         (F.col("last_seq") < F.col("closes")).alias("resolved"))
 
 
-def episodic_counts(exceptions: DataFrame) -> DataFrame:
-    """One-off items per close; they cannot recur, so they are counted apart."""
-    return appearances(exceptions).groupBy("series_id", "close_seq").agg(
+def episodic_counts(exceptions: DataFrame, closes: DataFrame) -> DataFrame:
+    """One-off items of every close; they cannot recur, so they are counted apart."""
+    counted = appearances(exceptions).groupBy("series_id", "close_seq").agg(
         F.count(F.when(F.col("identity").isNull(), 1)).alias("episodic"))
+    return closes.select("series_id", "close_seq").distinct().join(
+        counted, ["series_id", "close_seq"], "left").fillna(0, ["episodic"])

@@ -38,20 +38,25 @@ def day_percentiles(histogram: DataFrame) -> DataFrame:
         at(HIGH).alias("high"))
 
 
-def arrivals(batches: DataFrame, open_batches: DataFrame, matches: DataFrame,
-             as_of=None) -> DataFrame:
-    """Settled batches not credited yet, each with its expected dates and the anchor day."""
+def anchors(batches: DataFrame, open_batches: DataFrame, matches: DataFrame,
+            as_of=None) -> DataFrame:
+    """Every close with the day its forecast starts from and the lags it has seen."""
     due = open_batches.filter(F.col("batch_id") != K.UNSETTLED_BATCH)
     anchor = F.coalesce(F.max("open_day"), F.max("any_day"))
     days = batches.select("close_id", F.col("max_settled_on").alias("any_day"),
                           F.lit(None).cast("date").alias("open_day")).unionByName(
         due.select("close_id", F.lit(None).cast("date").alias("any_day"),
                    F.col("first_settled_on").alias("open_day")))
-    anchors = days.groupBy("close_id").agg(anchor.alias("as_of"))
+    start = days.groupBy("close_id").agg(anchor.alias("as_of"))
     if as_of is not None:
-        anchors = anchors.withColumn("as_of", F.lit(as_of).cast("date"))
-    model = anchors.join(lag_model(observed_lags(matches)), "close_id", "left")
-    model = model.fillna(0, ["n_lags", "low", "median", "high"])
+        start = start.withColumn("as_of", F.lit(as_of).cast("date"))
+    model = start.join(lag_model(observed_lags(matches)), "close_id", "left")
+    return model.fillna(0, ["n_lags", "low", "median", "high"])
+
+
+def arrivals(open_batches: DataFrame, model: DataFrame) -> DataFrame:
+    """Settled batches not credited yet, each with its expected dates; ``model`` are anchors."""
+    due = open_batches.filter(F.col("batch_id") != K.UNSETTLED_BATCH)
     start = F.col("first_settled_on")
     rows = due.filter("expected > 0").select(
         "close_id", "batch_id", F.col("expected").alias("amount"), "first_settled_on")
@@ -65,30 +70,46 @@ def arrivals(batches: DataFrame, open_batches: DataFrame, matches: DataFrame,
         "days_overdue", F.when(overdue, F.datediff("as_of", "latest")))
 
 
-def forecast_totals(rows: DataFrame, horizon: int = 14) -> DataFrame:
+def in_order(rows: DataFrame) -> DataFrame:
+    """``place`` in its list: arrivals by day and amount, overdue batches oldest first."""
+    keyed = rows.withColumn("_day", F.when(F.col("overdue"), F.col("latest"))
+                            .otherwise(F.col("expected_on"))).withColumn(
+        "_amount", F.when(F.col("overdue"), F.lit(0)).otherwise(-F.col("amount")))
+    return running(keyed, ["close_id", "overdue"],
+                   [F.col("_day"), F.col("_amount"), F.col("batch_id")], "forecast-order",
+                   place=("count", "batch_id")).drop("_day", "_amount")
+
+
+def forecast_totals(rows: DataFrame, model: DataFrame, horizon: int = 14) -> DataFrame:
+    """One row per close of ``model``, zeros where nothing is open."""
     zero = F.lit(0).cast(S.TOTAL)
     in_time = ~F.col("overdue") & (F.col("latest") <= F.date_add("as_of", horizon))
 
     def total(condition):
-        return F.coalesce(F.sum(F.when(condition, F.col("amount"))), zero).cast(S.TOTAL)
+        return F.sum(F.when(condition, F.col("amount"))).cast(S.TOTAL)
 
-    return rows.groupBy("close_id", "as_of", "n_lags").agg(
+    sums = rows.groupBy("close_id").agg(
         F.count(F.when(~F.col("overdue"), 1)).alias("n_arrivals"),
         total(~F.col("overdue")).alias("total_expected"),
         F.count(F.when(F.col("overdue"), 1)).alias("n_overdue"),
         total(F.col("overdue")).alias("overdue_total"),
-        total(in_time).alias("worst_case"),
+        total(in_time).alias("worst_case"))
+    money = ("total_expected", "overdue_total", "worst_case")
+    return model.join(sums, "close_id", "left").select(
+        "close_id", "as_of", "n_lags", F.coalesce("n_arrivals", F.lit(0)).alias("n_arrivals"),
+        F.coalesce("n_overdue", F.lit(0)).alias("n_overdue"),
+        *[F.coalesce(c, zero).alias(c) for c in money],
         (F.col("n_lags") >= K.MIN_LAG_OBSERVATIONS).alias("usable"))
 
 
-def forecast_curve(rows: DataFrame, horizon: int = 14) -> DataFrame:
-    """Expected inflow per day from the anchor on, days without any shown as zero."""
-    by_day = rows.filter(~F.col("overdue")).groupBy("close_id", "as_of", "expected_on").agg(
+def forecast_curve(rows: DataFrame, model: DataFrame, horizon: int = 14) -> DataFrame:
+    """Expected inflow per day from the anchor on, for every close; idle days are zero."""
+    by_day = rows.filter(~F.col("overdue")).groupBy("close_id", "expected_on").agg(
         F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("batches"))
-    calendar = rows.select("close_id", "as_of").distinct().select("*", F.explode(F.transform(
+    calendar = model.select("close_id", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(horizon)), lambda d: F.date_add("as_of", d))).alias(
         "expected_on"))
-    return calendar.join(by_day, ["close_id", "as_of", "expected_on"], "left").select(
+    return calendar.join(by_day, ["close_id", "expected_on"], "left").select(
         "close_id", "expected_on",
         F.coalesce("amount", F.lit(0).cast(S.TOTAL)).cast(S.TOTAL).alias("amount"),
         F.coalesce("batches", F.lit(0)).alias("batches"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K, schemas as S
-from .scale import skew_join
+from .scale import running, skew_join
 
 
 def triage(findings: DataFrame, floor=K.MATERIALITY_FLOOR,
@@ -34,6 +34,14 @@ def claims(triaged: DataFrame) -> DataFrame:
         F.max("money_impact").alias("largest"))
 
 
+def in_order(triaged: DataFrame) -> DataFrame:
+    """``place`` of each item that is chased or waived, largest first within its lane."""
+    lanes = triaged.filter(F.col("lane").isin("chased", "waived"))
+    return running(lanes, ["close_id", "lane"],
+                   [F.desc("money_impact"), F.col("check_rank"), F.col("line_no"),
+                    F.col("subject_id")], "lane-order", place=("count", "lane"))
+
+
 def _class_totals(findings: DataFrame, floors) -> DataFrame:
     """Counts and sums per close and class on both sides of each floor, in one pass."""
     impact = F.col("money_impact")

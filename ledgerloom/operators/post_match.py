@@ -16,7 +16,7 @@ def match_findings(batches: DataFrame, matches: DataFrame) -> DataFrame:
     batch, by_utr = F.col("batch_id"), F.col("method").startswith("utr_join")
     no_utr = batches.filter(F.col("utr").isNull()).withColumn("line_no", F.col("batch_seq"))
     missing = finding(no_utr, "missing_utr", batch, K.L0, 1.0, F.lit(0),
-                      text_map(batch=batch, fallback=F.lit("amount+date matching")), 70)
+                      text_map(batch=batch, fallback=F.lit("amount_and_date")), 70)
     split = finding(
         rows.filter("n_credits > 1"), "split_settlement", batch,
         F.when(by_utr, K.L0).otherwise(K.L1), F.when(by_utr, 1.0).otherwise(0.90), F.lit(0),
@@ -27,8 +27,8 @@ def match_findings(batches: DataFrame, matches: DataFrame) -> DataFrame:
         charged, "unrecorded_adjustment", batch, K.L2,
         F.when(F.col("n_credits") == 1, 0.97).otherwise(0.95), F.col("adjustment"),
         text_map(amount=F.col("adjustment"), explained_by=F.col("rule_id"),
-                 status=F.when(F.col("n_credits") == 1, "known recurring charge")
-                 .otherwise("known recurring charge, batch also split")), 72, F.col("rule_id"))
+                 status=F.when(F.col("n_credits") == 1, "charge_known")
+                 .otherwise("charge_known_split")), 72, F.col("rule_id"))
     late = finding(
         rows.filter("first_value_date > settled_on"), "timing_shift", batch, K.L1, 0.95,
         F.lit(0),
@@ -47,7 +47,7 @@ def match_findings(batches: DataFrame, matches: DataFrame) -> DataFrame:
         F.when(explained, 0.97).otherwise(1.0), F.col("_gap"),
         text_map(expected_net=F.col("gross_expected"), credited=F.col("credited"),
                  shortfall=F.col("_gap"),
-                 status=F.when(explained, "known recurring charge").otherwise("unexplained"),
+                 status=F.when(explained, "charge_known").otherwise("charge_open"),
                  explained_by=F.col("rule_id")), 75, F.col("rule_id"))
     return union_all([missing, split, known, late, drift, gap])
 

@@ -27,7 +27,7 @@ def parse(answers: DataFrame) -> DataFrame:
         "close_id", "subject_id",
         F.when(broken, "unknown").otherwise(F.col("_p.defect_class")).alias("defect_class"),
         F.when(~broken, F.col("_p.bank_txn_ids")).alias("bank_txn_ids"),
-        F.when(broken, "unparseable response").otherwise(F.col("_p.reasoning"))
+        F.when(broken, "unreadable").otherwise(F.col("_p.reasoning"))
         .alias("reasoning"),
         F.when(broken, 0.0).otherwise(F.col("_p.confidence").try_cast("double"))
         .alias("confidence"),
@@ -70,24 +70,24 @@ def verify(proposals: DataFrame, batches: DataFrame, bank: DataFrame) -> DataFra
         return out.otherwise(cases[-1][1])
 
     cases = (
-        (F.coalesce("n_ids", F.lit(0)) == 0, no, "proposal named no credits"),
-        (F.col("n_unknown") > 0, no, "proposal named unknown credits"),
-        (given & adj.isNull(), no, "claimed adjustment is not a number"),
-        (given & (adj <= 0), no, "claimed adjustment must be a positive deduction"),
-        (given & (adj > F.col("credited")), no, "claimed adjustment exceeds the credited amount"),
+        (F.coalesce("n_ids", F.lit(0)) == 0, no, "no_credits_named"),
+        (F.col("n_unknown") > 0, no, "unknown_credits"),
+        (given & adj.isNull(), no, "adjustment_not_a_number"),
+        (given & (adj <= 0), no, "adjustment_not_positive"),
+        (given & (adj > F.col("credited")), no, "adjustment_above_credit"),
         (given & (F.abs(delta - adj) <= tolerance), ok,
-         "credits close with the claimed deduction"),
-        (given, no, "claimed adjustment leaves a gap"),
-        ((claim == "split_settlement") & closes, ok, "credits sum to expected net"),
-        (claim == "split_settlement", no, "claimed split does not close"),
-        ((claim == "unrecorded_adjustment") & (delta <= tolerance), no, "no shortfall to explain"),
+         "closes_with_adjustment"),
+        (given, no, "adjustment_leaves_gap"),
+        ((claim == "split_settlement") & closes, ok, "split_closes"),
+        (claim == "split_settlement", no, "split_open"),
+        ((claim == "unrecorded_adjustment") & (delta <= tolerance), no, "no_shortfall"),
         ((claim == "unrecorded_adjustment") & (expected > 0)
          & (delta > expected * F.lit(K.MAX_ADJUSTMENT_SHARE)), no,
-         "claimed adjustment is too large to be a charge"),
-        (claim == "unrecorded_adjustment", ok, "shortfall confirmed"),
-        (metadata & closes, ok, "amounts reconcile; only metadata is wrong"),
-        (metadata, no, "metadata defect claimed but amounts differ"),
-        (None, no, "unrecognised defect class"),
+         "charge_too_large"),
+        (claim == "unrecorded_adjustment", ok, "shortfall_confirmed"),
+        (metadata & closes, ok, "amounts_agree"),
+        (metadata, no, "amounts_differ"),
+        (None, no, "class_unknown"),
     )
     return rows.withColumn("ok", chain(*[(c, v) for c, v, _ in cases])).withColumn(
         "verdict", chain(*[(c, F.lit(t)) for c, _, t in cases])).drop("_claim", "_adj", "n_ids",

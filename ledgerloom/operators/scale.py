@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .. import constants as K
 
-# A side smaller than this fits one task whole, so no key in it can be too big.
-ONE_TASK_BYTES = 256 * 1024 * 1024
 # Keys holding a larger share than this are split; at most 1/share such keys exist.
 HOT_SHARE = 0.001
 
@@ -51,44 +49,30 @@ def materialise_all(frames: dict) -> dict[str, DataFrame]:
         return {name: job.result() for name, job in running_jobs.items()}
 
 
-def planned_bytes(df: DataFrame) -> int | None:
-    """Size of a relation as the optimizer estimates it, null when it cannot be asked."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
-    except AttributeError:
-        return None
+def skew_join(left, right, on, how="inner", spread_by="line_no", salt=False) -> DataFrame:
+    """Equi join of many left rows to a right side with few rows per key.
 
+    Spark's adaptive execution splits the partitions of a hot key by itself, so a plain
+    join is asked for. ``salt`` spreads hot keys before the shuffle instead: for sessions
+    without adaptive execution, or where what follows keeps Spark from splitting.
+    """
+    return salted_join(left, right, on, how, spread_by) if salt else left.join(right, on, how)
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Is the relation known to be small enough for Spark to broadcast it by itself?"""
-    size = planned_bytes(df)
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    limit = int(str(limit).rstrip("b")) if str(limit).rstrip("b").lstrip("-").isdigit() else 0
-    return size is not None and size <= limit
 
+def salted_join(left, right, on, how="inner", spread_by="line_no") -> DataFrame:
+    """A join that deals the left rows of hot keys out over several tasks.
 
-def skew_join(left, right, on, how="inner", spread_by="line_no", force=None) -> DataFrame:
-    """Equi join of many left rows to a right side with few rows per key.
-
-    A right side of known small size is left to Spark to broadcast, and a left side
-    that fits one task needs nothing. Otherwise keys that hold more than ``HOT_SHARE``
-    of the left rows are found by a frequent items pass, which returns at most
-    ``1 / HOT_SHARE`` of them, so that list is broadcast. Only their left rows are
-    salted and only their right rows copied.
+    Keys that hold more than ``HOT_SHARE`` of the left rows are found by a frequent items
+    pass, which returns at most ``1 / HOT_SHARE`` of them. That list is written, so both
+    sides read the same one, and small enough to broadcast. Only hot left rows are salted
+    and only their right rows copied.
     """
-    size = planned_bytes(left)
-    split = force if force is not None else (
-        (size is None or size > ONE_TASK_BYTES) and not fits_broadcast(right))
-    if not split:
-        return left.join(right, on, how)
     salts = max(4, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 4)
     key = F.xxhash64(*on)
-    hot = (
+    hot = materialise(
         left.select(key.alias("_key")).stat.freqItems(["_key"], HOT_SHARE)
         .select(F.explode("_key_freqItems").alias("_key"))
-        .withColumn("_hot", F.lit(True))
-    )
+        .withColumn("_hot", F.lit(True)), "hot-keys")
     salted = (
         left.withColumn("_key", key).join(F.broadcast(hot), "_key", "left")
         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)))

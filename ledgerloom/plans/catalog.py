@@ -10,7 +10,7 @@ from ..functions.rulebook import RuleBook
 from ..operators import (aging, cash, checks, digest, forecast, forensics, materiality, nets,
                          post_match, proposals, reports, risk, rules, scoring, signoff)
 from ..operators.rows import union_all
-from ..operators.scale import materialise, materialise_all, shared_folder
+from ..operators.scale import materialise, materialise_all, running, salted_join, shared_folder
 from ..sources import csv_files, driver_tables as tables, gateway_recon, rule_files
 from . import campaign, oracles
 from .close import Close, close, match_rate
@@ -114,6 +114,18 @@ def batch_nets(spark, sf_dir):
         "close_id", "batch_id", "expected", "settled_on", "utr", "batch_seq")
 
 
+@query("salted_batch_totals", """SELECT r.close_id, batch_id, count(*) AS n_rows,
+  CAST(sum(net) AS DECIMAL(28,2)) AS net, expected FROM rownet r JOIN batches b
+  ON r.close_id=b.close_id AND r.settlement_batch_id=b.batch_id GROUP BY ALL""")
+def salted_batch_totals(spark, sf_dir):
+    """Rows tied to their batch by the join that spreads hot keys before the shuffle."""
+    rows = sources(spark, sf_dir)[0].withColumnRenamed("settlement_batch_id", "batch_id")
+    known = nets.batch_nets(sources(spark, sf_dir)[0]).select("close_id", "batch_id", "expected")
+    tied = salted_join(rows, known, ["close_id", "batch_id"])
+    return tied.groupBy("close_id", "batch_id", "expected").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(money.net_amount()).cast(S.TOTAL).alias("net"))
+
+
 @query("prepared_credits", """SELECT close_id, bank_txn_id, credit_amount, utr_x, adj, adj_rule,
   has_ref FROM credits""")
 def prepared_credits(spark, sf_dir):
@@ -143,12 +155,16 @@ def _texts(spark, sf_dir):
     talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
         F.concat_ws("_", F.lit("c"), F.col("conv_id").cast("string"),
                     F.col("turn").cast("string")).alias("id"), "text")
-    return docs.unionByName(talks)
+    credits = sources(spark, sf_dir)[1].select(
+        F.concat_ws("_", F.lit("b"), "close_id", "bank_txn_id").alias("id"),
+        F.col("narration").alias("text"))
+    return docs.unionByName(talks).unionByName(credits)
 
 
 TEXTS = """texts AS (SELECT 'd'||CAST(doc_id AS VARCHAR) id, text FROM documents
   UNION ALL SELECT 'c_'||CAST(conv_id AS VARCHAR)||'_'||CAST(turn AS VARCHAR), text
-  FROM conversations)"""
+  FROM conversations
+  UNION ALL SELECT 'b_'||close_id||'_'||bank_txn_id, narration FROM bank)"""
 
 
 @query("injection_scan", f"""SELECT id, array_to_string(list_filter([{oracles.scan('text')}],
@@ -478,6 +494,15 @@ def materiality_triage(spark, sf_dir):
         "close_id", "defect_class", "subject_id", "money_impact", "lane")
 
 
+@query("materiality_order", """SELECT close_id, lane, subject_id, money_impact, row_number() OVER (
+  PARTITION BY close_id, lane ORDER BY money_impact DESC, check_rank, line_no, subject_id) AS place
+  FROM lanes WHERE lane IN ('chased','waived')""", extra=LANES)
+def materiality_order(spark, sf_dir):
+    """Both lists of single items, largest first."""
+    return materiality.in_order(materiality.triage(closed(spark, sf_dir).findings)).select(
+        "close_id", "lane", "subject_id", "money_impact", "place")
+
+
 @query("materiality_claims", """SELECT close_id, defect_class, count(*) AS items,
   CAST(sum(money_impact) AS DECIMAL(28,2)) AS total, max(money_impact) AS largest FROM lanes
   WHERE lane='aggregated' GROUP BY ALL""", extra=LANES)
@@ -530,38 +555,54 @@ def lag_percentiles(spark, sf_dir):
     return forecast.lag_model(forecast.observed_lags(closed(spark, sf_dir).matches))
 
 
-def _arrivals(spark, sf_dir):
+def _forecast(spark, sf_dir):
+    """Arrivals and anchors of every close."""
     c = closed(spark, sf_dir, False)
-    return forecast.arrivals(c.batches, c.open_batches, c.matches)
+    model = forecast.anchors(c.batches, c.open_batches, c.matches)
+    return forecast.arrivals(c.open_batches, model), model
 
 
 @query("forecast_arrivals", """SELECT close_id, batch_id, amount, CAST(earliest AS VARCHAR) AS
   earliest, CAST(expected_on AS VARCHAR) AS expected_on, CAST(latest AS VARCHAR) AS latest,
   latest<as_of AS overdue FROM arr""", extra=LAGS, learned=False)
 def forecast_arrivals(spark, sf_dir):
-    return _arrivals(spark, sf_dir).orderBy("expected_on", F.desc("amount")).select(
+    return _forecast(spark, sf_dir)[0].select(
         "close_id", "batch_id", "amount", "earliest", "expected_on", "latest", "overdue")
 
 
-@query("forecast_totals", """SELECT close_id, CAST(as_of AS VARCHAR) AS as_of, n_lags,
-  count(*) FILTER (latest>=as_of) AS n_arrivals,
-  CAST(coalesce(sum(amount) FILTER (latest>=as_of),0) AS DECIMAL(28,2)) AS total_expected,
-  count(*) FILTER (latest<as_of) AS n_overdue,
-  CAST(coalesce(sum(amount) FILTER (latest<as_of),0) AS DECIMAL(28,2)) AS overdue_total,
-  CAST(coalesce(sum(amount) FILTER (latest>=as_of AND latest<=as_of+14),0) AS DECIMAL(28,2))
-    AS worst_case, n_lags>=8 AS usable FROM arr GROUP BY ALL""", extra=LAGS, learned=False)
+@query("forecast_order", """SELECT close_id, batch_id, overdue, days_overdue, row_number() OVER (
+  PARTITION BY close_id, overdue ORDER BY CASE WHEN overdue THEN latest ELSE expected_on END,
+    CASE WHEN overdue THEN 0 ELSE -amount END, batch_id) AS place FROM (
+  SELECT *, latest<as_of AS overdue, CASE WHEN latest<as_of THEN as_of-latest END AS days_overdue
+  FROM arr)""", extra=LAGS, learned=False)
+def forecast_order(spark, sf_dir):
+    """Arrivals by day and amount, overdue batches with their days by slowest date."""
+    return forecast.in_order(_forecast(spark, sf_dir)[0]).select(
+        "close_id", "batch_id", "overdue", F.col("days_overdue").cast("long").alias("days_overdue"),
+        "place")
+
+
+@query("forecast_totals", """SELECT close_id, CAST(a.as_of AS VARCHAR) AS as_of,
+  coalesce(l.n_lags,0) AS n_lags, count(*) FILTER (latest>=a.as_of) AS n_arrivals,
+  CAST(coalesce(sum(amount) FILTER (latest>=a.as_of),0) AS DECIMAL(28,2)) AS total_expected,
+  count(*) FILTER (latest<a.as_of) AS n_overdue,
+  CAST(coalesce(sum(amount) FILTER (latest<a.as_of),0) AS DECIMAL(28,2)) AS overdue_total,
+  CAST(coalesce(sum(amount) FILTER (latest>=a.as_of AND latest<=a.as_of+14),0) AS DECIMAL(28,2))
+    AS worst_case, coalesce(l.n_lags,0)>=8 AS usable FROM anchor a LEFT JOIN lagm l
+  USING (close_id) LEFT JOIN arr USING (close_id) GROUP BY close_id, a.as_of, l.n_lags""",
+       extra=LAGS, learned=False)
 def forecast_totals(spark, sf_dir):
-    return forecast.forecast_totals(_arrivals(spark, sf_dir))
+    return forecast.forecast_totals(*_forecast(spark, sf_dir))
 
 
 @query("forecast_curve", """SELECT c.close_id, CAST(c.day AS VARCHAR) AS expected_on,
   CAST(coalesce(sum(amount),0) AS DECIMAL(28,2)) AS amount, count(amount) AS batches FROM (
-    SELECT DISTINCT close_id, as_of, CAST(as_of+CAST(o AS INTEGER) AS DATE) AS day FROM arr,
+    SELECT close_id, CAST(as_of+CAST(o AS INTEGER) AS DATE) AS day FROM anchor,
       range(0,15) r(o)) c
   LEFT JOIN arr a ON a.close_id=c.close_id AND a.expected_on=c.day AND a.latest>=a.as_of
   GROUP BY ALL""", extra=LAGS, learned=False)
 def forecast_curve(spark, sf_dir):
-    return forecast.forecast_curve(_arrivals(spark, sf_dir))
+    return forecast.forecast_curve(*_forecast(spark, sf_dir))
 
 
 @query("unscheduled_money", """SELECT close_id, defect_class, count(*) AS items,
@@ -582,10 +623,11 @@ btt AS (SELECT close_id, count(*) n_tested, count(*) FILTER (lag BETWEEN low AND
 
 @query("forecast_backtest", """SELECT b.close_id, b.n_fit, coalesce(n_tested,0) AS n_tested,
   coalesce(inside,0) AS inside_band, CAST(med AS DOUBLE) AS median_error_days,
-  round(CAST(inside AS DOUBLE)/n_tested,6) AS coverage FROM (SELECT DISTINCT close_id, n_fit
+  round(CAST(inside AS DOUBLE)/n_tested,6) AS coverage, CAST(inside AS DOUBLE)/n_tested>=0.65
+  AS honest FROM (SELECT DISTINCT close_id, n_fit
   FROM bt) b LEFT JOIN btt USING (close_id)""", extra=BACKTEST)
 def forecast_backtest(spark, sf_dir):
-    return forecast.backtest(closed(spark, sf_dir).matches).drop("honest")
+    return forecast.backtest(closed(spark, sf_dir).matches)
 
 
 # --- sign-off, aging, digests, lists -----------------------------------------
@@ -633,18 +675,26 @@ def _series(df):
         "close_seq", parts[2].cast("int"))
 
 
-AGING = """asked AS (SELECT DISTINCT regexp_extract(close_id,'^(sup_[0-9]+)',1) series_id,
+def _closes(c):
+    """Every close held, whether anything was asked in it or not."""
+    return _series(c.source_counts.select("close_id"))
+
+
+AGING = """held AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY close_seq) place,
+    max(close_seq) OVER (PARTITION BY series_id) last FROM (
+    SELECT regexp_extract(close_id,'^(sup_[0-9]+)',1) series_id,
+      CAST(regexp_extract(close_id,'([0-9]+)$',1) AS INTEGER) close_seq FROM counts)),
+asked AS (SELECT DISTINCT regexp_extract(close_id,'^(sup_[0-9]+)',1) series_id,
     CAST(regexp_extract(close_id,'([0-9]+)$',1) AS INTEGER) close_seq,
     CASE kind WHEN 'missing_source' THEN kind||'::'||subject_id WHEN 'stale_rule'
       THEN kind||'::rule_id='||detail ELSE kind||'::method='||detail END AS identity
   FROM exceptions WHERE kind IN ('unknown_rate_card','fabricated_amounts','stale_rule',
     'missing_source')),
-isl AS (SELECT *, close_seq-row_number() OVER (PARTITION BY series_id, identity
-  ORDER BY close_seq) g FROM asked),
+isl AS (SELECT a.*, place-row_number() OVER (PARTITION BY series_id, identity
+  ORDER BY close_seq) g FROM asked a JOIN held USING (series_id, close_seq)),
 runs AS (SELECT series_id, identity, g, count(*) run, min(close_seq) f, max(close_seq) l FROM isl
   GROUP BY 1,2,3),
-seen AS (SELECT regexp_extract(close_id,'^(sup_[0-9]+)',1) series_id,
-  max(CAST(regexp_extract(close_id,'([0-9]+)$',1) AS INTEGER)) last FROM exceptions GROUP BY 1)"""
+seen AS (SELECT DISTINCT series_id, last FROM held)"""
 
 
 @query("aged_questions", """SELECT series_id, identity, CAST(sum(run) AS BIGINT) AS appearances,
@@ -653,17 +703,18 @@ seen AS (SELECT regexp_extract(close_id,'^(sup_[0-9]+)',1) series_id,
   JOIN seen USING (series_id) GROUP BY series_id, identity""", extra=AGING, learned=False,
        yearly=True)
 def aged_questions(spark, sf_dir):
-    return aging.aged_questions(_series(closed(spark, sf_dir, False, True).exceptions.filter(
-        "kind != 'missing_source'")))
+    c = closed(spark, sf_dir, False, True)
+    return aging.aged_questions(_series(c.exceptions), _closes(c))
 
 
 @query("episodic_counts", """SELECT regexp_extract(close_id,'^(sup_[0-9]+)',1) AS series_id,
-  CAST(regexp_extract(close_id,'([0-9]+)$',1) AS INTEGER) AS close_seq,
-  count(*) FILTER (kind IN ('unmatched_batch','unclaimed_credit','suspicious_narration'))
-  AS episodic FROM exceptions GROUP BY ALL""", learned=False, yearly=True)
+  CAST(regexp_extract(close_id,'([0-9]+)$',1) AS INTEGER) AS close_seq, coalesce(n,0) AS episodic
+  FROM counts LEFT JOIN (SELECT close_id, count(*) n FROM exceptions WHERE kind IN
+    ('unmatched_batch','unclaimed_credit','suspicious_narration') GROUP BY 1) USING (close_id)""",
+       learned=False, yearly=True)
 def episodic_counts(spark, sf_dir):
-    return aging.episodic_counts(_series(closed(spark, sf_dir, False, True).exceptions.filter(
-        "kind != 'missing_source'")))
+    c = closed(spark, sf_dir, False, True)
+    return aging.episodic_counts(_series(c.exceptions), _closes(c))
 
 
 LINES = """lines AS (
@@ -680,30 +731,29 @@ WORDS = "||':'||".join(
     f"CAST(sum(CAST(('0x'||substr(h,{1 + 8 * n},8)) AS BIGINT)) AS VARCHAR)" for n in range(8))
 
 
-@query("close_digest", f"""SELECT close_id, sha256('close-v1:'||
+DIGEST_SQL = f"""SELECT close_id, sha256('close-v1:'||
   CAST(count(*) FILTER (tag='match') AS VARCHAR)||':'||
   CAST(count(*) FILTER (tag='finding') AS VARCHAR)||':'||
   CAST(count(*) FILTER (tag='exception') AS VARCHAR)||':'||{WORDS}) AS digest,
   count(*) FILTER (tag='match') AS matches, count(*) FILTER (tag='finding') AS findings,
-  count(*) FILTER (tag='exception') AS exceptions FROM hashed GROUP BY 1""", extra=LINES)
+  count(*) FILTER (tag='exception') AS exceptions FROM hashed GROUP BY 1"""
+
+
+@query("close_digest", DIGEST_SQL, extra=LINES)
 def close_digest(spark, sf_dir):
     c = closed(spark, sf_dir)
     return digest.close_digest(c.matches, c.match_credits, c.findings, c.exceptions)
 
 
-@query("canonical_digest", """SELECT close_id, sha256('{"exceptions":'||coalesce(e,'[]')||
-  ',"findings":'||coalesce(f,'[]')||',"matches":'||coalesce(m,'[]')||
-  ',"version":"close-v1"}') AS canonical_sha256 FROM counts
-  LEFT JOIN (SELECT close_id, '['||string_agg('["'||batch_id||'",'||ids||',"'||
-      CAST(expected_net AS VARCHAR)||'","'||CAST(credited AS VARCHAR)||'"]', ','
-      ORDER BY batch_id)||']' m FROM matches JOIN (SELECT close_id, batch_id,
-        '["'||string_agg(bank_txn_id, '","' ORDER BY bank_txn_id)||'"]' ids FROM match_credits
-        GROUP BY 1,2) USING (close_id, batch_id) GROUP BY 1) USING (close_id)
-  LEFT JOIN (SELECT close_id, '['||string_agg('["'||defect_class||'","'||subject_id||'","'||
-      CAST(money_impact AS VARCHAR)||'"]', ',' ORDER BY defect_class, subject_id,
-      CAST(money_impact AS VARCHAR))||']' f FROM findings GROUP BY 1) USING (close_id)
-  LEFT JOIN (SELECT close_id, '['||string_agg('["'||kind||'","'||subject_id||'"]', ','
-      ORDER BY kind, subject_id)||']' e FROM exceptions GROUP BY 1) USING (close_id)""")
+TREE = LINES + """,
+leaf AS (SELECT close_id, row_number() OVER (PARTITION BY close_id ORDER BY tag, line)-1 AS n,
+  sha256(line) h FROM lines)""" + "".join(f""",
+tree{n} AS (SELECT close_id, n//1000 AS n, sha256(string_agg(h, ',' ORDER BY n)) h
+  FROM {"leaf" if n == 1 else f"tree{n - 1}"} GROUP BY ALL)""" for n in range(1, 5))
+
+
+@query("canonical_digest", "SELECT close_id, sha256('close-v1:'||h) AS canonical_sha256 FROM tree4",
+       extra=TREE)
 def canonical_digest(spark, sf_dir):
     c = closed(spark, sf_dir)
     return digest.canonical_digest(c.matches, c.match_credits, c.findings, c.exceptions)
@@ -741,10 +791,11 @@ SCORED = """count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp
 
 @query("score_by_class", f"""SELECT defect_class, tp, fp, fn, round(CAST(tp AS DOUBLE)
   /nullif(tp+fp,0),6) AS precision, round(CAST(tp AS DOUBLE)/nullif(tp+fn,0),6) AS recall,
+  round(CASE WHEN tp>0 THEN 2.0::DOUBLE*tp/(2*tp+fp+fn) END,6) AS f1,
   tp+fn AS support, fp*4.0::DOUBLE AS false_positive_minutes FROM (SELECT defect_class, {SCORED}
   FROM pairs GROUP BY 1)""", extra=HITS)
 def score_by_class(spark, sf_dir):
-    return scoring.score(closed(spark, sf_dir).findings, labels(spark, sf_dir)).drop("f1")
+    return scoring.score(closed(spark, sf_dir).findings, labels(spark, sf_dir))
 
 
 def _records(c):
@@ -822,7 +873,7 @@ def averages_by_year(spark, sf_dir):
     """Means per position in a series, with counts of trouble summed."""
     c = closed(spark, sf_dir, False, True)
     rows = _records(c).join(match_rate(c.matches), "close_id", "left").join(
-        c.exceptions.filter("kind != 'missing_source'").groupBy("close_id").agg(
+        c.exceptions.groupBy("close_id").agg(
             F.count(F.lit(1)).alias("n_exceptions")), "close_id", "left").fillna(0)
     rows = _series(rows).withColumn("match_rate", F.coalesce(
         F.try_divide("clean", "matched"), F.lit(0.0)))
@@ -934,22 +985,21 @@ def repricing_candidates(spark, sf_dir):
         F.col("proposed_rule.params")["amount"].alias("amount"))
 
 
-def _contract(spark, sf_dir):
-    """The agreed rate of each method in use: what most of its payments were billed."""
-    paid = sources(spark, sf_dir)[0].filter("txn_type = 'payment' and gross_amount > 0")
-    rate = F.bround(money.implied_rate(), 3)
-    return paid.groupBy("method", rate.alias("rate")).agg(F.count(F.lit(1)).alias("n")).groupBy(
-        "method").agg(F.max_by("rate", "n").alias("rate"))
+# What the merchant agreement of these views says, whatever was billed.
+CONTRACT = (("upi", "0.020"), ("card", "0.020"), ("netbanking", "0.020"), ("intl_card", "0.030"))
 
 
-@query("rate_candidates", """SELECT c.close_id, c.method, CAST(CAST(k.r AS DECIMAL(6,3))/1000 AS
-  DECIMAL(6,3))::VARCHAR AS rate FROM cards c JOIN (SELECT method, arg_max(b, n) r FROM (
-    SELECT method, bucket3 b, count(*) n FROM rated GROUP BY 1,2) GROUP BY 1) k USING (method)""",
-       learned=False)
+def _contract(spark):
+    return spark.createDataFrame(list(CONTRACT), "method string, rate string").withColumn(
+        "rate", F.col("rate").cast("decimal(6,3)"))
+
+
+@query("rate_candidates", f"""SELECT c.close_id, c.method, k.rate FROM cards c JOIN (VALUES
+  {', '.join(map(str, CONTRACT))}) k(method, rate) USING (method)""", learned=False)
 def rate_candidates(spark, sf_dir):
     c = closed(spark, sf_dir, False)
     p = F.col("proposed_rule.params")
-    return rules.rate_candidates(c.exceptions, _contract(spark, sf_dir)).select(
+    return rules.rate_candidates(c.exceptions, _contract(spark)).select(
         "close_id", p["method"].alias("method"), p["rate"].cast("decimal(6,3)").cast("string")
         .alias("rate"))
 
@@ -958,7 +1008,7 @@ def rate_candidates(spark, sf_dir):
 def learned_rules(spark, sf_dir):
     """The rule table after a first close without any rule."""
     c = closed(spark, sf_dir, False)
-    answers = materialise(rules.suggested_resolutions(c, _contract(spark, sf_dir)), "answers")
+    answers = materialise(rules.suggested_resolutions(c, _contract(spark)), "answers")
     table = rules.learn(answers, spark.createDataFrame([], S.RULES),
                         rules.confirmed_cases(c.bank, c.findings), "first close")
     return table.select("rule_seq", "rule_id", "kind", F.to_json("params").alias("params"),
@@ -970,7 +1020,7 @@ def learned_rules(spark, sf_dir):
     SELECT method, bucket3 b, count(*) n FROM rated GROUP BY 1,2) GROUP BY 1)""", learned=False)
 def rule_store_round_trip(spark, sf_dir):
     """A rate rule per method, written as the store document and read back."""
-    table = _contract(spark, sf_dir).select(
+    table = _contract(spark).select(
         F.row_number().over(_by("method")).cast("long").alias("rule_seq"),
         F.concat(F.lit("fee_variant_"), "method").alias("rule_id"),
         F.lit("fee_variant").alias("kind"),
@@ -1031,20 +1081,20 @@ summed AS (SELECT n.close_id, n.batch_id, count(*) ids, count(*) FILTER (b.bank_
 judged AS (SELECT s.*, coalesce(u.credited,0) credited, s.expected-coalesce(u.credited,0) delta,
   coalesce(u.ids,0) ids, coalesce(u.gone,0) gone FROM said s LEFT JOIN summed u
   USING (close_id, batch_id)),
-verdict AS (SELECT *, CASE WHEN ids=0 THEN 'proposal named no credits'
-  WHEN gone>0 THEN 'proposal named unknown credits'
-  WHEN adj AND 250>credited THEN 'claimed adjustment exceeds the credited amount'
-  WHEN adj AND abs(delta-250)<=1 THEN 'credits close with the claimed deduction'
-  WHEN adj THEN 'claimed adjustment leaves a gap'
-  WHEN claim='split_settlement' AND abs(delta)<=1 THEN 'credits sum to expected net'
-  WHEN claim='split_settlement' THEN 'claimed split does not close'
-  WHEN claim='unrecorded_adjustment' AND delta<=1 THEN 'no shortfall to explain'
+verdict AS (SELECT *, CASE WHEN ids=0 THEN 'no_credits_named'
+  WHEN gone>0 THEN 'unknown_credits'
+  WHEN adj AND 250>credited THEN 'adjustment_above_credit'
+  WHEN adj AND abs(delta-250)<=1 THEN 'closes_with_adjustment'
+  WHEN adj THEN 'adjustment_leaves_gap'
+  WHEN claim='split_settlement' AND abs(delta)<=1 THEN 'split_closes'
+  WHEN claim='split_settlement' THEN 'split_open'
+  WHEN claim='unrecorded_adjustment' AND delta<=1 THEN 'no_shortfall'
   WHEN claim='unrecorded_adjustment' AND expected>0 AND delta>expected*0.25
-    THEN 'claimed adjustment is too large to be a charge'
-  WHEN claim='unrecorded_adjustment' THEN 'shortfall confirmed'
-  WHEN claim='narration_drift' AND abs(delta)<=1 THEN 'amounts reconcile; only metadata is wrong'
-  WHEN claim='narration_drift' THEN 'metadata defect claimed but amounts differ'
-  ELSE 'unrecognised defect class' END AS verdict FROM judged)"""
+    THEN 'charge_too_large'
+  WHEN claim='unrecorded_adjustment' THEN 'shortfall_confirmed'
+  WHEN claim='narration_drift' AND abs(delta)<=1 THEN 'amounts_agree'
+  WHEN claim='narration_drift' THEN 'amounts_differ'
+  ELSE 'class_unknown' END AS verdict FROM judged)"""
 
 
 @query("parsed_proposals", """SELECT close_id, batch_id AS subject_id, claim AS defect_class,
@@ -1082,8 +1132,8 @@ que AS (SELECT e.close_id, e.subject_id, row_number() OVER (PARTITION BY e.close
     ORDER BY e.check_rank, e.line_no, e.kind, e.subject_id) place,
     greatest(1, CAST(floor(5.0*(n_settlement+n_bank+n_ledger)/100) AS BIGINT)) budget,
     CASE WHEN coalesce(conf,0)<0.6 THEN 'declined' WHEN v.verdict NOT IN (
-      'credits close with the claimed deduction','credits sum to expected net',
-      'shortfall confirmed','amounts reconcile; only metadata is wrong') THEN 'refused'
+      'closes_with_adjustment','split_closes',
+      'shortfall_confirmed','amounts_agree') THEN 'refused'
       WHEN v.claim='refund_fraud' THEN 'unparseable' ELSE 'accepted' END step, v.verdict, v.claim,
     conf, delta
   FROM exceptions e JOIN counts USING (close_id) LEFT JOIN verdict v
@@ -1104,6 +1154,20 @@ def proposal_outcomes(spark, sf_dir):
     return _outcomes(spark, sf_dir).select("close_id", "subject_id", "place", "outcome")
 
 
+@query("close_effort", """SELECT c.close_id, CAST(n_settlement+n_bank+n_ledger AS BIGINT) AS
+  records, coalesce(calls,0) AS calls, round(coalesce(calls,0)*100.0::DOUBLE
+  /(n_settlement+n_bank+n_ledger),6) AS calls_per_100,
+  round(coalesce(CAST(n AS DOUBLE)/(n+coalesce(won,0)),1.0),6) AS deterministic_share
+  FROM counts c LEFT JOIN (SELECT close_id, count(*) FILTER (outcome NOT IN ('deferred','abandoned'))
+    calls, count(*) FILTER (outcome='accepted') won FROM res GROUP BY 1) USING (close_id)
+  LEFT JOIN (SELECT close_id, count(*) n FROM findings GROUP BY 1) USING (close_id)""",
+       extra=OUTCOMES, learned=False)
+def close_effort(spark, sf_dir):
+    """How much of a close needed outside answers."""
+    c = closed(spark, sf_dir, False)
+    return scoring.effort(c.findings, _outcomes(spark, sf_dir), _records(c))
+
+
 @query("proposal_findings", """SELECT close_id, claim AS defect_class, subject_id,
   CAST(conf AS DOUBLE) AS confidence, CAST(abs(delta) AS DECIMAL(28,2)) AS money_impact FROM res
   WHERE outcome='accepted'""", extra=OUTCOMES, learned=False)
@@ -1172,13 +1236,14 @@ probe AS (SELECT *, round(round(closest_amount_gap_log,3)/20,3) risk FROM feats)
 
 @query("risk_measures", """SELECT count(*)::DOUBLE AS n, sum(label) AS positives,
   round(avg(pow(risk-label,2)),6) AS brier, round(avg(pow(0.1::DOUBLE-label,2)),6) AS baseline,
+  round(1-avg(pow(risk-label,2))/avg(pow(0.1::DOUBLE-label,2)),6) AS skill,
   round((SELECT sum(CASE WHEN a.risk>b.risk THEN a.k*b.k WHEN a.risk=b.risk THEN a.k*b.k*0.5
     ELSE 0 END)/sum(a.k*b.k)
     FROM (SELECT risk, count(*)::DOUBLE k FROM probe WHERE label=1 GROUP BY 1) a,
     (SELECT risk, count(*)::DOUBLE k FROM probe WHERE label=0 GROUP BY 1) b),6) AS auc FROM probe""",
        extra=PROBE, learned=False)
 def risk_measures(spark, sf_dir):
-    return risk.evaluate(_probe(spark, sf_dir), 0.1).drop("skill")
+    return risk.evaluate(_probe(spark, sf_dir), 0.1)
 
 
 @query("risk_reliability", """SELECT least(CAST(floor(risk*5) AS INTEGER),4) AS bin, count(*) AS n,
@@ -1229,31 +1294,56 @@ def risk_ranking(spark, sf_dir):
 
 # --- files -------------------------------------------------------------------
 
+# Small part files, so that a table comes in many of them.
+ROWS_PER_FILE = 10_000
+
+
+def _placed(df):
+    """Rank of each row within its close by line number."""
+    return running(df, ["close_id"], [F.col("line_no")], "lines", place=("count", "close_id"))
+
+
 def _round_trip(name, source, reader, columns, sql):
     @query(f"{name}_csv_round_trip", sql)
     def job(spark, sf_dir):
         path = _folder(spark, name)
-        csv_files.write_csv(sources(spark, sf_dir)[source], name, path, keep_close=True)
+        csv_files.write_csv(sources(spark, sf_dir)[source], name, path, keep_close=True,
+                            rows_per_file=ROWS_PER_FILE)
         good, _ = reader(spark, path, F.col("close_id"))
-        return good.select("close_id", *columns)
+        return _placed(good).select("close_id", "place", *columns)
 
 
+PLACE = "row_number() OVER (PARTITION BY close_id ORDER BY line_no) AS place"
 _round_trip("settlement", 0, csv_files.read_settlement,
             ["txn_id", "settlement_batch_id", "utr", "txn_type", "gross_amount", "fee",
              "gst_on_fee", "settled_on", "order_id", "method"],
-            """SELECT close_id, txn_id, settlement_batch_id, utr, txn_type, gross_amount, fee,
-            gst_on_fee, CAST(settled_on AS VARCHAR) AS settled_on, order_id, method
+            f"""SELECT close_id, {PLACE}, txn_id, settlement_batch_id, utr, txn_type, gross_amount,
+            fee, gst_on_fee, CAST(settled_on AS VARCHAR) AS settled_on, order_id, method
             FROM settlement""")
 _round_trip("bank", 1, csv_files.read_bank,
             ["bank_txn_id", "credit_amount", "value_date", "narration", "utr"],
-            """SELECT close_id, bank_txn_id, credit_amount, CAST(value_date AS VARCHAR)
+            f"""SELECT close_id, {PLACE}, bank_txn_id, credit_amount, CAST(value_date AS VARCHAR)
             AS value_date, narration, utr FROM bank""")
 _round_trip("ledger", 2, csv_files.read_ledger,
             ["order_id", "txn_id", "amount", "created_at", "status"],
-            """SELECT close_id, order_id, txn_id, amount, CAST(created_at AS VARCHAR)
+            f"""SELECT close_id, {PLACE}, order_id, txn_id, amount, CAST(created_at AS VARCHAR)
             AS created_at, status FROM ledger""")
 
 
+@query("bundle_round_trip", DIGEST_SQL, extra=LINES)
+def bundle_round_trip(spark, sf_dir):
+    """The digest of a close whose three tables went out to part files and came back."""
+    paths = {}
+    for n, name in enumerate(("settlement", "bank", "ledger")):
+        paths[name] = _folder(spark, f"bundle-{name}")
+        csv_files.write_csv(sources(spark, sf_dir)[n], name, paths[name], keep_close=True,
+                            rows_per_file=ROWS_PER_FILE)
+    *loaded, _ = csv_files.load_bundle(spark, **paths, close_id=F.col("close_id"), recon=False)
+    made = materialise_all(dict(zip(paths, loaded)))
+    c = close(*[made[name] for name in paths], tables.rulebook())
+    return digest.close_digest(c.matches, c.match_credits, c.findings, c.exceptions)
+
+
 @query("recon_round_trip", """SELECT txn_id, settlement_batch_id, utr, txn_type, gross_amount,
   fee, gst_on_fee,
   CAST(settled_on AS VARCHAR) AS settled_on, order_id, method FROM settlement""")
@@ -1322,5 +1412,5 @@ def campaign_drift(spark, sf_dir):
                   for df in sources(spark, sf_dir, True))
     periods = [r.close_seq for r in
                st.select("close_seq").distinct().orderBy("close_seq").collect()]
-    done = campaign.run_campaign(st, bk, ld, periods, _contract(spark, sf_dir))
+    done = campaign.run_campaign(st, bk, ld, periods, _contract(spark))
     return campaign.drift_table(done)

@@ -16,10 +16,12 @@ def normalise_header(name: str) -> str:
 
 
 def read_raw(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
-    """All columns as text, plus the file and the record's line number in it.
+    """All columns as text, plus the file, the record's line in it and its place in all files.
 
-    Line numbers count records, the header being line one. Splits of a file are
-    numbered by themselves and shifted by the sizes of the splits before them.
+    ``_line`` counts records of a file, the header being line one; ``_place`` goes on over
+    the files in name order, so it is unique and keeps the order in which part files of one
+    table were written. Splits are numbered by themselves and shifted by what is before
+    them.
     """
     raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"',
                          multiLine=multi_line, enforceSchema=False)
@@ -36,12 +38,15 @@ def read_raw(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     blocks = rows.groupBy("_file", "_block").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    overall = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
     # One row per file split: written, so Spark knows its size and broadcasts it if small.
-    shifts = materialise(
-        blocks.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))), "splits")
-    return rows.join(shifts, ["_file", "_block"]).withColumn(
-        "_line", F.col("_id") - F.col("_first") + F.col("_shift") + 2).drop(
-        "_id", "_first", "_n", "_shift", "_block")
+    shifts = materialise(blocks.withColumns({
+        "_shift": F.coalesce(F.sum("_n").over(before), F.lit(0)),
+        "_earlier": F.coalesce(F.sum("_n").over(overall), F.lit(0))}), "splits")
+    within = F.col("_id") - F.col("_first") + 2
+    return rows.join(shifts, ["_file", "_block"]).withColumns({
+        "_line": within + F.col("_shift"), "_place": within + F.col("_earlier")}).drop(
+        "_id", "_first", "_n", "_shift", "_earlier", "_block")
 
 
 def pick(df: DataFrame, field: str) -> Column:
@@ -101,7 +106,7 @@ def _split(df: DataFrame, source: str, columns) -> tuple[DataFrame, DataFrame]:
 
 
 def _or_line(value: Column, prefix: str) -> Column:
-    return F.coalesce(value, F.concat(F.lit(prefix), F.col("_line").cast("string")))
+    return F.coalesce(value, F.concat(F.lit(prefix), F.col("_place").cast("string")))
 
 
 def read_settlement(spark, path, close_id="close", multi_line=False):
@@ -118,7 +123,7 @@ def read_settlement(spark, path, close_id="close", multi_line=False):
         (day(settled).isNull(), _not_a_date(settled, "settled_on")))
     typed = raw.select(
         "_file", "_line", error.alias("_error"), _close(close_id).alias("close_id"),
-        F.col("_line").alias("line_no"), _or_line(pick(raw, "txn_id"), "row_").alias("txn_id"),
+        F.col("_place").alias("line_no"), _or_line(pick(raw, "txn_id"), "row_").alias("txn_id"),
         F.coalesce(pick(raw, "settlement_batch_id"), F.lit("")).alias("settlement_batch_id"),
         pick(raw, "utr").alias("utr"), kind.alias("txn_type"),
         *[value.alias(n) for n, (_, value, _) in amounts.items()],
@@ -136,7 +141,7 @@ def read_bank(spark, path, close_id="close", multi_line=False):
                          (day(when).isNull(), _not_a_date(when, "value_date")))
     typed = raw.select(
         "_file", "_line", error.alias("_error"), _close(close_id).alias("close_id"),
-        F.col("_line").alias("line_no"),
+        F.col("_place").alias("line_no"),
         _or_line(pick(raw, "bank_txn_id"), "bank_").alias("bank_txn_id"),
         value.alias("credit_amount"), day(when).alias("value_date"),
         F.coalesce(pick(raw, "narration"), F.lit("")).alias("narration"),
@@ -154,7 +159,7 @@ def read_ledger(spark, path, close_id="close", multi_line=False):
                          (day(when).isNull(), _not_a_date(when, "created_at")))
     typed = raw.select(
         "_file", "_line", error.alias("_error"), _close(close_id).alias("close_id"),
-        F.col("_line").alias("line_no"),
+        F.col("_place").alias("line_no"),
         _or_line(pick(raw, "order_id"), "order_").alias("order_id"),
         F.coalesce(pick(raw, "txn_id"), F.lit("")).alias("txn_id"), value.alias("amount"),
         day(when).alias("created_at"),
@@ -208,12 +213,13 @@ EXPORTS = {
 }
 
 
-def write_csv(df: DataFrame, source: str, path: str, keep_close: bool = False) -> None:
-    """Canonical columns in line order, blanks for missing values."""
+def write_csv(df: DataFrame, source: str, path: str, keep_close: bool = False,
+              rows_per_file: int = 0) -> None:
+    """Canonical columns in line order over the part files, blanks for missing values."""
     columns = [F.coalesce(F.col(c).cast("string"), F.lit(""))
                .alias("gross_amount" if source == "ledger" and c == "amount" else c)
                for c in EXPORTS[source]]
     if keep_close:
         columns.insert(0, F.col("close_id"))
-    df.orderBy("close_id", "line_no").select(*columns).write.csv(
-        path, header=True, emptyValue="", quote='"', escape='"')
+    df.orderBy("close_id", "line_no").select(*columns).write.option(
+        "maxRecordsPerFile", rows_per_file).csv(path, header=True, emptyValue="", quote='"', escape='"')

@@ -69,14 +69,23 @@ def test_forecast(spark):
             ("c", "UNSETTLED", D(5), day(20), None, 3, day(20), day(20)),
             ("c", "negative", D(-5), day(20), None, 4, day(20), day(20))]
     open_batches = spark.createDataFrame(rows, batch)
-    a = forecast.arrivals(open_batches, open_batches, m)
+    quiet = spark.createDataFrame([("idle", "x", D(1), day(3), None, 1, day(3), day(3))], batch)
+    start = forecast.anchors(open_batches.unionByName(quiet), open_batches, m)
+    a = forecast.arrivals(open_batches, start)
     by = {r.batch_id: r for r in a.collect()}
     assert set(by) == {"late", "due"}
     assert by["late"].overdue and by["late"].days_overdue == 15
     assert by["due"].expected_on == day(22) and by["due"].latest == day(25)
-    t = forecast.forecast_totals(a).first()
+    totals = {r.close_id: r for r in forecast.forecast_totals(a, start).collect()}
+    t = totals["c"]
+    assert (totals["idle"].n_arrivals, totals["idle"].worst_case, totals["idle"].as_of) == (
+        0, D(0), day(3))
+    assert [(r.batch_id, r.place) for r in forecast.in_order(a).orderBy("overdue").collect()] == [
+        ("due", 1), ("late", 1)]
     assert (t.total_expected, t.overdue_total, t.worst_case, t.usable) == (D(30), D(10), D(30), True)
-    curve = {r.expected_on: r.amount for r in forecast.forecast_curve(a).collect()}
+    days = forecast.forecast_curve(a, start).collect()
+    assert [r.amount for r in days if r.close_id == "idle"] == [D(0)] * 15
+    curve = {r.expected_on: r.amount for r in days if r.close_id == "c"}
     assert len(curve) == 15 and curve[day(22)] == D(30) and sum(curve.values()) == D(30)
 
 
@@ -112,10 +121,19 @@ def test_aging_counts_the_latest_run(spark):
                               "close_id string, kind string, subject_id string, "
                               "context map<string,string>, reason string, check_rank int, "
                               "line_no long, series_id string, close_seq int")
-    r = aging.aged_questions(e).first()
+    def closes(last):
+        return spark.createDataFrame([("s", m) for m in range(1, last + 1)],
+                                     "series_id string, close_seq int")
+
+    r = aging.aged_questions(e, closes(7)).first()
     assert (r.appearances, r.consecutive, r.stale, r.recurring, r.resolved) == (
         5, 3, True, True, True)
-    assert {x.close_seq: x.episodic for x in aging.episodic_counts(e).collect()}[7] == 1
+    by = {x.close_seq: x.episodic for x in aging.episodic_counts(e, closes(7)).collect()}
+    assert by == {1: 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 1}
+    # A later close without any exception resolves the question; none leaves it open.
+    quiet = e.filter("kind = 'stale_rule'")
+    assert aging.aged_questions(quiet, closes(7)).first().resolved
+    assert not aging.aged_questions(quiet, closes(6)).first().resolved
 
 
 def test_score_and_auto_clear(spark):

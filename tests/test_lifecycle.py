@@ -213,7 +213,7 @@ def test_budget_takes_the_head_of_the_queue(spark):
     df, got = outcomes(spark, "a" * 6, records=59)
     assert got == ["accepted"] * 2 + ["deferred"] * 4
     assert [r.rule for r in proposals.stops(df).collect()] == ["model_budget"]
-    rows = proposals.proposal_findings(df).collect()
+    rows = proposals.proposal_findings(df).orderBy("subject_id").collect()
     assert [r.subject_id for r in rows] == ["s000", "s001"] and rows[0].layer == "L3_llm"
 
 

@@ -21,7 +21,7 @@ def test_salted_join_equals_plain_join(spark, hot, how):
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k7", 3), ("gone", 4)],
                                   "k string, w int")
     plain = hot.join(right, ["k"], how)
-    salted = scale.skew_join(hot, right, ["k"], how, force=True)
+    salted = scale.skew_join(hot, right, ["k"], how, salt=True)
     assert salted.columns == plain.columns
     assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
 
@@ -31,7 +31,7 @@ def test_hot_key_is_spread(spark, hot):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        parts = scale.skew_join(hot, right, ["k"], force=True).groupBy(
+        parts = scale.salted_join(hot, right, ["k"]).groupBy(
             F.spark_partition_id().alias("p")).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
