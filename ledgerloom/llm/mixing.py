@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.scale import materialise
+from .places import numbered
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -147,16 +148,17 @@ def mixture(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
     A copy that is taken in part keeps its first words and the white space between them.
     """
-    rows = materialise(df.withColumn("_number", F.monotonically_increasing_id()), "mix_rows")
-    copies = (mix(rows, key, text, source, carry=("_number",), **options)
+    packed, _ = numbered(df)
+    narrow = packed.select("_number", *[F.col("_all")[c].alias(c) for c in dict.fromkeys((key, text, source))])
+    copies = (mix(narrow, key, text, source, carry=("_number",), **options)
               .select("_number", "size", F.explode("starts").alias("c"))
               .select("_number", "size", "c.words", "c.position"))
-    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(F.col("_words") < F.col("_size"), F.array_join(
-        F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")).otherwise(F.col(text))
-    copies = copies.withColumnsRenamed({"size": "_size", "words": "_words", "position": "_position"})
-    return (rows.join(copies, "_number").withColumn(text, cut)
-            .orderBy("_position", "_number").select(*df.columns))
+    own = F.col("_all")[text]
+    pieces = F.regexp_extract_all(own, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(F.col("words") < F.col("size"), F.array_join(
+        F.slice(pieces, F.lit(1), F.col("words").cast("int")), "")).otherwise(own)
+    return (packed.join(copies, "_number").orderBy("position", "_number")
+            .select(F.col("_all").withField(text, cut).alias("_all")).select("_all.*"))
 
 
 ORACLE = f"""

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.scale import materialise
+from .places import numbered
 
 SCOPE = 256
 
@@ -166,17 +167,21 @@ def redacted(text: Column, spans: Column, mark: str = "[REMOVED]") -> Column:
 def redact(df: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     """The rows with their secrets replaced in ``text``; other columns stay.
 
-    Only the few rows with candidates for linking are joined; the rest passes through.
+    Only rows with spans are looked up again, by their number in the table.
     """
-    columns = df.columns
-    kept = materialise(with_parts(df, text).withColumn("_row", F.monotonically_increasing_id()),
-                       "secret_texts")
-    more = materialise(linked(kept.select("_row", "_base", "_weak"), scope=scope), "secret_links")
-    plain = kept.filter(F.size("_weak") == 0).withColumn("_spans", F.col("_base"))
-    joined = kept.filter(F.size("_weak") > 0).join(more, "_row", "left").withColumn(
-        "_spans", F.concat("_base", F.coalesce("_linked", F.array().cast(SPAN)))).drop("_linked")
-    return plain.unionByName(joined).withColumn(
-        text, redacted(F.col(text), F.col("_spans"))).select(*columns)
+    packed, _ = numbered(df)
+    row = packed.select("_number", F.col("_all")[text].alias("_text"))
+    some = materialise(
+        with_parts(row, "_text").select("_number", "_base", "_weak")
+        .filter((F.size("_base") > 0) | (F.size("_weak") > 0)), "secret_parts")
+    spans = materialise(
+        some.join(linked(some, "_number", scope), "_number", "left").select("_number", F.concat(
+            "_base", F.coalesce("_linked", F.array().cast(SPAN))).alias("_spans"))
+        .filter(F.size("_spans") > 0), "secret_spans")
+    clean = F.when(F.col("_spans").isNull(), F.col("_all")[text]).otherwise(
+        redacted(F.col("_all")[text], F.col("_spans")))
+    return (packed.join(spans, "_number", "left")
+            .select(F.col("_all").withField(text, clean).alias("_all")).select("_all.*"))
 
 
 def _sql_spans(pattern: str, kind: str, role: str, keep: str = "true") -> str:

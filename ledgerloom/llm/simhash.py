@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.scale import materialise
 from .components import components, forest
+from .places import numbered
 
 WORDS = 4
 MOST_BITS = 4
@@ -202,17 +203,18 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
                 most: int = MOST_BITS) -> DataFrame:
     """One row of each component stays, whole: that with the smallest key, null last.
 
-    Rows are told apart by a number of their own, so repeated keys do no harm. The rows
-    that go are few and are looked up by it.
+    Rows are told apart by their number in the table, so repeated keys do no harm and no
+    text is written; the rows that go are few and are looked up by number.
     """
-    kept = materialise(with_fingerprint(df, text, "_fp", words).withColumn(
-        "_number", F.monotonically_increasing_id()), "fingerprinted")
-    rows = grouped(kept.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"),
-                                        F.col("_number").alias("number")).alias("_rank"), "_fp"),
-                   "_rank", most)
-    gone = materialise(rows.filter("_rank <> component_id").select(
+    packed, _ = numbered(df)
+    row = packed.select("_number", F.col("_all")[key].alias("_key"), F.col("_all")[text].alias("_text"))
+    rank = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"),
+                    F.col("_number").alias("number"))
+    prints = materialise(with_fingerprint(row, "_text", "_fp", words).select(
+        rank.alias("_rank"), "_fp"), "fingerprints")
+    gone = materialise(grouped(prints, "_rank", most).filter("_rank <> component_id").select(
         F.col("_rank.number").alias("_number")), "copies")
-    return kept.join(gone, "_number", "left_anti").select(*df.columns)
+    return packed.join(gone, "_number", "left_anti").select("_all.*")
 
 
 def grouped(rows: DataFrame, key: str, most: int = MOST_BITS) -> DataFrame:

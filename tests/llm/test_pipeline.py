@@ -95,6 +95,7 @@ def test_nulls_repeats_and_further_columns(spark, docs):
     for _, stage in corpus_pipeline.STAGES[1:4]:
         rows = stage(spark, df, None)
         assert rows.columns == df.columns
+        assert {(r._fp, r._number, r._row, r._score, r["size"]) for r in rows.collect()} == {(1, 2, 3, 4, 5)}
         assert stage(spark, df.limit(0), None).count() == 0
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.without_copies(spark, df, None).collect()) == [
         (1, None), (3, "one two three four five")]
