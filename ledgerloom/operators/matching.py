@@ -230,7 +230,8 @@ def match_batches(batches: DataFrame, credits: DataFrame, book: RuleBook,
     if contested not in ("park", "earliest"):
         raise ValueError("contested must be 'park' or 'earliest'")
     last_day = K.WINDOW_DAYS + book.extra_lag_days()
-    claimed = reference_credits(batches, credits)
+    # Four tables follow from it, so it is written once.
+    claimed = materialise(reference_credits(batches, credits), "claimed")
     taken = [claimed.select(*S.MATCH_CREDITS.names)]
     first = materialise_all({
         "by-reference": reference_matches(batches, claimed),

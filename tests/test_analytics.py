@@ -215,3 +215,20 @@ def test_calibration_is_a_step(spark):
     model.scores = lambda rows: rows
     assert [r.risk for r in model.predict(df).orderBy("score").collect()] == [
         0.1, 0.1, 0.3, 0.3, 0.9, 0.9]
+
+
+def test_lists_by_size_and_effort(spark):
+    f = findings(spark, [("c", "missing_utr", f"s{n}", 0.9, v) for n, v in
+                         enumerate((600, 900, 40, 70, 600))])
+    placed = materiality.in_order(materiality.triage(f)).collect()
+    assert {(r.lane, r.subject_id, r.place) for r in placed} == {
+        ("chased", "s1", 1), ("chased", "s0", 2), ("chased", "s4", 3),
+        ("waived", "s3", 1), ("waived", "s2", 2)}
+    done = spark.createDataFrame(
+        [("c", "accepted"), ("c", "refused"), ("c", "deferred"), ("c", "abandoned")],
+        "close_id string, outcome string")
+    records = spark.createDataFrame([("c", 50), ("idle", 9)], "close_id string, records long")
+    by = {r.close_id: r for r in scoring.effort(f, done, records).collect()}
+    assert (by["c"].calls, by["c"].calls_per_100) == (2, 4.0)
+    assert by["c"].deterministic_share == pytest.approx(5 / 6)
+    assert (by["idle"].calls_per_100, by["idle"].deterministic_share) == (0.0, 1.0)

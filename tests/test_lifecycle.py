@@ -82,6 +82,18 @@ def test_proposed_rules_need_their_parameters(spark):
                  ("c", None, ("made_up", {"x": "y"}, 1.0)), ("d", None, None),
                  ("e", None, ("narration_alias", {"pattern": "p", "utr": "u"}, 1.0)))
     assert [r.subject_id for r in rules.coerce(df).collect()] == ["a"]
+    learnt = rules.learn(df, table(spark), cases(spark), "m1").collect()
+    assert [(r.kind, r.origin_exception) for r in learnt] == [("adjustment_pattern", "a")]
+
+
+def test_rules_of_accepted_proposals_are_learnt(spark):
+    rule = "struct<kind:string,params:map<string,string>,confidence:double>"
+    rows = [("c", "s1", 1, 1, "accepted", charge("NEW", "9")), ("c", "s2", 1, 2, "refused", charge("NO", "9")),
+            ("c", "s3", 1, 3, "accepted", None)]
+    df = spark.createDataFrame(rows, "close_id string, subject_id string, check_rank int, "
+                               f"line_no long, outcome string, proposed_rule {rule}")
+    learnt = rules.learn(rules.accepted_rules(df), table(spark), cases(spark), "m1").collect()
+    assert [(r.rule_id, r.params["keyword"]) for r in learnt] == [("adjustment_pattern_001", "NEW")]
 
 
 def test_operator_rules():

@@ -1,7 +1,9 @@
 """Files: drifting headers, rows that fail alone, round trips."""
 
-from conftest import Books, D
+from conftest import Books, D, day
+from pyspark.sql import functions as F
 
+from ledgerloom import schemas as S
 from ledgerloom.plans.close import close
 from ledgerloom.operators import digest
 from ledgerloom.sources import csv_files, gateway_recon
@@ -124,3 +126,15 @@ def test_recon_rows_fail_alone(spark, tmp_path):
     errors = {r.line_no: r.error for r in bad.collect()}
     assert set(errors) == {4, 5, 7, 8, 9, 10}
     assert "whole number" in errors[4] and "no settlement_id" in errors[5]
+
+
+def test_line_numbers_go_on_over_part_files(spark, tmp_path):
+    """Part files of one table keep the order they were written in, and no number repeats."""
+    rows = [("c", n, f"bank_{n}", D(n), day(n % 20), "x", None) for n in range(1, 2001)]
+    df = spark.createDataFrame(rows, S.BANK).repartition(5)
+    path = f"{tmp_path}/parts"
+    csv_files.write_csv(df, "bank", path, keep_close=True, rows_per_file=300)
+    good, bad = csv_files.read_bank(spark, path, F.col("close_id"))
+    back = [(r.line_no, r.bank_txn_id) for r in good.collect()]
+    assert bad.count() == 0 and len({n for n, _ in back}) == 2000
+    assert [i for _, i in sorted(back)] == [f"bank_{n}" for n in range(1, 2001)]
