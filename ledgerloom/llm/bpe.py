@@ -21,12 +21,13 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 # Text bytes worked on at once; a longer single text is taken alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 # Pieces kept in the cache of a worker; the cache starts anew when it is full.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 # Pieces longer than this are merged with a heap instead of step by step.
 LONG_PIECE = 128
 
@@ -292,16 +293,18 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def chunks(values: list, limit: int = CHUNK_BYTES):
-    """(first, last) ranges of values whose sizes together stay near the limit."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES):
+    """(first, last, texts) of a binary column: rows whose sizes together stay near the
+    limit. Only one chunk is held as Python objects."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
     start, total = 0, 0
-    for i, v in enumerate(values):
-        if total and total + len(v) > limit:
-            yield start, i
+    for i, size in enumerate(sizes.tolist()):
+        if total and total + size > limit:
+            yield start, i, column.slice(start, i - start).to_pylist()
             start, total = i, 0
-        total += len(v) + 1
-    if start < len(values):
-        yield start, len(values)
+        total += size + 1
+    if start < len(sizes):
+        yield start, len(sizes), column.slice(start).to_pylist()
 
 
 def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text",
@@ -319,9 +322,8 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     def work(batches):
         words = vocabulary(path)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in chunks(texts):
-                ids = words.encode(texts[a:b])
+            for a, b, texts in chunks(batch.column(1).cast(pa.binary())):
+                ids = words.encode(texts)
                 columns = [batch.column(0).slice(a, b - a),
                            pa.array([len(x) // 4 for x in ids], pa.int64()),
                            pa.array(ids, pa.binary())]

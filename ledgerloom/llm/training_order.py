@@ -26,11 +26,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.scale import materialise, shared_folder
 from .bpe import chunks, vocabulary
+from .places import numbered
 
 END = 50256
 ROW_TOKENS = 2048
@@ -68,33 +68,17 @@ def permuted(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def numbered(df: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
-    """``_key``, ``_text`` and ``_number`` (0..n-1 by file and row), and n."""
-    try:
-        df.select("_metadata.row_index")
-    except AnalysisException:
-        df = materialise(df.select(key, text), "sequences")
-    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
-                     F.col("_metadata.file_path").alias("_file"),
-                     F.col("_metadata.row_index").alias("_row"))
-    # One row per file.
-    files = rows.groupBy("_file").agg(F.count("*").alias("n"))
-    files = materialise(files.select("_file", "n", F.coalesce(F.sum("n").over(
-        W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset")), "files")
-    n = files.agg(F.sum("n").alias("n")).first()["n"] or 0
-    placed = rows.join(files.select("_file", "_offset"), "_file")
-    return placed.select("_key", "_text", (F.col("_offset") + F.col("_row")).alias("_number")), n
-
-
 def slots(df: DataFrame, key: str, text: str, secret: int) -> tuple[DataFrame, int]:
     """``_key``, ``_text`` and ``slot``, and how many slots there are."""
-    rows, n = numbered(df, key, text)
+    rows, n = numbered(df.select(key, text))
 
     @F.pandas_udf("long")
     def slot(numbers):
         return type(numbers)(permuted(numbers.to_numpy(), n, secret))
 
-    return rows.select("_key", "_text", slot("_number").alias("slot")), n
+    return rows.select(
+        F.col("_all")[key].alias("_key"), F.coalesce(F.col("_all")[text], F.lit("")).alias("_text"),
+        slot("_number").alias("slot")), n
 
 
 def write_shards(df: DataFrame, vocabulary_path: str, secret: int, path: str | None = None,
@@ -121,15 +105,14 @@ def write_shards(df: DataFrame, vocabulary_path: str, secret: int, path: str | N
         out = name = None
         shard, tokens = -1, 0
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for a, b in chunks(texts):
+            for a, b, texts in chunks(batch.column(1).cast(pa.binary())):
                 if out is None:
                     shard = batch.column(2)[a].as_py() // per_shard
                     store.create_dir(folder, recursive=True)
                     name = f"{folder}/.shard-{shard:06d}-{uuid.uuid4().hex}"
                     out = store.open_output_stream(name)
                 starts, counts, sums = [], [], []
-                for ids in words.encode(texts[a:b]):
+                for ids in words.encode(texts):
                     raw = np.append(np.frombuffer(ids, "<u4"), end).astype("<u2").tobytes()
                     out.write(raw)
                     starts.append(tokens)
