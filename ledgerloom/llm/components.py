@@ -30,22 +30,23 @@ def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """``node`` and ``root``, the smallest node it is connected with; linked nodes only.
 
     Every round hangs each node's larger neighbours, then its smaller ones, below the
-    smallest node known there. A round is two aggregations with map-side minima, so a
-    node with very many neighbours is no task of its own; rounds are about the logarithm
-    of the longest path. Every round's table is written to the shared folder.
+    smallest node known there. The minima are aggregated on the map side and written, so
+    the joins to them have both sides of their own and adaptive execution can split a node
+    with very many neighbours; rounds are about the logarithm of the longest path.
     """
     edges = materialise(
         links.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b"))
         .filter("a <> b").distinct(), "links")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            "a", F.least("a", "m").alias("m"))
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(
+            "a", F.least("a", "m").alias("m")), "least")
         # Large star: larger neighbours of a go below the smallest of a and its neighbours.
-        large = (both.filter("b > a").join(least, "a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = materialise(
+            both.filter("b > a").join(least, "a")
+            .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
         # Small star: a's smaller neighbours and a itself go below the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
                               F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")
