@@ -10,7 +10,7 @@ from ..functions.rulebook import RuleBook
 from ..operators import (aging, cash, checks, digest, forecast, forensics, materiality, nets,
                          post_match, proposals, reports, risk, rules, scoring, signoff)
 from ..operators.rows import union_all
-from ..operators.scale import materialise, materialise_all, running, salted_join, shared_folder
+from ..operators.scale import materialise, materialise_all, salted_join, shared_folder
 from ..sources import csv_files, driver_tables as tables, gateway_recon, rule_files
 from . import campaign, oracles
 from .close import Close, close, match_rate
@@ -1298,11 +1298,6 @@ def risk_ranking(spark, sf_dir):
 ROWS_PER_FILE = 10_000
 
 
-def _placed(df):
-    """Rank of each row within its close by line number."""
-    return running(df, ["close_id"], [F.col("line_no")], "lines", place=("count", "close_id"))
-
-
 def _round_trip(name, source, reader, columns, sql):
     @query(f"{name}_csv_round_trip", sql)
     def job(spark, sf_dir):
@@ -1310,10 +1305,11 @@ def _round_trip(name, source, reader, columns, sql):
         csv_files.write_csv(sources(spark, sf_dir)[source], name, path, keep_close=True,
                             rows_per_file=ROWS_PER_FILE)
         good, _ = reader(spark, path, F.col("close_id"))
-        return _placed(good).select("close_id", "place", *columns)
+        return good.select("close_id", "line_no", *columns)
 
 
-PLACE = "row_number() OVER (PARTITION BY close_id ORDER BY line_no) AS place"
+# Records are numbered on over the files, the header being line one.
+PLACE = "row_number() OVER (ORDER BY close_id, line_no) + 1 AS line_no"
 _round_trip("settlement", 0, csv_files.read_settlement,
             ["txn_id", "settlement_batch_id", "utr", "txn_type", "gross_amount", "fee",
              "gst_on_fee", "settled_on", "order_id", "method"],
