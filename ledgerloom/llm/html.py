@@ -3,7 +3,10 @@
 Each page names the container that holds its article best: its score is the text below
 it that is not a link and not in a part that is a menu, notice, advert and so on by tag,
 class, id or role. The container is written as a generalised path, tags and classes from
-the root with digits made equal, so pages of one template name the same path. The pages
+the root with digits made equal, so pages of one template name the same path. A part that
+only its class, id or role calls a menu, advert and so on is kept all the same if it holds
+most of the page's text that is not a link, or an <article> or <main> with more of it than
+those outside such parts; words as in "with-sidebar" or "comments-open" say nothing. The pages
 of a host vote, and every page is extracted again from the first winning path it has.
 
 A path wins with at least ``LEAST_SHARE`` of its host's votes, so a host has at most
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
@@ -67,48 +71,81 @@ _ASIDE = frozenset(
     "pagination pager widget toolbar login search alert dialog".split())
 # Those that only count outside an article: inside, they may hold its title.
 _HEADS = frozenset("header masthead topbar".split())
-
-
-def _place(tag: str, attributes: str, in_article: bool) -> tuple[str, bool]:
-    """Step of the path for an element, and whether it is left out."""
-    skip = tag in _SKIP or (tag == "header" and not in_article)
+# What follows the first ones, or comes before the others, is a state of a wrapper.
+_WITH = frozenset("with without no not has have hide hides show shows".split())
+_STATES = frozenset("open opened closed enabled disabled on off".split())
+# A part is no aside if it holds more than this share of the page's text outside links.
+MOST_OF_PAGE = 0.5
+
+
+def _named(value: str) -> set[str]:
+    """Words of a class, id or role that name the element itself."""
+    found = set()
+    for token in value.split():
+        words = [w.lower() for w in _WORDS.findall(token)]
+        if words and words[-1] not in _STATES:
+            found.update(takewhile(lambda w: w not in _WITH, words))
+    return found
+
+
+def _place(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, bool]:
+    """Step of the path for an element, whether it is left out, and whether it is an aside
+    by its class, id or role, which is left out unless it holds the article."""
+    skip, aside = tag in _SKIP or (tag == "header" and not in_article), False
     if not attributes or attributes.isspace():
-        return tag, skip
+        return tag, skip, aside
     step = tag
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            words = {w.lower() for w in _WORDS.findall(value)}
+            words = _named(value)
             if tag not in ("body", "html", "main") and (
                     words & _ASIDE or (words & _HEADS and not in_article)):
-                skip = True
+                aside = True
             if name == "class" and value:
                 step = tag + "." + ".".join(sorted(_DIGITS.sub("#", value).split()))
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             skip = True
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
             skip = True
-    return step, skip
+    return step, skip, aside
+
+
+def _left_out(found, holds: set[int]) -> set[int]:
+    """Asides to leave out: those without most of the text and without the page's article."""
+    weight: dict[int, int] = {}
+    total = articles = 0
+    for _, pieces in found:
+        for piece, link, asides, in_article in pieces:
+            size = 0 if link else len("".join(piece.split()))
+            total += size
+            if in_article and not asides:
+                articles += size
+            for aside in asides:
+                weight[aside] = weight.get(aside, 0) + size
+    return {a for a, w in weight.items() if w <= MOST_OF_PAGE * total
+            and not (a in holds and w > articles)}
 
 
 def blocks(page: str) -> tuple[list[tuple[str, str, int]], set[str]]:
     """(path of the enclosing container, text, characters in links) of the kept blocks in
     page order, and the paths of all containers kept."""
-    found: list[tuple[str, str, int]] = []
-    seen: set[str] = set()
-    # Open elements: tag, path, path of the container it belongs to, left out, in an article.
-    stack = [("", "", "", False, False)]
-    parts: list[str] = []
-    linked, links, at = 0, 0, 0
+    # Blocks as pieces: text, in a link, asides around it, in an article.
+    raw: list[tuple[str, list[tuple[str, bool, tuple[int, ...], bool]]]] = []
+    places: list[tuple[str, tuple[int, ...]]] = []
+    # Open elements: tag, path, path of the container it belongs to, left out, in an article,
+    # asides around it.
+    stack = [("", "", "", False, False, ())]
+    parts: list[tuple[str, bool, tuple[int, ...], bool]] = []
+    links, at, n_asides = 0, 0, 0
+    # Asides that are or contain an <article> or <main>.
+    holds: set[int] = set()
 
     def flush():
-        nonlocal parts, linked
+        nonlocal parts
         if parts:
-            text = " ".join(" ".join(parts).split()) if len(parts) == 1 else " ".join(
-                "".join(parts).split())
-            if text:
-                found.append((stack[-1][2], text, min(linked, len(text))))
-        parts, linked = [], 0
+            raw.append((stack[-1][2], parts))
+            parts = []
 
     def close(depth):
         nonlocal links
@@ -120,14 +157,11 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], set[str]]:
         del stack[depth:]
 
     def text(a, b):
-        nonlocal linked
         if a < b and not stack[-1][3]:
             piece = page[a:b]
             if "&" in piece:
                 piece = unescape(piece)
-            parts.append(piece)
-            if links:
-                linked += len(piece)
+            parts.append((piece, links > 0, stack[-1][5], stack[-1][4]))
 
     length = len(page)
     while at < length:
@@ -154,7 +188,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], set[str]]:
             if tag == "hr":
                 flush()
             elif tag == "br" and not stack[-1][3]:
-                parts.append(" ")
+                parts.append((" ", False, stack[-1][5], False))
             continue
         if tag in _RAW:
             if not attributes.rstrip().endswith("/"):
@@ -181,19 +215,33 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], set[str]]:
                 if stack[depth][0] in ("tr", "table"):
                     break
             if not stack[-1][3]:
-                parts.append(" ")
+                parts.append((" ", False, stack[-1][5], False))
         elif tag == "a":
             links += 1
-        _, path, container, out, in_article = stack[-1]
-        step, skip = _place(tag, attributes, in_article)
+        _, path, container, out, in_article, asides = stack[-1]
+        step, skip, aside = _place(tag, attributes, in_article)
         path = f"{path}>{step}"
         out = out or skip
+        if aside and not out:
+            asides = (*asides, n_asides)
+            n_asides += 1
+        if tag in ("article", "main") and not out:
+            in_article = True
+            holds.update(asides)
         if tag in _CONTAINER and not out:
             container = path
-            seen.add(path)
-        stack.append((tag, path, container, out, in_article or tag in ("article", "main")))
+            places.append((path, asides))
+        stack.append((tag, path, container, out, in_article, asides))
     flush()
-    return found, seen
+    gone = _left_out(raw, holds) if n_asides else set()
+    found: list[tuple[str, str, int]] = []
+    for path, pieces in raw:
+        if gone:
+            pieces = [p for p in pieces if gone.isdisjoint(p[2])]
+        text = " ".join("".join([p[0] for p in pieces]).split())
+        if text:
+            found.append((path, text, min(sum([len(p[0]) for p in pieces if p[1]]), len(text))))
+    return found, {path for path, asides in places if gone.isdisjoint(asides)}
 
 
 def choice(found: list[tuple[str, str, int]]) -> tuple[str, float]:

@@ -95,3 +95,26 @@ def test_whole_table_against_a_plain_cut(spark):
                for b in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n\n".join(filter(None, cut)) and r.n_chars == len(r.text)
         assert r.url == source.url
+
+
+def test_wrappers_with_words_of_asides_keep_their_article():
+    text = "the article has quite some words of its own " * 5
+    side = "<div class='sidebar'><p>Other things</p></div>"
+    for opened, closed in (("<div class='layout with-sidebar'>", "</div>"),
+                           ("<div class='site-content no-sidebar'>", "</div>"),
+                           ("<div class='page has-banner'>", "</div>"),
+                           ("<div id='sidebarLayout'>", "</div>"),
+                           ("<article class='post hentry comments-open'>", "</article>"),
+                           ("<article class='promo'>", "</article>"),
+                           ("<div class='social'><main>", "</main></div>"),
+                           ("<x-app class='banner'>", "</x-app>")):
+        found, _ = html.blocks(page(f"{opened}<p>{text}</p>{side}{closed}<div id='comments'>Nice</div>"))
+        assert [t for _, t, _ in found] == [text.strip()], opened
+
+
+def test_an_aside_with_articles_goes_where_the_page_has_a_longer_one():
+    body = ("<article><p>the page's own article, of many words</p></article>"
+            "<div class='related'><article><p>a short card</p></article></div>")
+    assert [t for _, t, _ in html.blocks(page(body))[0]] == ["the page's own article, of many words"]
+    card = "<div class='related'><article><p>a card</p></article></div><p>plain words around it</p>"
+    assert [t for _, t, _ in html.blocks(page(card))[0]] == ["a card", "plain words around it"]
