@@ -5,13 +5,21 @@ it that is not a link and not in a part that is a menu, notice, advert and so on
 class, id or role. The container is written as a generalised path, tags and classes from
 the root with digits made equal, so pages of one template name the same path. A part that
 only its class, id or role calls a menu, advert and so on is kept all the same if it holds
-most of the page's text that is not a link, or an <article> or <main> with more of it than
-those outside such parts; words as in "with-sidebar" or "comments-open" say nothing. The pages
-of a host vote, and every page is extracted again from the first winning path it has.
+most of the page's text that is not a link (and lies in an <article> or <main>, or the page
+has none outside such parts), or an <article> or <main> with more of it than those outside
+such parts; words as in "with-sidebar" or "comments-open" say nothing. The pages
+of a host vote, and every page is extracted again from the first winning path that is its
+own: the container holds a fair share of the page's score, or what lies elsewhere lies in
+containers that the voters of that path have text in as well (a page of their template).
 
 A path wins with at least ``LEAST_SHARE`` of its host's votes, so a host has at most
-1 / LEAST_SHARE of them. A page without a winning path keeps its own choice. A winning
-container that is empty on a page gives an empty text, not the next best one.
+1 / LEAST_SHARE of them. A page without a winning path of its own keeps its own choice. A
+winning container that is empty on a page of its template gives an empty text, not the
+next best one.
+
+Without an <article> or <main> the container is found from the root down, and the way ends
+where text would be left behind, so title and lead stay in. Only boxes right below the body
+are left behind, if they have no heading and together less than a tenth of the score.
 
 Blocks: block-level elements part blocks, a table row is one block, <br> is white space.
 Character references are decoded, white space (also no-break space) becomes one space,
@@ -27,6 +35,7 @@ table; only the named columns are read.
 from __future__ import annotations
 
 import re
+from collections.abc import Container
 from html import unescape
 from itertools import takewhile
 
@@ -38,6 +47,12 @@ from ..operators.scale import materialise
 LEAST_SHARE = 0.1
 # A container is chosen while one child holds this share of its score.
 MOST_OF_IT = 0.9
+# A winning container with this share of a page's score is that page's article.
+FAIR_SHARE = 0.3
+# A page is of a template if this share of its score lies where the template has text.
+SAME_TEMPLATE = 0.5
+# A template has text where this share of the pages that voted for its path have some.
+MOST_VOTERS = 0.5
 # An <article> or <main> is chosen if it holds this share of the page's score.
 NAMED_SHARE = 0.5
 
@@ -61,6 +76,8 @@ _BLOCK = frozenset(
 _CONTAINER = frozenset("article body center div html main section table tbody td tr".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",),
            "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+# html and body: what lies right below them may be left behind.
+_PAGE_LEVELS = 2
 _LISTS = frozenset("ul ol dl table".split())
 # Words of a class, id or role that say a part is not the article.
 _ASIDE = frozenset(
@@ -111,8 +128,9 @@ def _place(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, bool
     return step, skip, aside
 
 
-def _left_out(found, holds: set[int]) -> set[int]:
-    """Asides to leave out: those without most of the text and without the page's article."""
+def _left_out(found, holds: set[int], most_counts) -> set[int]:
+    """Asides to leave out: those without most of the text, where ``most_counts`` for them,
+    and without the page's article."""
     weight: dict[int, int] = {}
     total = articles = 0
     for _, pieces in found:
@@ -123,13 +141,18 @@ def _left_out(found, holds: set[int]) -> set[int]:
                 articles += size
             for aside in asides:
                 weight[aside] = weight.get(aside, 0) + size
-    return {a for a, w in weight.items() if w <= MOST_OF_PAGE * total
-            and not (a in holds and w > articles)}
+    return {a for a, w in weight.items()
+            if not (w > MOST_OF_PAGE * total and most_counts(a)) and not (a in holds and w > articles)}
 
 
 def blocks(page: str) -> tuple[list[tuple[str, str, int]], set[str]]:
     """(path of the enclosing container, text, characters in links) of the kept blocks in
     page order, and the paths of all containers kept."""
+    return parsed(page)[:2]
+
+
+def parsed(page: str) -> tuple[list[tuple[str, str, int]], set[str], set[str]]:
+    """``blocks`` of a page, and the paths of the containers with a heading right in them."""
     # Blocks as pieces: text, in a link, asides around it, in an article.
     raw: list[tuple[str, list[tuple[str, bool, tuple[int, ...], bool]]]] = []
     places: list[tuple[str, tuple[int, ...]]] = []
@@ -140,11 +163,17 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], set[str]]:
     links, at, n_asides = 0, 0, 0
     # Asides that are or contain an <article> or <main>.
     holds: set[int] = set()
+    # Asides within one, and whether there is one outside asides.
+    within: set[int] = set()
+    own_article = False
+    titles: set[int] = set()
 
     def flush():
         nonlocal parts
         if parts:
             raw.append((stack[-1][2], parts))
+            if any(entry[0] in ("h1", "h2") for entry in stack[-3:]):
+                titles.add(len(raw) - 1)
             parts = []
 
     def close(depth):
@@ -224,31 +253,43 @@ def blocks(page: str) -> tuple[list[tuple[str, str, int]], set[str]]:
         out = out or skip
         if aside and not out:
             asides = (*asides, n_asides)
+            if in_article:
+                within.add(n_asides)
             n_asides += 1
         if tag in ("article", "main") and not out:
             in_article = True
             holds.update(asides)
+            own_article = own_article or not asides
         if tag in _CONTAINER and not out:
             container = path
             places.append((path, asides))
         stack.append((tag, path, container, out, in_article, asides))
     flush()
-    gone = _left_out(raw, holds) if n_asides else set()
+    gone = _left_out(raw, holds, lambda a: a in within or not own_article) if n_asides else set()
     found: list[tuple[str, str, int]] = []
-    for path, pieces in raw:
+    heads: set[str] = set()
+    for i, (path, pieces) in enumerate(raw):
         if gone:
             pieces = [p for p in pieces if gone.isdisjoint(p[2])]
         text = " ".join("".join([p[0] for p in pieces]).split())
         if text:
             found.append((path, text, min(sum([len(p[0]) for p in pieces if p[1]]), len(text))))
-    return found, {path for path, asides in places if gone.isdisjoint(asides)}
+            if i in titles:
+                heads.add(path)
+    return found, {path for path, asides in places if gone.isdisjoint(asides)}, heads
 
 
-def choice(found: list[tuple[str, str, int]]) -> tuple[str, float]:
-    """Path of the container that holds the article by the page alone, and its score."""
+def choice(found: list[tuple[str, str, int]], heads: Container[str] = ()) -> tuple[str, float]:
+    """Path of the container that holds the article by the page alone, and its score.
+
+    ``heads`` are the containers with a heading.
+    """
     score: dict[str, float] = {}
+    own: set[str] = set()
     for path, text, linked in found:
         weight = len(text) - linked
+        if weight:
+            own.add(path)
         while path:
             score[path] = score.get(path, 0.0) + weight
             path = path.rpartition(">")[0]
@@ -267,11 +308,30 @@ def choice(found: list[tuple[str, str, int]]) -> tuple[str, float]:
         below = [p for p in score if p.count(">") == depth and p.startswith(best + ">")
                  and p.rpartition(">")[2].split(".")[0] in _CONTAINER]
         next_ = max(below, key=lambda p: (score[p], p), default="")
-        if not next_ or score[next_] < MOST_OF_IT * (score[best] if best else total):
+        all_ = score[best] if best else total
+        if not next_ or score[next_] < MOST_OF_IT * all_ or best in own:
+            return best, score.get(best, total)
+        inner = next_ + ">"
+        if score[next_] < all_ and (depth > _PAGE_LEVELS + 1 or any(
+                p in heads and p != next_ and not p.startswith(inner) for p in own)):
             return best, score.get(best, total)
         best = next_
 
 
+def of_template(found, path: str, shell: list[str]) -> bool:
+    """Whether a winning path is the article of this page, ``shell`` being the other
+    containers its voters have text in."""
+    inner, total, held, known = path + ">", 0, 0, 0
+    for at, text, linked in found:
+        weight = len(text) - linked
+        total += weight
+        if at == path or at.startswith(inner):
+            held += weight
+        elif at in shell:
+            known += weight
+    return held >= FAIR_SHARE * total or held + known >= SAME_TEMPLATE * total
+
+
 def below(found, path: str) -> str:
     inner = path + ">"
     return "\n\n".join(t for p, t, _ in found if p == path or p.startswith(inner))
@@ -283,45 +343,74 @@ def host(url):
     return F.nullif(name, F.lit(""))
 
 
-def votes(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``host``, ``path``, ``n`` and ``score``: what the pages of each host voted for."""
+def _votes(df: DataFrame, url: str, html: str) -> DataFrame:
+    """``host``, ``path`` and ``score`` of each page that votes, and ``others``, the
+    containers beside the path, below the body, that hold text outside links."""
     def vote(batches):
         for batch in batches:
-            chosen = [choice(blocks(page)[0]) for page in batch.column(1).to_pylist()]
+            paths, scores, others = [], [], []
+            for page in batch.column(1).to_pylist():
+                found, _, heads = parsed(page)
+                path, score = choice(found, heads)
+                inner = path + ">"
+                paths.append(path)
+                scores.append(score)
+                others.append(sorted({p for p, t, n in found if len(t) > n and p != path
+                                      and p.count(">") > _PAGE_LEVELS and not p.startswith(inner)}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([p for p, _ in chosen], pa.string()),
-                 pa.array([s for _, s in chosen], pa.float64())], names=["host", "path", "score"])
+                [batch.column(0), pa.array(paths, pa.string()), pa.array(scores, pa.float64()),
+                 pa.array(others, pa.list_(pa.string()))], names=["host", "path", "score", "others"])
 
     pages = df.select(host(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     return (pages.filter(F.col("host").isNotNull())
-            .mapInArrow(vote, "host string, path string, score double").filter("score > 0")
-            .groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score")))
+            .mapInArrow(vote, "host string, path string, score double, others array<string>")
+            .filter("score > 0"))
 
 
-def winners(counted: DataFrame) -> DataFrame:
-    """``host`` and ``paths``, its winning paths, most votes first."""
-    all_votes = F.sum("n").over(W.partitionBy("host"))
-    won = counted.withColumn("all", all_votes).filter(F.col("n") >= LEAST_SHARE * F.col("all"))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))
-    return won.groupBy("host").agg(F.transform(order, lambda s: s["path"]).alias("paths"))
+def votes(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``host``, ``path``, ``n`` and ``score``: what the pages of each host voted for."""
+    return _votes(df, url, html).groupBy("host", "path").agg(
+        F.count("*").alias("n"), F.sum("score").alias("score"))
+
+
+def winners(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``host`` and ``won``, its winning paths with their ``shell``, most votes first.
+
+    A shell holds the other containers that most voters of the path have text in.
+    """
+    # The empty name counts the voters themselves.
+    other = F.explode(F.concat(F.array(F.lit("")), "others"))
+    told = materialise(_votes(df, url, html).select("host", "path", other.alias("other"))
+                       .groupBy("host", "path", "other").agg(F.count("*").alias("n")), "host_votes")
+    counted = told.filter("other = ''").select("host", "path", F.col("n").alias("voters"))
+    all_votes = F.sum("voters").over(W.partitionBy("host"))
+    won = counted.withColumn("all", all_votes).filter(F.col("voters") >= LEAST_SHARE * F.col("all"))
+    usual = told.join(won.select("host", "path", "voters"), ["host", "path"]).filter(
+        F.col("n") >= MOST_VOTERS * F.col("voters"))
+    shells = usual.groupBy("host", "path", "voters").agg(
+        F.collect_list(F.when(F.col("other") != "", F.col("other"))).alias("shell"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("voters")).alias("n"), "path", "shell")))
+    return shells.groupBy("host").agg(
+        F.transform(order, lambda s: F.struct(s["path"].alias("path"), s["shell"].alias("shell"))).alias("won"))
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``key``, ``url``, ``text``, ``n_chars`` and ``path``, the path the text was taken from."""
-    won = materialise(winners(votes(df, url, html)), "host_paths")
+    won = materialise(winners(df, url, html), "host_paths")
     pages = df.select(F.col(key).alias("_key"), F.col(url).alias("_url"),
                       F.coalesce(F.col(html), F.lit("")).alias("_html"),
                       host(F.col(url)).alias("host"))
-    asked = pages.join(won, "host", "left").select("_key", "_url", "_html", "paths")
+    asked = pages.join(won, "host", "left").select("_key", "_url", "_html", "won")
 
     def take(batches):
         for batch in batches:
             texts, places = [], []
             for page, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found, seen = blocks(page)
-                path = next((p for p in paths or () if p in seen), None)
+                found, seen, heads = parsed(page)
+                path = next((w["path"] for w in paths or () if w["path"] in seen
+                             and of_template(found, w["path"], w["shell"])), None)
                 if path is None:
-                    path = choice(found)[0]
+                    path = choice(found, heads)[0]
                 texts.append(below(found, path) if path else "")
                 places.append(path)
             yield pa.RecordBatch.from_arrays(

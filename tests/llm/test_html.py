@@ -116,5 +116,35 @@ def test_an_aside_with_articles_goes_where_the_page_has_a_longer_one():
     body = ("<article><p>the page's own article, of many words</p></article>"
             "<div class='related'><article><p>a short card</p></article></div>")
     assert [t for _, t, _ in html.blocks(page(body))[0]] == ["the page's own article, of many words"]
+    short = "<div class='ad'>an advert longer than the text</div><article>short</article>"
+    assert [t for _, t, _ in html.blocks(page(short))[0]] == ["short"]
+    inside = "<main><h1>Title</h1><div class='social-post'>the whole of the story</div></main>"
+    assert [t for _, t, _ in html.blocks(page(inside))[0]] == ["Title", "the whole of the story"]
     card = "<div class='related'><article><p>a card</p></article></div><p>plain words around it</p>"
     assert [t for _, t, _ in html.blocks(page(card))[0]] == ["a card", "plain words around it"]
+
+
+def test_title_and_lead_stay_in():
+    long = "a long body of many words " * 40
+    for body in (f"<div class='post'><h1>Title</h1><p>lead</p><div class='entry'><p>{long}</p></div></div>",
+                 f"<div class='post'><div class='top'>Title</div><p>lead</p><div><div>{long}</div></div></div>",
+                 f"<div class='title'><h1>Title</h1></div><p>lead</p><div class='entry'>{long}</div>",
+                 f"<div class='title'><h1>Title</h1> <p>lead</p></div><div class='entry'>{long}</div>"):
+        found, _, heads = html.parsed(page(body))
+        assert html.below(found, html.choice(found, heads)[0]) == f"Title\n\nlead\n\n{long.strip()}"
+
+
+def test_a_page_of_a_second_template_keeps_its_article(spark):
+    long = "a long body of many words " * 20
+    first = page(f"<div class='post'><h1>T</h1><p>{long}</p></div><div class='foot'>by us</div>")
+    pages = [(i, "http://h.example/x", first) for i in range(30)]
+    for i, box in ((50, ""), (51, "<p>short box</p>")):
+        pages.append((i, "http://h.example/y", page(
+            f"<div class='post'>{box}</div><div class='story'><h1>S</h1><p>{long}</p></div>")))
+    # A short page of the first template keeps its short text.
+    pages.append((52, "http://h.example/z", page(
+        f"<div class='post'><h1>T</h1></div><div class='foot'>{long}</div>")))
+    got = rows_of(spark, pages)
+    assert got[0].text == f"T\n\n{long.strip()}"
+    assert got[50].text == got[51].text == f"S\n\n{long.strip()}"
+    assert got[52].text == "T"
