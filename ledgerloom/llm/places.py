@@ -8,14 +8,31 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..operators.scale import materialise
 
 
+# Nodes of a plan that leaves the rows of a scan as they are.
+WHOLE_SCAN = {"LogicalRelation", "Project", "SubqueryAlias"}
+
+
+def whole_scan(df: DataFrame) -> bool:
+    """Whether ``df`` has every row of the files it reads, each once."""
+    plan = getattr(df, "_jdf", None)
+    left = [plan.queryExecution().analyzed()] if plan is not None else []
+    whole = bool(left)
+    while whole and left:
+        node = left.pop()
+        below = node.children()
+        whole = node.getClass().getSimpleName() in WHOLE_SCAN and below.size() <= 1
+        left += [below.apply(i) for i in range(below.size())]
+    return whole
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, int]:
     """``_all`` (the whole row as a struct, so no name can clash) and ``_number``, and how
     many rows there are.
 
     Numbers run from 0 without gaps: the offset of the row's file, by name, and its row in
     the file. They do not depend on how files are split into tasks, so a row can be read
-    again and found by its number. A table that is not read from Parquet files is written
-    once first.
+    again and found by its number. What is not the whole of a table in Parquet files, a
+    filtered read among others, is written once first: its rows have gaps in the files.
     """
     def placed(df):
         found = df.metadataColumn("_metadata")
@@ -23,7 +40,7 @@ def numbered(df: DataFrame) -> tuple[DataFrame, int]:
                          found["file_path"].alias("_file"), found["row_index"].alias("_at"))
 
     try:
-        rows = placed(df)
+        rows = placed(df if whole_scan(df) else materialise(df, "rows"))
         rows.schema
     except PySparkException:
         rows = placed(materialise(df, "rows"))
