@@ -142,6 +142,31 @@ def curriculum(df: DataFrame, key: str = "doc_id", text: str = "text", source: s
             .orderBy("position", key, "words"))
 
 
+def schedule(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+             **options) -> DataFrame:
+    """``key``, ``size``, ``source_size``, ``target``, ``taken``, ``first_position``,
+    ``first_place`` and ``last_place`` of every row, read off the training order.
+
+    Places are those of the row's first and last copy in the range-sorted curriculum, from
+    0. Copies due at the same time go by key, null first, and then by words. A row that is
+    not taken has no position and no place.
+    """
+    packed, _ = numbered(df.select(*dict.fromkeys((key, text, source))))
+    mixed = materialise(mix(packed.select("_number", "_all.*"), key, text, source,
+                            carry=("_number",), **options), "mixed")
+    # Part files are in the order of the sort, so a copy's number is its place.
+    order = materialise(
+        mixed.select(F.col(key).alias("_id"), "_number", F.explode("starts").alias("c"))
+        .select("_id", F.col("_number").alias("_row"), "c.*").orderBy("position", "_id", "words"), "curriculum")
+    ranked, _ = numbered(order)
+    found = ranked.groupBy(F.col("_all._row").alias("_number")).agg(
+        F.sum("_all.words").alias("_taken"), F.min("_all.position").alias("first_position"),
+        F.min("_number").alias("first_place"), F.max("_number").alias("last_place"))
+    return mixed.drop("taken").join(found, "_number", "left").select(
+        key, "size", "source_size", "target", F.coalesce("_taken", F.lit(0).cast("long")).alias("taken"),
+        "first_position", "first_place", "last_place")
+
+
 def mixture(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
             **options) -> DataFrame:
     """The mixed rows themselves in training order: whole rows, as often as they are taken.
@@ -175,13 +200,25 @@ v AS (SELECT *, ({SHARE}::DOUBLE * total - coalesce((SELECT sum(b.cap) FROM w b
       / (SELECT sum(b.weight) FROM w b
          WHERE (b.cap / b.weight, b.place) >= (a.cap / a.weight, a.place)) AS level FROM w a),
 l AS (SELECT arg_min(level, cap / weight) AS level FROM v WHERE cap >= weight * level),
-t AS (SELECT source, source_size, least(cap, weight * l.level) AS target,
+t AS (SELECT source, source_size, place, n, least(cap, weight * l.level) AS target,
       CASE WHEN source_size > 0 THEN floor(least(cap, weight * l.level) / source_size) ELSE 0 END
         ::BIGINT AS passes FROM v, l),
-o AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.passes,
+o AS (SELECT row_number() OVER () AS row_no, d.doc_id, d.size, t.source_size, t.target, t.passes,
+      CASE WHEN t.n > 1 THEN {TILT}::DOUBLE * (2::DOUBLE * t.place / (t.n - 1) - 1::DOUBLE)
+        ELSE 0::DOUBLE END AS slope,
       floor(t.target)::BIGINT - t.passes * t.source_size AS rest,
       coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CASE WHEN pass < passes THEN size ELSE greatest(0, least(size, rest - start)) END AS words
+      FROM (SELECT *, unnest(range(passes + 1)) AS pass FROM o)),
+m AS (SELECT *, 2::DOUBLE * part / (1::DOUBLE - slope + sqrt(
+        (1::DOUBLE - slope) * (1::DOUBLE - slope) + 4::DOUBLE * slope * part)) AS position
+      FROM (SELECT *, (pass * source_size + start + words / 2::DOUBLE) / target AS part
+            FROM c WHERE words > 0)),
+r AS (SELECT *, row_number() OVER (ORDER BY position, doc_id NULLS FIRST, words) - 1 AS place FROM m),
+f AS (SELECT row_no, min(position) AS first_position, min(place) AS first_place,
+             max(place) AS last_place FROM r GROUP BY row_no)
 SELECT doc_id, size, source_size, target,
-       (passes * size + greatest(0, least(size, rest - start)))::BIGINT AS taken FROM o"""
+       (passes * size + greatest(0, least(size, rest - start)))::BIGINT AS taken,
+       first_position, first_place, last_place FROM o LEFT JOIN f USING (row_no)"""

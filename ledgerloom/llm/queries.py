@@ -58,8 +58,7 @@ def op9_sampled_splitters(spark, sf_dir):
 
 @query
 def op5_curriculum(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken")
+    return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
 SQL["op5_curriculum"] = mixing.ORACLE

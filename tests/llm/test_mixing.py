@@ -92,3 +92,22 @@ def test_sql_says_the_same(spark, docs, tmp_path):
         told = con.execute(queries.SQL["op5_curriculum"]).fetchall()
         rows = queries.QUERIES["op5_curriculum"](spark, sf).collect()
         assert sorted(map(tuple, rows)) == sorted(told)
+
+
+def test_the_query_gives_the_training_order(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.QUERIES["op5_curriculum"](spark, sf).collect()
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    order = mixing.curriculum(df).collect()
+    places = defaultdict(list)
+    for i, r in enumerate(order):
+        places[r.doc_id].append(i)
+    taken = [r for r in rows if r.taken]
+    assert len(rows) == df.count() and {r.doc_id for r in taken} == set(places)
+    for r in taken:
+        own = places[r.doc_id]
+        assert (r.first_place, r.last_place) == (own[0], own[-1])
+        assert r.first_position == order[own[0]].position
+        assert r.taken == sum(order[i].words for i in own)
+    assert all(r.first_place is None and r.first_position is None for r in rows if not r.taken)
+    assert mixing.schedule(df.limit(0)).count() == 0
