@@ -100,3 +100,15 @@ def test_nulls_repeats_and_further_columns(spark, docs):
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.without_copies(spark, df, None).collect()) == [
         (1, None), (3, "one two three four five")]
     assert mixing.mixture(df).count() >= 3
+
+
+def test_the_last_stage_decodes_its_ids(docs, monkeypatch):
+    df = docs(["", None, "one two", "\u00e9\U0001f600 \n x"], ids=[1, None, 2, 3])
+    rows = corpus_pipeline.tokens(None, df, None)
+    assert rows.columns == ["doc_id", "n_tokens", "ids"]
+    assert {r.doc_id: r.n_tokens > 0 for r in rows.collect()} == {1: False, None: False, 2: True, 3: True}
+    encode = bpe.encode
+    monkeypatch.setattr(bpe, "encode", lambda *a, **b: encode(*a, **b).withColumn(
+        "decoded", F.concat("decoded", F.lit(b"x"))))
+    with pytest.raises(Exception, match="decoded ids differ"):
+        corpus_pipeline.tokens(None, df, None).collect()
