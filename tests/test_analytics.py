@@ -1,7 +1,7 @@
 """Cash, triage, forecast, sign-off, aging, scoring and risk on literal tables."""
 
 import pytest
-from conftest import D, day
+from tests.books import D, day
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas as S

@@ -5,7 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from conftest import Books, D, day
+from tests.books import Books, D, day
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.rulebook import Rule, RuleBook

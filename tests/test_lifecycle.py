@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from conftest import Books, D
+from tests.books import Books, D
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas as S

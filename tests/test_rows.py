@@ -1,7 +1,7 @@
 """Row expressions, one rule per case."""
 
 import pytest
-from conftest import D
+from tests.books import D
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money, text

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import D, day
+from tests.books import D, day
 from ledgerloom.operators import scale
 
 

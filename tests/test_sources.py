@@ -1,6 +1,6 @@
 """Files: drifting headers, rows that fail alone, round trips."""
 
-from conftest import Books, D, day
+from tests.books import Books, D, day
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas as S
