@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, mixing, secrets
-from tests.llm.conftest import smallest_reachable
+from tests.llm.plain import smallest_reachable
 from tests.llm.test_mixing import plain_targets
 from tests.llm.test_simhash import plain_print
 

@@ -2,7 +2,7 @@ import numpy as np
 import xxhash
 
 from ledgerloom.llm import components, queries, simhash
-from tests.llm.conftest import smallest_reachable
+from tests.llm.plain import smallest_reachable
 
 
 def plain_print(text):

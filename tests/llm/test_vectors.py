@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import ann, blocks, pivots, queries
-from tests.llm.conftest import smallest_reachable
+from tests.llm.plain import smallest_reachable
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
