@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (ann, bpe, html, mixing, pivots, quality, secrets, sharding, simhash,
-               training_order)
+from . import (ann, bpe, html, impact, mixing, pivots, quality, secrets, sharding, simhash,
+               spelling, training_order, whitening)
 
 QUERIES = {}
 SQL = {}
@@ -89,3 +89,24 @@ def op1_training_order(spark, sf_dir):
     index, _ = training_order.write_shards(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), secret=2026)
     return index
+
+
+@query
+def op11_impact_order(spark, sf_dir):
+    return impact.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+SQL["op11_impact_order"] = impact.ORACLE
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_spelling_variants"] = spelling.ORACLE
