@@ -33,11 +33,14 @@ from ..operators.scale import materialise
 
 K = 10
 SCALE = 1024
-# Values of a component that share a quantised impact.
-LEVEL = 8
+# Quantised values of a dimension in a block.
+LEVELS = 256
 BLOCK_ROWS = 4096
+TASKS = 2000
 # Rounds: thresholds on the impact as shares of a query's largest, then all there is.
 SHARES = (0.25, 0.0, -1 / 32, -1 / 16, -1 / 8, -1 / 4, -1 / 2)
+# With no more than this share of a block possible, exact scores cost less than more rounds.
+SCORED = 0.6
 # Bounds are sums of doubles; below this they are exact.
 EXACT = 2 ** 52
 LONG = np.iinfo(np.int64)
@@ -62,28 +65,36 @@ class Block:
         at = np.lexsort([rows, ids])
         self.x, self.ids, self.rows = x[at], ids[at], rows[at]
         n, d = x.shape
-        level = self.x // LEVEL
-        self.low = level.min(axis=0) if n else np.zeros(d, np.int64)
-        self.high = level.max(axis=0) if n else np.zeros(d, np.int64)
-        order = np.argsort(level, axis=0, kind="stable").T
-        self.order = np.ascontiguousarray(order).reshape(-1)
-        self.sorted = np.take_along_axis(level.T, order, axis=1)
         self.reach = float(np.abs(self.x.astype(np.float64)).max(initial=0))
+        self.wide = self.x.astype(np.float64)
+        if not n or self.reach >= EXACT:
+            return
+        self.low = self.x.min(axis=0)
+        self.width = (self.x.max(axis=0) - self.low) // LEVELS + 1
+        level = (self.x - self.low) // self.width
+        self.order = np.argsort(level, axis=0, kind="stable").T.copy()
+        # The least value of each posting's level, and where the levels start in the order.
+        sorted_levels = np.take_along_axis(level.T, self.order, axis=1)
+        self.least = (self.low[:, None] + sorted_levels * self.width[:, None]).astype(np.float64)
+        counts = np.zeros((d, LEVELS + 2), np.int64)
+        np.add.at(counts, (np.arange(d), level + 1), 1)
+        self.starts = counts.cumsum(axis=1)
 
     def exact(self, q: np.ndarray) -> bool:
         """Whether all sums of a query are exact in doubles."""
         return self.reach * float(np.abs(q.astype(np.float64)).max(initial=0)) * len(q) < EXACT
 
-    def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Exact scores of the vectors at some places."""
-        if self.exact(q):
-            return self.x[at] @ q
-        exact = [sum(a * b for a, b in zip(row, q.tolist())) for row in self.x[at].tolist()]
-        return np.array([min(max(s, LONG.min), LONG.max) for s in exact], np.int64)
-
     def _best(self, at: np.ndarray, q: np.ndarray, k: int):
-        """The ``k`` best of some places, which come in id order."""
-        score = self.scores(at, q)
+        """The ``k`` best of some places in id order, by exact scores."""
+        if self.exact(q):
+            score = self.wide[at] @ q.astype(np.float64)
+            if len(score) > 4 * k:
+                some = np.flatnonzero(score >= np.partition(score, -k)[-k])
+                at, score = at[some], score[some]
+            score = score.astype(np.int64)
+        else:
+            sums = [sum(a * b for a, b in zip(row, q.tolist())) for row in self.x[at].tolist()]
+            score = np.array([min(max(s, LONG.min), LONG.max) for s in sums], np.int64)
         first = np.argsort(~score, kind="stable")[:k]  # the complement falls as the score rises
         return at[first], score[first]
 
@@ -91,49 +102,52 @@ class Block:
         """Places and scores of the ``k`` best vectors other than row ``own``."""
         n, d = self.x.shape
         mine = self.rows != own
-        if n <= 2 * k or not d or not self.exact(q):
+        if n <= 4 * k or not d or not self.exact(q):
             return self._best(np.flatnonzero(mine), q, k)
-        up = q > 0
-        edge = np.where(up, LEVEL - 1, 0)  # the value of a level with the largest impact
-
-        def impact(level):
-            return q * (level * LEVEL + edge)
-
-        best = impact(np.where(up, self.high, self.low))
-        worst = impact(np.where(up, self.low, self.high))
-        sums, met = np.zeros(n), np.zeros((n, d), np.float32)
+        dims, up = np.flatnonzero(q), q > 0
+        by, edge = q.astype(np.float64), np.where(up, self.width - 1, 0)
+        best = by * (np.where(up, self.least[:, -1], self.least[:, 0]) + edge)
+        sums, rest = np.zeros(n), best.copy()
         done = np.zeros(d, np.int64)  # postings of a dimension processed so far
-        top = best.max()
+        docs, sizes = [], []
+        members = np.flatnonzero(mine)
         for share in (*SHARES, None):
-            cut = worst.min() - 1 if share is None else share * top
-            # Postings with an impact of at least ``cut``, from the end the sign says.
-            with np.errstate(divide="ignore", invalid="ignore"):
-                level = np.where(up, np.ceil((cut / q - edge) / LEVEL), np.floor(cut / q / LEVEL))
-            level = np.where(q == 0, self.low - 1 if cut > 0 else self.high, level)
-            level = np.clip(level, self.low - 1, self.high + 1).astype(np.int64)
-            upto = np.array([n - np.searchsorted(s, c) if u else np.searchsorted(s, c, "right")
-                             for s, c, u in zip(self.sorted, level, up)], np.int64)
-            upto = np.maximum(upto, done)
-            size = upto - done
-            if size.any():
-                start = np.where(up, n - upto, done) + np.arange(d) * n
-                places = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-                of = np.repeat(np.arange(d), size)
-                doc = self.order[places]
-                gain = q[of] * (self.sorted.reshape(-1)[places] * LEVEL + edge[of])
-                sums += np.bincount(doc, gain, n)
-                met[doc, of] = 1
-                done = upto
+            # From the end the sign says, the postings with an impact of at least the cut.
+            if share is None:
+                upto = np.full(d, n)
+            else:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    level = (share * best.max() / by - self.low) / self.width
+                    level = np.where(up, np.ceil(level - edge / self.width), np.floor(level) + 1)
+                level = np.nan_to_num(level).clip(0, LEVELS).astype(np.int64)
+                start = self.starts[np.arange(d), level]
+                upto = np.maximum(np.where(up, n - start, start), done)
+            gains = []
+            for i in dims.tolist():
+                a, b = (n - upto[i], n - done[i]) if up[i] else (done[i], upto[i])
+                docs.append(self.order[i, a:b])
+                gains.append((self.least[i, a:b] + edge[i]) * by[i])
+            sizes.append(upto[dims] - done[dims])
+            done[dims] = upto[dims]
+            sums += np.bincount(np.concatenate(docs[-len(dims):] or [members[:0]]),
+                                np.concatenate(gains or [sums[:0]]), n)
+            # The largest impact a vector not met in a dimension can still have there.
             following = np.where(up, n - done - 1, done).clip(0, n - 1)
-            rest = np.where(done < n, impact(self.sorted[np.arange(d), following]), 0).astype(np.float64)
-            bound = sums + (rest.sum() - met.astype(np.float64) @ rest)
+            rest = np.where(done < n, by * (self.least[np.arange(d), following] + edge), 0)
+            bound = sums + rest.clip(0).sum()
+            if share is None or share < 0:
+                # Impacts still open are below zero: count them where they are open only.
+                below = rest.clip(None, 0)
+                met = np.bincount(np.concatenate(docs or [members[:0]]), np.concatenate(
+                    [np.repeat(below[dims], size) for size in sizes]), n)
+                bound += below.sum() - met
             bound[~mine] = -np.inf
             # Exact scores of the best so far prove a score that a member must reach.
             ahead = np.argpartition(-bound, 2 * k)[:2 * k]
             ahead = ahead[mine[ahead]]
-            proof = np.sort(self.scores(ahead, q))[-k] if len(ahead) >= k else -np.inf
+            proof = np.partition(self.wide[ahead] @ by, -k)[-k]
             members = np.flatnonzero(bound >= proof)
-            if len(members) <= max(4 * k, n // 16):
+            if len(members) <= n * SCORED:
                 break
         return self._best(members[mine[members]], q, k)
 
@@ -161,7 +175,9 @@ def search(df: DataFrame, asked: Column, k: int = K, key: str = "vec_id",
     queries = numbered.filter("asks").select(
         "dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.lit(1).alias("asks"), "row", "id", "x")
-    dealt = held.unionByName(queries).repartition("dim", "block").sortWithinPartitions(
+    # Blocks are of equal size, so ranges of blocks spread them evenly.
+    tasks = min(blocks.agg(F.sum("blocks").alias("n")).first()["n"] or 1, TASKS)
+    dealt = held.unionByName(queries).repartitionByRange(tasks, "dim", "block").sortWithinPartitions(
         "dim", "block", "asks")
 
     def work(batches):
