@@ -1,28 +1,32 @@
-"""Learned rules compiled to column expressions.
-
-A rule store holds one entry per lesson a person confirmed, so it is a small
-list by nature. It is turned into plain expressions here: a narration is then
-tested against every rule inside code generation, with no join and no shuffle.
+"""Learned rules as a keyed table, looked up by joins.
+
+A store of rules belongs to one merchant (a series of closes). All stores together are one
+table keyed by ``series_id``; a close meets only the rules of its own series. Of the rules
+that apply to a case, the one with the smallest ``rule_seq`` decides, whatever its kind.
+
+Keywords and markers are substrings of a narration, not whole words, so the inverted index
+is on three-character pieces: a rule is filed under the one piece of its text that fewest
+rules of its store share, a narration is looked up by its distinct pieces, and a full check
+follows. Rules on text shorter than a piece, an empty keyword among them, join by their
+series alone; there can be few different ones. Only distinct narrations of a series are
+looked up, so a label that a third of all credits carries is looked up once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal, InvalidOperation
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as K, schemas as S
 from .money import RATE
-from .text import alias_reference
-
-MAX_LIVE_RULES = 2000
+from .text import reference_after
 
-HIT = T.StructType([
-    T.StructField("rule_seq", T.LongType()), T.StructField("rule_id", T.StringType()),
-    T.StructField("kind", T.StringType()), T.StructField("amount", S.MONEY),
-    T.StructField("utr", T.StringType()),
-])
+PIECE = 3
+SPACES = " \t\n\r\x0b\x0c"
+ALIAS, CHARGE, TIMING, FEE = "narration_alias", "adjustment_pattern", "bank_timing", "fee_variant"
 
 
 @dataclass(frozen=True)
@@ -34,124 +38,166 @@ class Rule:
     origin_exception: str = ""
     learned_on: str = ""
     confidence: float = 0.9
-
-    def applies(self, context) -> Column:
-        """Has this rule an opinion on a case? ``context`` maps a name to a column."""
-        if self.kind == "bank_timing":
-            return context("bank").eqNullSafe(F.lit(self.params.get("bank")).cast("string"))
-        if self.kind == "fee_variant":
-            return context("method").eqNullSafe(F.lit(self.params.get("method")).cast("string"))
-        text = F.coalesce(context("narration"), F.lit(""))
-        if self.kind == "narration_alias":
-            return self.reference(text).isNotNull()
-        if self.kind == "adjustment_pattern":
-            keyword = str(self.params.get("keyword") or "").upper()
-            return F.contains(F.upper(text), F.lit(keyword))
-        return F.lit(False)
-
-    def verdict(self, context) -> dict:
-        """What the rule concludes, as named text columns."""
-        if self.kind == "bank_timing":
-            return {"expected_offset_days": F.lit(str(self.params.get("offset_days")))}
-        if self.kind == "fee_variant":
-            return {"rate": F.lit(str(self.params.get("rate")))}
-        if self.kind == "narration_alias":
-            return {"utr": self.reference(F.coalesce(context("narration"), F.lit("")))}
-        if self.kind == "adjustment_pattern":
-            out = {"category": F.lit(str(self.params.get("category")))}
-            if self.params.get("amount") is not None:
-                out["amount"] = F.lit(str(self.params["amount"]))
-            return out
-        return {}
-
-    def reference(self, text: Column) -> Column:
-        return alias_reference(text, self.params.get("marker"), self.params.get("prefix"))
+    series_id: str | None = None
 
     def amount(self):
-        return _decimal(self.params.get("amount"))
+        try:
+            value = Decimal(str(self.params.get("amount")))
+        except (InvalidOperation, ValueError):
+            return None
+        return value if value.is_finite() else None
 
 
-def _decimal(raw):
-    try:
-        value = Decimal(str(raw))
-    except (InvalidOperation, ValueError):
-        return None
-    return value if value.is_finite() else None
+def rule_table(spark: SparkSession, rules) -> DataFrame:
+    """Rules typed in by a person, as a table of live rules."""
+    return spark.createDataFrame([
+        (r.rule_seq, r.rule_id, r.kind, {k: str(v) for k, v in r.params.items()},
+         r.origin_exception, r.learned_on, float(r.confidence), "live", None, r.series_id)
+        for r in rules], S.RULES)
+
+
+def _pieces(text: Column) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - PIECE + 1, F.lit(1)))
+    return F.when(F.length(text) >= PIECE, F.array_distinct(
+        F.transform(starts, lambda at: F.substring(text, at, F.lit(PIECE))))).otherwise(
+        F.array().cast("array<string>"))
 
 
 class RuleBook:
-    """The live rules, oldest first; the first one that applies decides."""
+    """The live rules of all series.
+
+    ``series`` gives the series of a close from its ``close_id``; without it all rules are
+    one store that speaks to every close.
+    """
 
-    def __init__(self, rules=()):
-        self.rules = sorted(rules, key=lambda rule: rule.rule_seq)
-        if len(self.rules) > MAX_LIVE_RULES:
-            raise ValueError(
-                f"{len(self.rules)} live rules: a store of confirmed lessons this large "
-                "needs curating before it can be compiled into a close"
-            )
+    def __init__(self, rules=(), series: Callable[[Column], Column] | None = None,
+                 table: DataFrame | None = None):
+        self._typed, self._table, self._series = tuple(rules), table, series
 
     @classmethod
-    def from_df(cls, rules: DataFrame) -> "RuleBook":
-        """Read the live rules; one more than allowed is fetched so excess is an error."""
-        live = rules.filter("status = 'live'").orderBy("rule_seq").limit(MAX_LIVE_RULES + 1)
-        return cls([
-            Rule(r.rule_seq, r.rule_id, r.kind, dict(r.params or {}), r.origin_exception,
-                 r.learned_on, r.confidence)
-            for r in live.collect()
-        ])
-
-    def to_df(self, spark: SparkSession) -> DataFrame:
-        rows = [
-            (r.rule_seq, r.rule_id, r.kind, {k: str(v) for k, v in r.params.items()},
-             r.origin_exception, r.learned_on, float(r.confidence), "live", None)
-            for r in self.rules
-        ]
-        return spark.createDataFrame(rows, S.RULES)
-
-    def narration_hit(self, narration: Column) -> Column:
-        """Struct of the first rule of any kind that applies to a narration."""
-        null = F.lit(None).cast("string")
-        text = F.coalesce(narration, F.lit(""))
-
-        def context(name):
-            return text if name == "narration" else null
-
-        tests = []
-        for rule in self.rules:
-            amount = rule.amount() if rule.kind == "adjustment_pattern" else None
-            utr = rule.reference(text) if rule.kind == "narration_alias" else null
-            outcome = F.struct(
-                F.lit(rule.rule_seq).cast("long").alias("rule_seq"),
-                F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.kind).alias("kind"),
-                F.lit(amount).cast(S.MONEY).alias("amount"), utr.alias("utr"),
-            )
-            tests.append(F.when(rule.applies(context), outcome))
-        return F.coalesce(*tests, F.lit(None)).cast(HIT) if tests else F.lit(None).cast(HIT)
-
-    def rates(self) -> dict:
-        """Contracted rate by method; a malformed rate falls back to the base rate."""
-        out = {}
-        for rule in self.rules:
-            method = rule.params.get("method")
-            if rule.kind == "fee_variant" and method is not None and method not in out:
-                out[method] = _decimal(rule.params.get("rate"))
-        return {m: K.CONTRACTED_RATE if r is None else r for m, r in out.items()}
-
-    def contracted_rate(self, method: Column) -> Column:
-        known = [F.when(method == m, F.lit(rate).cast(RATE)) for m, rate in self.rates().items()]
-        return F.coalesce(*known, F.lit(K.CONTRACTED_RATE).cast(RATE))
-
-    def has_rate(self, method: Column) -> Column:
-        names = list(self.rates())
-        return F.coalesce(method.isin(names), F.lit(False)) if names else F.lit(False)
-
-    def extra_lag_days(self) -> int:
-        best = 0
-        for rule in self.rules:
-            if rule.kind == "bank_timing":
-                try:
-                    best = max(best, min(int(rule.params.get("offset_days", 0)),
-                                         K.MAX_EXTRA_LAG_DAYS))
-                except (TypeError, ValueError):
-                    continue
-        return best
+    def from_df(cls, rules: DataFrame, series: Callable[[Column], Column] | None = None) -> "RuleBook":
+        return cls(series=series, table=rules)
+
+    @property
+    def empty(self) -> bool:
+        """Known to hold no rule; a table is not looked into."""
+        return self._table is None and not self._typed
+
+    def series(self, close_id: Column) -> Column:
+        return self._series(close_id) if self._series else F.lit("")
+
+    def keyed(self, df: DataFrame) -> DataFrame:
+        """``df`` with the series of its closes as ``_series``."""
+        return df.withColumn("_series", self.series(F.col("close_id")))
+
+    def live(self) -> DataFrame:
+        """``_series``, number, id, kind and parameters of the live rules."""
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        table = rule_table(spark, self._typed) if self._table is None else self._table
+        key = F.coalesce("series_id", F.lit("")) if self._series else F.lit("")
+        return table.filter("status = 'live'").select(
+            key.alias("_series"), "rule_seq", "rule_id", "kind", "params")
+
+    def _texts(self) -> DataFrame:
+        """Alias and charge rules with the text they look for."""
+        p = F.col("params")
+        label = F.trim(F.upper(F.coalesce(p["marker"], F.lit(""))), F.lit(SPACES))
+        keyword = F.upper(F.coalesce(p["keyword"], F.lit("")))
+        rules = self.live().withColumn("text", F.when(F.col("kind") == ALIAS, label).when(
+            F.col("kind") == CHARGE, keyword))
+        return rules.filter((F.col("kind") == CHARGE) | ((F.col("kind") == ALIAS) & (F.col("text") != "")))
+
+    def narration_hits(self, texts: DataFrame, unnamed: bool = True) -> DataFrame:
+        """Every rule that applies to each distinct ``_series`` and ``narration``.
+
+        With ``unnamed``, rules on a bank or method that name none count too: a bare
+        narration has no bank and no method either.
+        """
+        rules = self._texts()
+        filed = rules.filter(F.length("text") >= PIECE).withColumn("piece", F.explode(_pieces(F.col("text"))))
+        shared = filed.groupBy("_series", "piece").agg(F.count(F.lit(1)).alias("n"))
+        rarest = filed.join(shared, ["_series", "piece"]).groupBy("_series", "rule_seq", "rule_id").agg(
+            F.min(F.struct("n", "piece"))["piece"].alias("piece"), F.first("kind").alias("kind"),
+            F.first("params").alias("params"), F.first("text").alias("text"))
+        looked_up = texts.withColumn("piece", F.explode(_pieces(F.upper("narration"))))
+        columns = ["_series", "narration", "rule_seq", "rule_id", "kind", "params", "text"]
+        found = looked_up.join(rarest, ["_series", "piece"]).select(*columns).unionByName(
+            texts.join(rules.filter(F.length("text") < PIECE), "_series").select(*columns))
+        reference = reference_after(F.col("narration"), F.col("text"), F.col("params")["prefix"])
+        found = found.withColumn("utr", F.when(F.col("kind") == ALIAS, reference)).filter(
+            F.when(F.col("kind") == ALIAS, F.col("utr").isNotNull())
+            .otherwise(F.contains(F.upper("narration"), F.col("text"))))
+        columns = [*columns[:-1], "utr"]
+        found = found.select(*columns)
+        if unnamed:
+            bare = self.live().filter(
+                ((F.col("kind") == TIMING) & F.col("params")["bank"].isNull())
+                | ((F.col("kind") == FEE) & F.col("params")["method"].isNull()))
+            found = found.unionByName(texts.join(bare, "_series").withColumn(
+                "utr", F.lit(None).cast("string")).select(*columns))
+        return found.withColumn("amount", F.when(
+            F.col("kind") == CHARGE, F.trim(F.col("params")["amount"], F.lit(SPACES)).try_cast(S.MONEY)))
+
+    def first_hits(self, texts: DataFrame) -> DataFrame:
+        """The rule that decides for each distinct ``_series`` and ``narration``, as ``_hit``."""
+        outcome = F.struct("rule_seq", "rule_id", "kind", "amount", "utr")
+        return self.narration_hits(texts).groupBy("_series", "narration").agg(F.min(outcome).alias("_hit"))
+
+    def applicable(self, cases: DataFrame) -> DataFrame:
+        """Every rule of its series that applies to each case.
+
+        ``cases`` has ``_case``, what to call a case, next to ``_series`` and a ``context`` map.
+        """
+        context = F.col("context")
+        cases = cases.withColumns({"narration": F.coalesce(context["narration"], F.lit("")),
+                                   "_bank": context["bank"], "_method": context["method"]})
+        texts = cases.select("_series", "narration").distinct()
+        columns = ["_case", "rule_seq", "rule_id", "kind", "params", "utr"]
+        found = cases.select("_case", "_series", "narration").join(
+            self.narration_hits(texts, unnamed=False), ["_series", "narration"]).select(*columns)
+        for kind, name in ((TIMING, "bank"), (FEE, "method")):
+            rules = self.live().filter(F.col("kind") == kind).withColumnRenamed("_series", "_of").withColumn(
+                "_value", F.col("params")[name])
+            found = found.unionByName(cases.join(rules, (F.col("_series") == F.col("_of")) & F.col(
+                f"_{name}").eqNullSafe(F.col("_value"))).withColumn(
+                "utr", F.lit(None).cast("string")).select(*columns))
+        return found
+
+    def rates(self) -> DataFrame:
+        """Contracted rate by series and method; a malformed rate is the base rate."""
+        first = F.min(F.struct("rule_seq", F.col("params")["rate"].alias("rate")))["rate"]
+        given = F.trim(first, F.lit(SPACES)).try_cast("decimal(38,10)").cast(RATE)
+        return self.live().filter((F.col("kind") == FEE) & F.col("params")["method"].isNotNull()).groupBy(
+            "_series", F.col("params")["method"].alias("method")).agg(
+            F.coalesce(given, F.lit(K.CONTRACTED_RATE).cast(RATE)).alias("learned_rate"))
+
+    def with_rate(self, df: DataFrame) -> DataFrame:
+        """``rate`` of each row's method and whether a rule gave it (``has_rate``)."""
+        base = F.lit(K.CONTRACTED_RATE).cast(RATE)
+        if self.empty:
+            return df.withColumns({"rate": base, "has_rate": F.lit(False)})
+        known = self.keyed(df).join(self.rates(), ["_series", "method"], "left")
+        return known.withColumns({"rate": F.coalesce("learned_rate", base),
+                                  "has_rate": F.col("learned_rate").isNotNull()}).drop(
+            "_series", "learned_rate")
+
+    def lags(self) -> DataFrame:
+        """The largest extra lag taught for each series, within its bound."""
+        text = F.trim(F.coalesce(F.col("params")["offset_days"], F.lit("0")), F.lit(SPACES))
+        days = F.when(text.rlike(r"^[+-]?\d{1,30}$"), F.least(
+            text.try_cast("decimal(38,0)"), F.lit(K.MAX_EXTRA_LAG_DAYS).cast("decimal(38,0)")))
+        return self.live().filter(F.col("kind") == TIMING).groupBy("_series").agg(
+            F.greatest(F.max(days).cast("int"), F.lit(0)).alias("_lag"))
+
+    def with_last_day(self, df: DataFrame) -> DataFrame:
+        """``last_day``: days after settlement on which money of a close may still arrive."""
+        if self.empty:
+            return df.withColumn("last_day", F.lit(K.WINDOW_DAYS))
+        return self.keyed(df).join(self.lags(), "_series", "left").withColumn(
+            "last_day", (F.lit(K.WINDOW_DAYS) + F.coalesce("_lag", F.lit(0))).cast("int")).drop(
+            "_series", "_lag")
+
+    @property
+    def longest_window(self) -> int:
+        """No ``last_day`` is larger."""
+        return K.WINDOW_DAYS if self.empty else K.WINDOW_DAYS + K.MAX_EXTRA_LAG_DAYS

@@ -19,17 +19,14 @@ def has_any_reference(narration: Column) -> Column:
     return narration.rlike(K.ANY_REFERENCE_REGEX)
 
 
-def alias_reference(narration: Column, marker: str, prefix: str) -> Column:
-    """The 6 to 24 digits after a bank's own label, with our prefix, else null."""
-    label = str(marker or "").upper().strip()
-    if not label:
-        return F.lit(None).cast("string")
+def reference_after(narration: Column, label: Column, prefix: Column) -> Column:
+    """The 6 to 24 digits after a bank's own label (in capitals), with our prefix, else null."""
     text = F.upper(narration)
-    at = F.locate(label, text)
-    tail = F.ltrim(F.substring(text, at + len(label), F.length(text)), F.lit(" :-/#"))
+    at = F.position(label, text)
+    tail = F.ltrim(F.substring(text, at + F.length(label), F.length(text)), F.lit(" :-/#"))
     digits = F.regexp_extract(tail, r"^\d+", 0)
-    usable = (at > 0) & F.length(digits).between(K.ALIAS_MIN_DIGITS, K.ALIAS_MAX_DIGITS)
-    return F.when(usable, F.concat(F.lit(prefix or ""), digits))
+    usable = (label != "") & (at > 0) & F.length(digits).between(K.ALIAS_MIN_DIGITS, K.ALIAS_MAX_DIGITS)
+    return F.when(usable, F.concat(F.coalesce(prefix, F.lit("")), digits))
 
 
 def injection_names(text: Column) -> Column:

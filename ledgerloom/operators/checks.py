@@ -19,9 +19,8 @@ def fee_checks(settlement: DataFrame, book: RuleBook) -> tuple[DataFrame, DataFr
     implied = F.when(maybe, implied_rate())
     fair = F.when(maybe, fee_at(F.col("rate")))
     rated = (
-        settlement.filter("txn_type = 'payment' and gross_amount > 0")
-        .select("close_id", "line_no", "txn_id", "method", "gross_amount", "fee", "gst_on_fee",
-                book.contracted_rate(F.col("method")).alias("rate"))
+        book.with_rate(settlement.filter("txn_type = 'payment' and gross_amount > 0").select(
+            "close_id", "line_no", "txn_id", "method", "gross_amount", "fee", "gst_on_fee"))
         .withColumn("implied", implied).withColumn("fair_fee", fair)
         .withColumn("over", F.coalesce(
             (F.col("implied") > F.col("rate") + F.lit(K.RATE_MARGIN))
@@ -54,7 +53,7 @@ def fee_checks(settlement: DataFrame, book: RuleBook) -> tuple[DataFrame, DataFr
     impact = F.col("fee") + F.col("gst_on_fee") - (F.col("fair_fee") + gst_on(F.col("fair_fee")))
     findings = finding(
         lone, "fee_overcharge", F.col("txn_id"),
-        F.when(book.has_rate(F.col("method")), K.L2).otherwise(K.L0), 1.0, impact,
+        F.when(F.col("has_rate"), K.L2).otherwise(K.L0), 1.0, impact,
         text_map(method=F.col("method"), gross=F.col("gross_amount"),
                  fee_charged=F.col("fee"), implied_rate=F.col("implied"),
                  contracted_rate=F.col("rate")), 10)

@@ -78,7 +78,7 @@ def demands(open_batches: DataFrame) -> DataFrame:
     """Open batches that ask for the same sum on the same date, as one row."""
     return open_batches.groupBy(
         "close_id", "settled_on", F.col("expected").alias("target")
-    ).agg(F.count(F.lit(1)).alias("n_batches"),
+    ).agg(F.count(F.lit(1)).alias("n_batches"), F.max("last_day").alias("last_day"),
           F.min_by("batch_id", "batch_seq").alias("batch_id"),
           F.min("batch_seq").alias("batch_seq"))
 
@@ -87,7 +87,7 @@ def wants_exact(demand: DataFrame, credits: DataFrame, last_day: int) -> DataFra
     """Demands with exactly one credit of their amount in the window."""
     supply = credits.groupBy("close_id", "value_date", F.col("credit_amount").alias("amount")).agg(
         F.count(F.lit(1)).alias("n"), F.min(_credit()).alias("credit"))
-    pairs = amount_window_join(demand, supply, 0, last_day)
+    pairs = amount_window_join(demand, supply, 0, last_day, until="last_day")
     return (
         pairs.groupBy(*DEMAND, "n_batches", "batch_id", "batch_seq")
         .agg(F.sum("n").alias("n"), F.min("credit").alias("credit"))
@@ -105,7 +105,7 @@ def wants_net_of_charge(demand: DataFrame, credits: DataFrame, last_day: int) ->
         .groupBy("close_id", "value_date", (F.col("credit_amount") + F.col("adj")).alias("amount"))
         .agg(F.min(_credit()).alias("credit"))
     )
-    pairs = amount_window_join(demand, supply, 0, last_day)
+    pairs = amount_window_join(demand, supply, 0, last_day, until="last_day")
     return (
         pairs.groupBy(*DEMAND, "n_batches", "batch_id", "batch_seq")
         .agg(F.min("credit").alias("credit"))
@@ -115,7 +115,7 @@ def wants_net_of_charge(demand: DataFrame, credits: DataFrame, last_day: int) ->
     )
 
 
-def small_windows(demand: DataFrame, credits: DataFrame, last_day: int) -> DataFrame:
+def small_windows(demand: DataFrame, credits: DataFrame) -> DataFrame:
     """The credits of each settlement window that holds at most twelve, in order.
 
     Thirteen credits of a day are enough to know a window is too wide; the row
@@ -128,8 +128,8 @@ def small_windows(demand: DataFrame, credits: DataFrame, last_day: int) -> DataF
         .groupBy("close_id", "value_date")
         .agg(F.array_sort(F.collect_list(_credit())).alias("day"))
     )
-    offsets = F.sequence(F.lit(0), F.lit(last_day))
-    wanted = demand.select("close_id", "settled_on").distinct().select(
+    offsets = F.sequence(F.lit(0), F.col("last_day"))
+    wanted = demand.select("close_id", "settled_on", "last_day").distinct().select(
         "close_id", "settled_on",
         F.explode(F.transform(offsets, lambda d: F.date_add("settled_on", d))).alias("value_date"))
     return (
@@ -229,7 +229,8 @@ def match_batches(batches: DataFrame, credits: DataFrame, book: RuleBook,
     """All stages. Returns matches, match_credits, open_batches and open_credits."""
     if contested not in ("park", "earliest"):
         raise ValueError("contested must be 'park' or 'earliest'")
-    last_day = K.WINDOW_DAYS + book.extra_lag_days()
+    batches = book.with_last_day(batches)
+    last_day = book.longest_window
     # Four tables follow from it, so it is written once.
     claimed = materialise(reference_credits(batches, credits), "claimed")
     taken = [claimed.select(*S.MATCH_CREDITS.names)]
@@ -243,11 +244,11 @@ def match_batches(batches: DataFrame, credits: DataFrame, book: RuleBook,
 
     subset_rule = F.col("rule").isNotNull()
     stages = [("exact", wants_exact, F.lit(K.L1), 0.95, F.lit("amount_date_window"))]
-    if any(rule.amount() is not None for rule in book.rules if rule.kind == "adjustment_pattern"):
+    if not book.empty:
         stages.append(("charge", wants_net_of_charge, F.lit(K.L2), 0.97,
                        F.concat(F.lit("amount_net_of_learned_charge:"), F.col("rule"))))
     stages.append((
-        "subset", lambda d, c, n: wants_subset(d, small_windows(d, c, n)),
+        "subset", lambda d, c, n: wants_subset(d, small_windows(d, c)),
         F.when(subset_rule, K.L2).otherwise(K.L1), 0.90,
         F.when(subset_rule, F.concat(F.lit("subset_netting+learned_charge:"), F.col("rule")))
         .otherwise("subset_netting")))
@@ -284,14 +285,14 @@ def match_batches(batches: DataFrame, credits: DataFrame, book: RuleBook,
     }
 
 
-def candidates(unmatched: DataFrame, open_credits: DataFrame, last_day: int) -> DataFrame:
+def candidates(unmatched: DataFrame, open_credits: DataFrame) -> DataFrame:
     """Unclaimed credits inside the window of an unmatched batch, keyed by its date.
 
     A window depends on the close and the settlement date only, so the list is kept
     once per date instead of once per batch.
     """
-    dates = unmatched.select("close_id", "settled_on").distinct()
-    offsets = F.sequence(F.lit(0), F.lit(last_day))
+    dates = unmatched.select("close_id", "settled_on", "last_day").distinct()
+    offsets = F.sequence(F.lit(0), F.col("last_day"))
     days = dates.select("close_id", "settled_on", F.explode(
         F.transform(offsets, lambda d: F.date_add("settled_on", d))).alias("value_date"))
     return skew_join(open_credits, days, ["close_id", "value_date"]).select(

@@ -28,16 +28,23 @@ def batch_nets(settlement: DataFrame) -> DataFrame:
         F.max("high_day").alias("max_settled_on"))
 
 
+NO_HIT = "struct<rule_id:string,kind:string,amount:decimal(18,2),utr:string>"
+
+
 def prepare_credits(bank: DataFrame, book: RuleBook) -> DataFrame:
     """Credits with the reference they carry and the charge a rule expects on them."""
+    rows = book.keyed(bank.withColumn("narration", F.coalesce("narration", F.lit(""))))
+    if book.empty:
+        rows = rows.withColumn("_hit", F.lit(None).cast(NO_HIT))
+    else:
+        texts = rows.select("_series", "narration").distinct()
+        rows = rows.join(book.first_hits(texts), ["_series", "narration"], "left")
     hit = F.col("_hit")
     alias = F.when(hit["kind"] == "narration_alias", hit["utr"])
     charge = (hit["kind"] == "adjustment_pattern") & hit["amount"].isNotNull()
     given = F.when(F.col("utr") != "", F.col("utr"))
     return (
-        bank.withColumn("narration", F.coalesce("narration", F.lit("")))
-        .withColumn("_hit", book.narration_hit(F.col("narration")))
-        .select(
+        rows.select(
             "close_id", "line_no", "bank_txn_id", "credit_amount", "value_date", "narration",
             F.coalesce(given, strict_utr(F.col("narration")), alias).alias("utr_x"),
             F.when(charge, hit["amount"]).alias("adj"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .. import constants as K
+from .. import constants as K, schemas as S
 from ..functions.rulebook import RuleBook
 from ..functions.text import injection_names
 from .rows import exception, finding, text_map, union_all
@@ -63,19 +63,21 @@ def stale_rules(matches: DataFrame, book: RuleBook) -> DataFrame:
     modal = F.max(F.struct("n", (-F.col("first_seq")).alias("earliest"), "_gap"))
     stale = counts.groupBy("close_id", "rule_id").agg(modal.alias("m")).filter(
         F.col("m.n") >= K.STALE_RULE_MIN_ROWS)
-    stored = {r.rule_id: r for r in book.rules if r.kind == "adjustment_pattern"}
+    if book.empty:
+        known = stale.withColumn("params", F.lit(None).cast(S.TEXT_MAP))
+    else:
+        charges = book.live().filter("kind = 'adjustment_pattern'").select("_series", "rule_id", "params")
+        known = book.keyed(stale).join(charges, ["_series", "rule_id"], "left")
 
     def of_rule(name):
-        picks = [F.when(F.col("rule_id") == rid, F.lit(str(rule.params.get(name, ""))))
-                 for rid, rule in stored.items()]
-        return F.coalesce(*picks, F.lit("")) if picks else F.lit("")
+        return F.coalesce(F.col("params")[name], F.lit(""))
 
     context = text_map(rule_id=F.col("rule_id"), stored_amount=of_rule("amount"),
                        observed_amount=F.col("m._gap"), occurrences=F.col("m.n"),
                        keyword=of_rule("keyword"))
     reason = F.concat(F.lit("rule "), F.col("rule_id"), F.lit(
         " still applies but no longer explains the amount taken: confirm and replace it"))
-    return exception(stale.withColumn("line_no", -F.col("m.earliest")), "stale_rule",
+    return exception(known.withColumn("line_no", -F.col("m.earliest")), "stale_rule",
                      F.concat(F.lit("stale::"), F.col("rule_id")), context, reason, 50)
 
 
@@ -118,13 +120,14 @@ def rule_opinions(exceptions: DataFrame, candidates: DataFrame, book: RuleBook)
     dated = exceptions.withColumn("settled_on", F.when(
         F.col("kind") == "unmatched_batch", F.col("context")["settled_on"].cast("date")))
     rows = dated.join(first, ["close_id", "settled_on"], "left")
-    context = {
-        "narration": F.coalesce(F.col("context")["narration"], F.col("_first_narration")),
-        "bank": F.col("context")["bank"], "method": F.col("context")["method"]}
-    tests = [F.when(rule.applies(context.__getitem__), F.struct(
-        F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.kind).alias("rule_kind")))
-        for rule in book.rules]
-    kind = "struct<rule_id:string,rule_kind:string>"
-    opinion = F.coalesce(*tests, F.lit(None)).cast(kind) if tests else F.lit(None).cast(kind)
-    return rows.withColumn("_o", opinion).filter(F.col("_o").isNotNull()).select(
-        "close_id", "kind", "subject_id", "_o.*")
+    context = text_map(narration=F.coalesce(F.col("context")["narration"], F.col("_first_narration")),
+                       bank=F.col("context")["bank"], method=F.col("context")["method"])
+    if book.empty:
+        return rows.limit(0).select("close_id", "kind", "subject_id", F.lit("").alias("rule_id"),
+                                    F.lit("").alias("rule_kind"))
+    case = F.struct("close_id", F.col("kind").alias("exception"), "subject_id")
+    cases = book.keyed(rows).select("_series", case.alias("_case"), context.alias("context"))
+    first_rule = F.min(F.struct("rule_seq", "rule_id", "kind"))
+    return book.applicable(cases).groupBy("_case").agg(first_rule.alias("_o")).select(
+        "_case.close_id", F.col("_case.exception").alias("kind"), "_case.subject_id",
+        "_o.rule_id", F.col("_o.kind").alias("rule_kind"))

@@ -27,6 +27,29 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and its file system, whichever one the session's settings name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _at(spark, path)
+    return files.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    at, files = _at(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Create an empty file: what it stands for is complete."""
+    at, files = _at(spark, path)
+    files.create(at, True).close()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table once and read it back, columnar and with known size."""
     path = f"{shared_folder(df.sparkSession)}/ledgerloom/{name}-{uuid.uuid4().hex}"
@@ -126,9 +149,12 @@ def running(df: DataFrame, group, order, name, **totals) -> DataFrame:
 
 
 def amount_window_join(demand: DataFrame, supply: DataFrame, first_day: int, last_day: int,
-                       target="target") -> DataFrame:
+                       target="target", until=None) -> DataFrame:
     """Pairs whose amount lies within the tolerance and whose date lies in the window.
 
+    ``until`` names a column of the demands with a last day of their own, at most
+    ``last_day``.
+
     Both ranges become bucket keys, so this is an equi join. ``supply`` must hold one
     row per close, date and amount and ``demand`` one per close, date and target: a
     row then meets at most 201 amounts per day of the window, whatever the volume.
@@ -140,10 +166,11 @@ def amount_window_join(demand: DataFrame, supply: DataFrame, first_day: int, las
         return F.floor(value / size).cast("long")
 
     day = F.unix_date("settled_on")
+    end = F.lit(last_day) if until is None else F.col(until)
     wanted = (
         demand
         .withColumn("_day_bucket", F.explode(F.sequence(
-            bucket(day + first_day, span), bucket(day + last_day, span))))
+            bucket(day + first_day, span), bucket(day + end, span))))
         .withColumn("_amount_bucket", F.explode(F.sequence(
             bucket(F.col(target) - tolerance, width), bucket(F.col(target) + tolerance, width))))
     )
@@ -151,6 +178,6 @@ def amount_window_join(demand: DataFrame, supply: DataFrame, first_day: int, las
         "*", bucket(F.unix_date("value_date"), F.lit(span)).alias("_day_bucket"),
         bucket(F.col("amount"), width).alias("_amount_bucket"))
     near = (F.abs(F.col("amount") - F.col(target)) <= tolerance) & F.datediff(
-        "value_date", "settled_on").between(first_day, last_day)
+        "value_date", "settled_on").between(F.lit(first_day), end)
     keys = ["close_id", "_day_bucket", "_amount_bucket"]
     return wanted.join(offered, keys).filter(near).drop("_day_bucket", "_amount_bucket")

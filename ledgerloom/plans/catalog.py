@@ -55,7 +55,8 @@ def sources(spark, sf_dir, yearly=False):
 
 
 def closed(spark, sf_dir, learned=True, yearly=False) -> Close:
-    book = tables.rulebook() if learned else RuleBook()
+    book = (tables.merchant_book(spark, sf_dir) if learned == oracles.STORES
+            else tables.rulebook() if learned else RuleBook())
     return _once(spark, ("close", sf_dir, learned, yearly),
                  lambda: close(*sources(spark, sf_dir, yearly), book))
 
@@ -952,6 +953,39 @@ def rule_opinions(spark, sf_dir):
     return post_match.rule_opinions(c.exceptions, c.candidates(), c.book)
 
 
+# A close in which every merchant has rules of its own.
+
+@query("merchant_credits", """SELECT close_id, bank_txn_id, credit_amount, utr_x, adj, adj_rule
+  FROM credits""", oracles.STORES)
+def merchant_credits(spark, sf_dir):
+    return nets.prepare_credits(sources(spark, sf_dir)[1], tables.merchant_book(spark, sf_dir)).select(
+        "close_id", "bank_txn_id", "credit_amount", "utr_x", "adj", "adj_rule")
+
+
+_matches("merchant_matches", "%", oracles.STORES)
+
+
+@query("merchant_findings", f"SELECT {FINDING_SQL}, rule_id FROM findings", oracles.STORES)
+def merchant_findings(spark, sf_dir):
+    return closed(spark, sf_dir, oracles.STORES).findings.select(*FINDING, "rule_id")
+
+
+@query("merchant_exceptions", """SELECT close_id, kind, subject_id, check_rank,
+  CASE kind WHEN 'stale_rule' THEN CAST(gap AS DECIMAL(28,2)) END AS observed,
+  CASE kind WHEN 'stale_rule' THEN CAST(CASE e.rule_id WHEN 'any_charge' THEN
+    CAST(1+""" + oracles.SK + """ AS DECIMAL(28,2)) ELSE CASE WHEN """ + oracles.SK + """%10=1 THEN 250
+    WHEN """ + oracles.SK + """%10=6 THEN 375 ELSE 500 END END AS DECIMAL(28,2)) END AS stored
+  FROM (SELECT *, detail rule_id, amount gap FROM exceptions) e""", oracles.STORES)
+def merchant_exceptions(spark, sf_dir):
+    """Open questions; a stale charge is compared with the amount its own store holds."""
+    ctx = F.col("context")
+    stale = F.col("kind") == "stale_rule"
+    return closed(spark, sf_dir, oracles.STORES).exceptions.select(
+        "close_id", "kind", "subject_id", "check_rank",
+        F.when(stale, ctx["observed_amount"].cast(S.TOTAL)).alias("observed"),
+        F.when(stale, ctx["stored_amount"].cast(S.TOTAL)).alias("stored"))
+
+
 @query("alias_candidates", """SELECT DISTINCT b.close_id, b.batch_id AS subject_id, arg_min(
     regexp_extract(rtrim(split_part(upper(narration), substr(b.utr,4), 1), ' :-/#'), '(\\S+)$', 1),
     (c.value_date, c.line_no)) AS marker
@@ -972,7 +1006,7 @@ def alias_candidates(spark, sf_dir):
     BETWEEN 5 AND 9 AND k.credit_amount-b.expected BETWEEN -1 AND 1) WHERE r=1""", learned=False)
 def timing_candidates(spark, sf_dir):
     c = closed(spark, sf_dir, False)
-    return rules.timing_candidates(c.exceptions, c.bank, c.open_credits, K.WINDOW_DAYS).select(
+    return rules.timing_candidates(c.exceptions, c.bank, c.open_credits, c.book).select(
         "close_id", "subject_id", F.col("proposed_rule.params")["offset_days"]
         .alias("offset_days"))
 
@@ -1004,15 +1038,101 @@ def rate_candidates(spark, sf_dir):
         .alias("rate"))
 
 
-@query("learned_rules")
-def learned_rules(spark, sf_dir):
-    """The rule table after a first close without any rule."""
+# Two rounds of learning, each merchant for itself: what a close without rules suggests,
+# then answers of a reviewer: a rate that changed, a label that misleads, a rule cut short.
+LEARNED = CASES + """,
+refs AS (SELECT b.close_id, b.batch_id, any_value(b.batch_seq) batch_seq, arg_min(
+    regexp_extract(rtrim(split_part(upper(narration), substr(b.utr,4), 1), ' :-/#'), '(\\S+)$', 1),
+    (c.value_date, c.line_no)) AS marker
+  FROM open_batches b JOIN open_credits c ON b.close_id=c.close_id AND c.value_date-b.settled_on
+    BETWEEN 0 AND 4 AND contains(narration, substr(b.utr,4))
+  WHERE b.utr IS NOT NULL AND regexp_extract(rtrim(split_part(upper(narration), substr(b.utr,4), 1),
+    ' :-/#'), '(\\S+)$', 1)<>'' GROUP BY 1,2),
+lates AS (SELECT close_id, batch_id, batch_seq, lag, CASE WHEN contains(u,'HDFC') THEN 'HDFC'
+    WHEN contains(u,'ICICI') THEN 'ICICI' WHEN contains(u,'AXIS') THEN 'AXIS' WHEN contains(u,'SBI')
+    THEN 'SBI' WHEN contains(u,'KOTAK') OR contains(u,'KKBK') THEN 'KOTAK' ELSE 'UNKNOWN' END bank
+  FROM (SELECT b.close_id, b.batch_id, b.batch_seq, k.value_date-b.settled_on lag,
+      upper(k.narration) u FROM open_batches b JOIN bank k ON b.close_id=k.close_id
+      AND k.value_date-b.settled_on BETWEEN 5 AND 9 AND k.credit_amount-b.expected BETWEEN -1 AND 1
+    QUALIFY row_number() OVER (PARTITION BY b.close_id, b.batch_id ORDER BY k.line_no)=1)
+  ANTI JOIN refs USING (close_id, batch_id)),
+said AS (
+  SELECT 1 round, close_id, 'fee_variant' kind, 40 check_rank, first_line line_no,
+    'ratecard::'||c.method origin, c.method mark, k.rate val
+  FROM cards c JOIN (VALUES {contract}) k(method, rate) USING (method)
+  UNION ALL SELECT 1, close_id, 'narration_alias', 60, batch_seq, batch_id, marker, 'UTR' FROM refs
+  UNION ALL SELECT 1, close_id, 'bank_timing', 60, batch_seq, batch_id, bank, CAST(lag AS VARCHAR)
+  FROM lates
+  UNION ALL SELECT 2, close_id, 'fee_variant', 90, 1, 'review::1', 'intl_card', '0.031' FROM counts
+  WHERE {sk}%3=0
+  UNION ALL SELECT 2, close_id, 'narration_alias', 90, 2, 'review::2', 'UTR', 'REF' FROM counts),
+lessons AS (SELECT * FROM said s WHERE NOT (round=2 AND kind='narration_alias' AND EXISTS (
+    SELECT 1 FROM refs r WHERE r.close_id=s.close_id AND r.marker='UTR'))
+  QUALIFY row_number() OVER (PARTITION BY round, close_id, kind, mark
+    ORDER BY check_rank, line_no, origin)=1),
+read AS (SELECT round, close_id, kind, mark, count(*) n FROM (
+    SELECT l.*, utr, regexp_extract(ltrim(substr(upper(narration), strpos(upper(narration), mark)
+      +length(mark)), ' :-/#'), '^[0-9]+') digits
+    FROM lessons l JOIN cases USING (close_id)
+    WHERE kind='narration_alias' AND strpos(upper(narration), mark)>0)
+  WHERE length(digits) BETWEEN 6 AND 24 AND val||digits<>utr GROUP BY ALL),
+judged AS (SELECT l.*, coalesce(n, 0) bad, row_number() OVER (PARTITION BY close_id
+    ORDER BY round, check_rank, line_no, origin) seq
+  FROM lessons l LEFT JOIN read USING (round, close_id, kind, mark)),
+named AS (SELECT *, CASE WHEN bad=0 THEN kind||'_'||lpad(CAST(count(*) FILTER (bad=0) OVER (
+      PARTITION BY close_id, kind ORDER BY seq) AS VARCHAR), 3, '0') ELSE kind||'_pending' END id
+  FROM judged)"""
+
+
+def _learned(spark, sf_dir):
+    """The rule table of every merchant after two rounds, kept as a log of events."""
     c = closed(spark, sf_dir, False)
+    own = lambda close_id: close_id
+    empty = spark.createDataFrame([], S.RULES)
+    cases = rules.confirmed_cases(c.bank, c.findings)
     answers = materialise(rules.suggested_resolutions(c, _contract(spark)), "answers")
-    table = rules.learn(answers, spark.createDataFrame([], S.RULES),
-                        rules.confirmed_cases(c.bank, c.findings), "first close")
-    return table.select("rule_seq", "rule_id", "kind", F.to_json("params").alias("params"),
-                        rules.rule_summary().alias("summary"), "origin_exception", "status")
+    first = materialise(rules.learn(answers, empty, cases, "first", own), "learned")
+
+    def answer(line, retired, kind, *params):
+        entries = F.create_map(*map(F.lit, params))
+        return F.struct(
+            F.lit(f"review::{line}").alias("subject_id"), F.lit(90).alias("check_rank"),
+            F.lit(line).cast("long").alias("line_no"), F.lit("review").alias("source"),
+            F.lit(retired).cast("string").alias("retire_rule"),
+            F.struct(F.lit(kind).alias("kind"), entries.alias("params"), F.lit(1.0).alias("confidence"))
+            .alias("proposed_rule"))
+
+    given = F.array(
+        answer(1, "fee_variant_001", "fee_variant", "method", "intl_card", "rate", "0.031"),
+        answer(2, None, "narration_alias", "marker", "UTR", "prefix", "REF"),
+        answer(3, None, "fee_variant", "rate", "0.5"))
+    third = F.substring_index("close_id", "_", -1).cast("long") % 3 == 0
+    reviewed = c.source_counts.select("close_id", F.inline(given)).filter(
+        (F.col("line_no") > 1) | third)
+    second = materialise(rules.learn(reviewed, first, cases, "second", own), "learned")
+    folder = _folder(spark, "rule-log")
+    rule_files.append(rule_files.changes(empty, first), folder)
+    rule_files.compact(spark, folder)
+    rule_files.append(rule_files.changes(first, second), folder)
+    return rule_files.read_log(spark, folder)
+
+
+@query("learned_rules", """SELECT close_id AS series_id, seq AS rule_seq, id AS rule_id, kind,
+  CASE WHEN bad>0 THEN 'rejected' WHEN id='fee_variant_001' AND {sk}%3=0 THEN 'retired'
+    ELSE 'live' END AS status,
+  CASE WHEN bad>0 THEN 'contradicts '||CAST(bad AS VARCHAR)||' confirmed case(s)'
+    WHEN id='fee_variant_001' AND {sk}%3=0 THEN 'superseded from review::1' END AS reason,
+  origin AS origin_exception, CASE round WHEN 1 THEN 'first' ELSE 'second' END AS learned_on,
+  CASE kind WHEN 'bank_timing' THEN mark||' settles T+'||val
+    WHEN 'narration_alias' THEN 'reference follows '''||mark||''''
+    ELSE mark||' is billed at '||printf('%.2f%%', CAST(val AS DOUBLE)*100) END AS summary
+  FROM named""".replace("{sk}", oracles.SK), learned=False,
+       extra=LEARNED.replace("{sk}", oracles.SK).replace("{contract}", ", ".join(map(str, CONTRACT))))
+def learned_rules(spark, sf_dir):
+    """Rules of every merchant after two rounds, one retired, refused or cut short among them."""
+    return _learned(spark, sf_dir).select(
+        "series_id", "rule_seq", "rule_id", "kind", "status", "reason", "origin_exception",
+        "learned_on", rules.rule_summary().alias("summary"))
 
 
 @query("rule_store_round_trip", """SELECT method, CAST(CAST(r AS DECIMAL(6,3))/1000 AS
@@ -1027,7 +1147,8 @@ def rule_store_round_trip(spark, sf_dir):
         F.create_map(F.lit("method"), "method", F.lit("rate"), F.col("rate").cast("string"))
         .alias("params"), F.lit("contract").alias("origin_exception"),
         F.lit("").alias("learned_on"), F.lit(1.0).alias("confidence"), F.lit("live")
-        .alias("status"), F.lit(None).cast("string").alias("reason"))
+        .alias("status"), F.lit(None).cast("string").alias("reason"),
+        F.lit(None).cast("string").alias("series_id"))
     path = _folder(spark, "rules")
     rule_files.write_rules(table, path)
     p = F.col("params")

@@ -33,8 +33,7 @@ class Close:
 
     def candidates(self) -> DataFrame:
         """Credits that might pay each unmatched batch, keyed by settlement date."""
-        last_day = K.WINDOW_DAYS + self.book.extra_lag_days()
-        return matching.candidates(self.open_batches, self.open_credits, last_day)
+        return matching.candidates(self.open_batches, self.open_credits)
 
 
 def close(settlement: DataFrame, bank: DataFrame, ledger: DataFrame,
@@ -44,7 +43,7 @@ def close(settlement: DataFrame, bank: DataFrame, ledger: DataFrame,
     Jobs that do not need each other run side by side: the row checks go along with
     the preparation of batches and credits, and the outputs are written together.
     """
-    book = book or RuleBook()
+    book = RuleBook() if book is None else book
 
     def captures():
         found = materialise(checks.duplicate_captures(settlement), "duplicates")

@@ -131,8 +131,14 @@ truth AS (
       CASE WHEN (sk+mi)%9=0 THEN 'narration_drift' END]) c) WHERE c IS NOT NULL)"""
 
 
-def matching(learned: bool) -> str:
+STORES = "stores"  # each merchant has rules of its own
+SK = "CAST(regexp_extract(close_id,'([0-9]+)$',1) AS BIGINT)"
+
+
+def matching(learned) -> str:
     lag = 6 if learned else 4
+    if learned == STORES:
+        lag = "4+CASE WHEN {0}%5=0 THEN least({0}%7,5) ELSE 0 END".format(SK.replace("close_id", "b.close_id"))
     tail = "ltrim(substr(upper(narration), strpos(upper(narration),'REF')+3), ' :-/#')"
     digits = f"regexp_extract({tail}, '^[0-9]+')"
     alias = (f"CASE WHEN strpos(upper(narration),'REF')>0 AND length({digits}) BETWEEN 6 AND 24 "
@@ -140,6 +146,15 @@ def matching(learned: bool) -> str:
     rule = ("CASE WHEN contains(upper(narration),'PROC CHG') THEN 'adjustment_pattern_001' "
             "WHEN contains(upper(narration),'SVC CHG') THEN 'adjustment_pattern_002' END"
             ) if learned else "CAST(NULL AS VARCHAR)"
+    amount = "CASE rule WHEN 'adjustment_pattern_001' THEN 250 ELSE 500 END"
+    if learned == STORES:
+        # A store's words are its own: the same label means another charge elsewhere.
+        alias = f"CASE WHEN {SK}%5=3 THEN {alias} END"
+        rule = (f"CASE WHEN {SK}%5=1 AND contains(upper(narration),'PROC CHG') THEN 'own_charge' "
+                f"WHEN {SK}%5=2 AND contains(upper(narration),'SVC CHG') THEN 'own_charge' "
+                "WHEN contains(upper(narration),'CHG') THEN 'any_charge' END")
+        amount = (f"CASE rule WHEN 'any_charge' THEN 1+{SK} ELSE CASE WHEN {SK}%10=1 THEN 250 "
+                  f"WHEN {SK}%10=6 THEN 375 ELSE 500 END END")
 
     def stage(name, batches, credits, wants):
         """Who wants what, who stands alone, and what is left for the next stage."""
@@ -225,8 +240,7 @@ credits AS (
   SELECT close_id, line_no, bank_txn_id, credit_amount, value_date, narration,
     coalesce(nullif(utr,''), nullif(regexp_extract(upper(narration),'\\bUTR\\d{{6,}}\\b'),''),
       alias) utr_x,
-    CASE WHEN alias IS NULL AND rule IS NOT NULL THEN CAST(CASE rule
-      WHEN 'adjustment_pattern_001' THEN 250 ELSE 500 END AS DECIMAL(18,2)) END adj,
+    CASE WHEN alias IS NULL AND rule IS NOT NULL THEN CAST({amount} AS DECIMAL(18,2)) END adj,
     CASE WHEN alias IS NULL THEN rule END adj_rule,
     regexp_matches(narration,'\\d{{6,}}') has_ref
   FROM (SELECT *, {alias} alias, {rule} rule FROM bank)),
@@ -272,10 +286,15 @@ open_batches AS (SELECT * FROM batches ANTI JOIN matches USING (close_id, batch_
 open_credits AS (SELECT * FROM credits ANTI JOIN match_credits USING (close_id, bank_txn_id))"""
 
 
-def checks(learned: bool) -> str:
-    rate = ("CASE WHEN method='intl_card' THEN CAST(0.03 AS DECIMAL(6,4)) "
+def checks(learned) -> str:
+    amount = "CASE first_rule WHEN 'adjustment_pattern_001' THEN 250 ELSE 500 END"
+    if learned == STORES:
+        amount = (f"CASE first_rule WHEN 'any_charge' THEN 1+{SK} ELSE CASE WHEN {SK}%10=1 THEN 250 "
+                  f"WHEN {SK}%10=6 THEN 375 ELSE 500 END END")
+    own = f"AND {SK}%5=4" if learned == STORES else ""
+    rate = (f"CASE WHEN method='intl_card' {own} THEN CAST(0.03 AS DECIMAL(6,4)) "
             "ELSE CAST(0.02 AS DECIMAL(6,4)) END") if learned else "CAST(0.02 AS DECIMAL(6,4))"
-    fee_layer = ("CASE WHEN method='intl_card' THEN 'L2_learned_rule' ELSE 'L0_exact' END"
+    fee_layer = (f"CASE WHEN r.method='intl_card' {own.replace('close_id', 'r.close_id')} THEN 'L2_learned_rule' ELSE 'L0_exact' END"
                  ) if learned else "'L0_exact'"
     return f"""
 rated0 AS (
@@ -310,9 +329,9 @@ f_dup AS (
     ORDER BY txn_id, line_no)>1),
 f_cov AS (
   SELECT s.close_id, 'missing_ledger_entry', s.txn_id, 'L0_exact', 1.0, gross_amount, NULL, 30,
-    line_no FROM settlement s WHERE txn_type='payment'
-    AND NOT EXISTS (SELECT 1 FROM ledger l WHERE l.close_id=s.close_id AND l.txn_id=s.txn_id)
-    AND NOT EXISTS (SELECT 1 FROM f_dup d WHERE d.close_id=s.close_id AND d.txn_id=s.txn_id)),
+    line_no FROM settlement s ANTI JOIN ledger l ON l.close_id=s.close_id AND l.txn_id=s.txn_id
+    ANTI JOIN f_dup d ON d.close_id=s.close_id AND d.txn_id=s.txn_id
+  WHERE txn_type='payment'),
 f_ref AS (
   SELECT r.close_id, 'cross_cycle_refund', r.txn_id, 'L0_exact', 1.0, r.gross_amount, NULL, 40,
     r.line_no FROM settlement r JOIN (SELECT close_id, order_id,
@@ -361,7 +380,7 @@ stale AS (
   SELECT close_id, first_rule rule_id, gap, n, first_seq FROM (
     SELECT close_id, first_rule, expected_net-credited gap, count(*) n, min(batch_seq) first_seq
     FROM matches WHERE expected_net-credited>1 AND first_rule IS NOT NULL
-      AND abs(CASE first_rule WHEN 'adjustment_pattern_001' THEN 250 ELSE 500 END
+      AND abs({amount}
         -(expected_net-credited))>1 GROUP BY 1,2,3)
   QUALIFY row_number() OVER (PARTITION BY close_id, first_rule ORDER BY n DESC, first_seq)=1
     AND n>=2),
@@ -422,11 +441,11 @@ def profile(source: str, keys: str, name: str) -> str:
 
 
 @lru_cache(None)
-def prefix(learned: bool = True, yearly: bool = False) -> str:
+def prefix(learned=True, yearly: bool = False) -> str:
     return "WITH " + ",".join(part.strip("\n") for part in (
         views(yearly), matching(learned), checks(learned)))
 
 
-def over(final: str, learned: bool = True, yearly: bool = False, extra: str = "") -> str:
+def over(final: str, learned=True, yearly: bool = False, extra: str = "") -> str:
     """A statement over the views; ``extra`` adds tables of its own."""
     return prefix(learned, yearly) + (f",\n{extra}" if extra else "") + "\n" + final

@@ -56,7 +56,7 @@ RULES = _struct([
     ("rule_seq", T.LongType()), ("rule_id", T.StringType()), ("kind", T.StringType()),
     ("params", TEXT_MAP), ("origin_exception", T.StringType()),
     ("learned_on", T.StringType()), ("confidence", T.DoubleType()),
-    ("status", T.StringType()), ("reason", T.StringType()),
+    ("status", T.StringType()), ("reason", T.StringType()), ("series_id", T.StringType()),
 ])
 CASES = _struct([
     ("close_id", T.StringType()), ("subject_id", T.StringType()),

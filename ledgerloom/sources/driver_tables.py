@@ -200,6 +200,40 @@ def rulebook() -> RuleBook:
     ])
 
 
+def merchant_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of rules for every supplier: what its own bank's labels mean."""
+    sk = F.col("s_suppkey")
+    five, ten = sk % 5, sk % 10
+    own = (F.when(ten == 1, "250.00").when(ten == 6, "375.00").otherwise("500.00"))
+    text = lambda c: c.cast("string")
+
+    def rule(condition, seq, rule_id, kind, **params):
+        entries = [x for name, value in params.items() for x in (F.lit(name), value)]
+        return F.when(condition, F.struct(
+            F.lit(seq).cast("long").alias("rule_seq"), F.lit(rule_id).alias("rule_id"),
+            F.lit(kind).alias("kind"), F.create_map(*entries).alias("params")))
+
+    charge = {"kind": "adjustment_pattern", "category": F.lit("bank_recurring_charge")}
+    rules = F.array_compact(F.array(
+        rule(five == 3, 1, "own_label", "narration_alias", marker=F.lit("ref"), prefix=F.lit("UTR")),
+        rule(five == 1, 2, "own_charge", keyword=F.lit("Proc Chg"), amount=own, **charge),
+        rule(five == 2, 3, "own_charge", keyword=F.lit("SVC CHG"), amount=own, **charge),
+        rule(five == 4, 4, "own_rate", "fee_variant", method=F.lit("intl_card"), rate=F.lit("0.03")),
+        rule(five == 0, 5, "own_lag", "bank_timing", bank=F.lit("HDFC"), offset_days=text(sk % 7)),
+        # Known to every store, each with another amount; an earlier rule hides it.
+        rule(F.lit(True), 9, "any_charge", keyword=F.lit("CHG"), amount=text(sk + 1), **charge)))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.explode(rules).alias("r"), F.concat(F.lit("sup_"), text(sk)).alias("series_id")).select(
+        "r.*", F.lit("").alias("origin_exception"), F.lit("").alias("learned_on"),
+        F.lit(0.9).alias("confidence"), F.lit("live").alias("status"),
+        F.lit(None).cast("string").alias("reason"), "series_id")
+
+
+def merchant_book(spark: SparkSession, sf_dir: str) -> RuleBook:
+    """The stores of all suppliers; a close of a supplier is named after it."""
+    return RuleBook.from_df(merchant_rules(spark, sf_dir), series=lambda close_id: close_id)
+
+
 def load(spark: SparkSession, sf_dir: str, yearly: bool = False):
     """The three views; of the yearly closes some have no report, some no statement."""
     return (_present(settlement(spark, sf_dir, yearly), yearly, 13),

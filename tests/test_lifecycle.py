@@ -1,13 +1,14 @@
 """Rules and proposals: nothing is believed that the numbers or history contradict."""
 
 import json
+import os
 
 import pytest
 from tests.books import Books, D
 from pyspark.sql import functions as F
 
 from ledgerloom import schemas as S
-from ledgerloom.functions.rulebook import MAX_LIVE_RULES, Rule, RuleBook
+from ledgerloom.functions.rulebook import Rule, RuleBook
 from ledgerloom.operators import proposals, rules
 from ledgerloom.plans.campaign import drift_table, run_campaign
 from ledgerloom.plans.close import close
@@ -41,7 +42,7 @@ def test_admission_gate(spark):
 
 
 def table(spark, *rows):
-    return spark.createDataFrame([(n, rid, kind, params, "", "", 0.9, status, None)
+    return spark.createDataFrame([(n, rid, kind, params, "", "", 0.9, status, None, None)
                                   for n, (rid, kind, params, status) in enumerate(rows, 1)],
                                  S.RULES)
 
@@ -128,9 +129,62 @@ def test_rule_file_round_trip_and_first_format(spark, tmp_path):
     assert (r.rule_id, r.params, r.status) == ("z", {"method": "m", "rate": "0.03"}, "live")
 
 
-def test_an_overgrown_store_is_an_error():
-    with pytest.raises(ValueError):
-        RuleBook([Rule(n, str(n), "fee_variant") for n in range(MAX_LIVE_RULES + 1)])
+def test_documents_of_several_series(spark, tmp_path):
+    rows = [(1, "a_001", "bank_timing", {"bank": "X", "offset_days": "2"}, "", "", 0.9, "live", None, name)
+            for name in ("m 1", "m+2", "50%/x", "")]
+    have = spark.createDataFrame(rows, S.RULES).withColumn("series_id", F.nullif("series_id", F.lit("")))
+    rule_files.write_rules(have, str(tmp_path / "all"))
+    back = rule_files.read_rules(spark, str(tmp_path / "all")).collect()
+    assert {(r.series_id, r.rule_id) for r in back} == {(n, "a_001") for n in ("m 1", "m+2", "50%/x", None)}
+
+
+def test_rule_log(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    first = table(spark, ("a_001", "fee_variant", {"method": "upi", "rate": "0.01"}, "live"),
+                  ("b_pending", "bank_timing", {"bank": "X", "offset_days": "2"}, "rejected"))
+    gone = rules.retire(first, spark.createDataFrame([(None, "a_001", "old")], "series_id string, rule_id string, reason string"))
+    later = gone.unionByName(spark.createDataFrame(
+        [(3, "a_002", "fee_variant", {"method": "upi", "rate": "0.02"}, "", "", 0.9, "live", None, None)], S.RULES))
+
+    def state():
+        return sorted((r.rule_seq, r.rule_id, r.status, r.reason, r.params.get("rate"))
+                      for r in rule_files.read_log(spark, folder).collect())
+
+    assert state() == []
+    empty = spark.createDataFrame([], S.RULES)
+    assert rule_files.append(rule_files.changes(empty, first), folder) == 1
+    events = rule_files.changes(first, later)
+    assert sorted((r.event, r.rule_id) for r in events.collect()) == [("admit", "a_002"), ("retire", "a_001")]
+    assert rule_files.append(events, folder) == 2
+    want = [(1, "a_001", "retired", "old", "0.01"), (2, "b_pending", "rejected", None, None),
+            (3, "a_002", "live", None, "0.02")]
+    assert state() == want
+    # A batch without its marker was interrupted: it does not count and is written over.
+    rule_files.changes(empty, later).write.parquet(folder + "/log/3")
+    assert state() == want
+    assert rule_files.compact(spark, folder) == 2 and state() == want
+    assert rule_files.append(rule_files.changes(later, rules.retire(later, spark.createDataFrame(
+        [(None, "a_002", "again")], "series_id string, rule_id string, reason string"))), folder) == 3
+    assert state()[2][2:4] == ("retired", "again") and len(state()) == 3
+
+
+def test_series_learn_for_themselves(spark):
+    schema = "close_id string, subject_id string, check_rank int, line_no long, source string, " \
+             "retire_rule string, proposed_rule struct<kind:string,params:map<string,string>,confidence:double>"
+    alias = ("narration_alias", {"marker": "REF", "prefix": "UTR"}, 0.9)
+    rows = [("m1_1", "s1", 60, 1, "t", None, charge("CHG", "250")), ("m2_1", "s2", 60, 1, "t", None, charge("CHG", "375")),
+            ("m1_1", "s3", 60, 2, "t", None, alias), ("m2_1", "s4", 60, 2, "t", None, alias)]
+    # The label misleads in the history of one merchant only.
+    history = spark.createDataFrame([("m1_1", "c", {"narration": "REF 123456 UTR654321"}, {"utr": "UTR654321"})], S.CASES)
+    series = lambda c: F.substring_index(c, "_", 1)
+    got = materialised = rules.learn(spark.createDataFrame(rows, schema), table(spark), history, "p1", series)
+    have = sorted((r.series_id, r.rule_seq, r.rule_id, r.status) for r in materialised.collect())
+    assert have == [("m1", 1, "adjustment_pattern_001", "live"), ("m1", 2, "narration_alias_pending", "rejected"),
+                    ("m2", 1, "adjustment_pattern_001", "live"), ("m2", 2, "narration_alias_001", "live")]
+    again = spark.createDataFrame([("m2_2", "stale::x", 50, 1, "t", "adjustment_pattern_001", charge("CHG", "400"))], schema)
+    end = {(r.series_id, r.rule_id): r.status for r in rules.learn(again, got, cases(spark), "p2", series).collect()}
+    assert end[("m1", "adjustment_pattern_001")] == "live" and end[("m2", "adjustment_pattern_001")] == "retired"
+    assert end[("m2", "adjustment_pattern_002")] == "live"
 
 
 # --- proposals ------------------------------------------------------------------
@@ -231,7 +285,7 @@ def test_budget_takes_the_head_of_the_queue(spark):
 
 # --- what a close suggests, and a campaign ----------------------------------------
 
-def test_suggestions_and_campaign(spark):
+def test_suggestions_and_campaign(spark, tmp_path):
     whole = Books()
     for seq in (1, 2, 3):
         b = Books(f"m_{seq}")
@@ -249,7 +303,8 @@ def test_suggestions_and_campaign(spark):
     contract = spark.createDataFrame([("card", "0.02")], "method string, rate string")
     got = {(r.subject_id, r.source) for r in rules.suggested_resolutions(done, contract).collect()}
     assert got == {("a0", "alias"), ("a1", "alias"), ("a2", "alias"), ("late", "timing")}
-    run = run_campaign(*frames, [1, 2, 3], contract)
+    folder = str(tmp_path / "campaign")
+    run = run_campaign(*frames, [1, 2, 3], contract, folder=folder)
     drift = {r.close_seq: r for r in drift_table(run).collect()}
     assert (drift[1].matched, drift[2].matched) == (0, 4)
     assert drift[1].rules_before == 0 and drift[2].rules_before == 2
@@ -257,3 +312,14 @@ def test_suggestions_and_campaign(spark):
     live = {r.rule_id: r.params for r in run["rules"].filter("status = 'live'").collect()}
     assert live["narration_alias_001"] == {"marker": "REF", "prefix": "UTR"}
     assert live["bank_timing_001"] == {"bank": "HDFC", "offset_days": "6"}
+
+    # Stopped after the second period, within the third, and started again.
+    stopped = str(tmp_path / "stopped")
+    run_campaign(*frames, [1, 2], contract, folder=stopped)
+    marked = {n: os.stat(f"{stopped}/rules/close_seq={n}").st_mtime_ns for n in (1, 2)}
+    frames[0].write.parquet(f"{stopped}/measures/close_seq=3")
+    resumed = run_campaign(*frames, [1, 2, 3], contract, folder=stopped)
+    assert marked == {n: os.stat(f"{stopped}/rules/close_seq={n}").st_mtime_ns for n in (1, 2)}
+    for name in ("measures", "exceptions", "rules", "rule_history"):
+        a, b = (sorted(map(str, r[name].select(sorted(r[name].columns)).collect())) for r in (run, resumed))
+        assert a == b and a

@@ -40,7 +40,7 @@ def test_first_digit(spark, amount, digit):
     ("NEFT ref:-/# 123456", "UTR123456"), ("REF " + "9" * 24, "UTR" + "9" * 24),
     ("REF " + "9" * 25, None), ("REF X 123456", None), ("no label 123456", None)])
 def test_alias_takes_six_to_twenty_four_digits(spark, raw, ref):
-    assert one(spark, text.alias_reference(F.col("a"), "REF", "UTR"), "a string", raw) == ref
+    assert one(spark, text.reference_after(F.col("a"), F.lit("REF"), F.lit("UTR")), "a string", raw) == ref
 
 
 @pytest.mark.parametrize("raw,ref", [
@@ -62,13 +62,17 @@ def test_injection_names_and_neutral_text(spark):
     assert long == "z" * 160 + "...[truncated]"
 
 
+def hits(spark, rules, *narrations):
+    """Deciding rule of each narration."""
+    texts = spark.createDataFrame([("", n) for n in narrations], "_series string, narration string")
+    return {r.narration: r._hit for r in RuleBook(rules).first_hits(texts.distinct()).collect()}
+
+
 def test_first_rule_of_any_kind_decides(spark):
     charge = Rule(1, "c", "adjustment_pattern", {"keyword": "neft", "amount": "250"})
-    alias = Rule(2, "a", "narration_alias", {"marker": "REF", "prefix": "UTR"})
+    alias = Rule(2, "a", "narration_alias", {"marker": " ref\t", "prefix": "UTR"})
     narration = "NEFT REF 123456"
-
-    def hit(*rules):
-        return one(spark, RuleBook(rules).narration_hit(F.col("a")), "a string", narration)
+    hit = lambda *rules: hits(spark, rules, narration)[narration]
 
     assert hit(charge, alias).rule_id == "c" and hit(charge, alias).amount == D(250)
     assert hit(alias).utr == "UTR123456"
@@ -76,19 +80,75 @@ def test_first_rule_of_any_kind_decides(spark):
     assert hit(charge, first).rule_id == "a"
 
 
+def test_keywords_are_substrings_of_any_length(spark):
+    rules = [Rule(n, k, "adjustment_pattern", {"keyword": k, "amount": "1"}) for n, k in enumerate(
+        ("roc ch", "SVC", "v", "xy", "absent", "NEFT-UTR", "é1"), start=1)]
+    got = hits(spark, rules, "PROC CHG", "MySvcs", "Vat", "oxymel", "x y", "", "neft-utr", "É1", "ab")
+    assert {n: h.rule_id for n, h in got.items()} == {
+        "PROC CHG": "roc ch", "MySvcs": "SVC", "Vat": "v", "oxymel": "xy", "neft-utr": "NEFT-UTR", "É1": "é1"}
+
+
 def test_empty_keyword_matches_everything_and_bad_amount_is_no_charge(spark):
     rule = Rule(1, "e", "adjustment_pattern", {"keyword": "", "amount": "soon"})
-    got = one(spark, RuleBook([rule]).narration_hit(F.col("a")), "a string", "anything")
-    assert got.rule_id == "e" and got.amount is None
+    got = hits(spark, [rule], "anything", "")
+    assert got["anything"].rule_id == got[""].rule_id == "e" and got["anything"].amount is None
+
+
+def test_rules_without_a_bank_or_method_speak_to_bare_narrations(spark):
+    charge = Rule(2, "c", "adjustment_pattern", {"keyword": "CHG", "amount": "1"})
+    for kind, named in (("bank_timing", {"bank": "X"}), ("fee_variant", {"method": "upi"})):
+        assert hits(spark, [Rule(1, "o", kind, {}), charge], "CHG")["CHG"].rule_id == "o"
+        assert hits(spark, [Rule(1, "o", kind, named), charge], "CHG")["CHG"].rule_id == "c"
 
 
-def test_rates_and_lag_from_rules():
+def test_rates_and_lag_from_rules(spark):
     book = RuleBook([Rule(1, "r", "fee_variant", {"method": "upi", "rate": "x"}),
                      Rule(2, "s", "fee_variant", {"method": "upi", "rate": "0.01"}),
                      Rule(3, "t", "bank_timing", {"bank": "A", "offset_days": "9"}),
                      Rule(4, "u", "bank_timing", {"bank": "B", "offset_days": "2.5"})])
-    assert str(book.rates()["upi"]) == "0.0200"
-    assert book.extra_lag_days() == 5
+    rows = spark.createDataFrame([("c", "upi"), ("c", "card")], "close_id string, method string")
+    got = {r.method: (str(r.rate), r.has_rate) for r in book.with_rate(rows).collect()}
+    assert got == {"upi": ("0.020000", True), "card": ("0.020000", False)}
+    assert {r.last_day for r in book.with_last_day(rows).collect()} == {9}
+    shorter = RuleBook([Rule(1, "t", "bank_timing", {"bank": "A", "offset_days": "-3"})])
+    assert {r.last_day for r in shorter.with_last_day(rows).collect()} == {4}
+
+
+def test_each_series_has_its_own_rules(spark):
+    stores = [Rule(1, "a", "adjustment_pattern", {"keyword": "CHG", "amount": "250"}, series_id="m1"),
+              Rule(1, "b", "adjustment_pattern", {"keyword": "CHG", "amount": "375"}, series_id="m2"),
+              Rule(2, "c", "fee_variant", {"method": "upi", "rate": "0.01"}, series_id="m1"),
+              Rule(3, "d", "bank_timing", {"bank": "A", "offset_days": "2"}, series_id="m2")]
+    book = RuleBook(stores, series=lambda c: F.substring_index(c, "_", 1))
+    texts = spark.createDataFrame([(m, "X CHG") for m in ("m1", "m2", "m3")],
+                                  "_series string, narration string")
+    assert {(r._series, r._hit.rule_id) for r in book.first_hits(texts).collect()} == {("m1", "a"), ("m2", "b")}
+    rows = spark.createDataFrame([("m1_1", "upi"), ("m2_1", "upi"), ("m3_1", "upi")],
+                                 "close_id string, method string")
+    got = book.with_last_day(book.with_rate(rows)).collect()
+    assert {(r.close_id, float(r.rate), r.last_day) for r in got} == {
+        ("m1_1", 0.01, 4), ("m2_1", 0.02, 6), ("m3_1", 0.02, 4)}
+
+
+def test_a_hundred_thousand_rules(spark):
+    """Rules of a thousand stores; every store knows the same words for other charges."""
+    n = F.col("id")
+    rules = spark.range(100_000).select(
+        n.alias("rule_seq"), F.concat(F.lit("r"), n.cast("string")).alias("rule_id"),
+        F.lit("adjustment_pattern").alias("kind"),
+        F.create_map(F.lit("keyword"), F.concat(F.lit("CHARGE "), F.lpad((n % 100).cast("string"), 2, "0"), F.lit(" X")),
+                     F.lit("amount"), n.cast("string")).alias("params"),
+        F.lit("").alias("origin_exception"), F.lit("").alias("learned_on"), F.lit(0.9).alias("confidence"),
+        F.lit("live").alias("status"), F.lit(None).cast("string").alias("reason"),
+        F.concat(F.lit("m"), F.floor(n / 100).cast("string")).alias("series_id"))
+    texts = spark.range(20_000).select(
+        F.concat(F.lit("m"), (n % 1000).cast("string")).alias("_series"),
+        F.concat(F.lit("NEFT CHARGE "), F.lpad((n % 100).cast("string"), 2, "0"), F.lit(" X "), n.cast("string"))
+        .alias("narration"))
+    book = RuleBook.from_df(rules, series=lambda c: c)
+    wanted = F.substring("_series", 2, 9).cast("long") * 100 + F.substring_index("narration", " ", -1).cast("long") % 100
+    got = book.first_hits(texts)
+    assert got.count() == 20_000 and got.filter(F.col("_hit.rule_seq") != wanted).isEmpty()
 
 
 @pytest.mark.parametrize("raw,value", [
