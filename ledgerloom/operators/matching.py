@@ -9,18 +9,17 @@ amount one supply, so no step pairs every batch of a day with every credit of it
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .. import constants as K, schemas as S
 from ..functions.rulebook import RuleBook
 from .rows import union_all
-from .scale import amount_window_join, materialise, materialise_all, skew_join
+from .scale import amount_window_join, materialise, materialise_all, skew_join, start
 
 CREDIT_FIELDS = ("value_date", "line_no", "bank_txn_id", "credit_amount", "adj", "adj_rule",
                  "utr_x", "has_ref", "narration")
 DEMAND = ("close_id", "settled_on", "target")
+WINDOW = ("close_id", "settled_on")
 
 
 def _credit():
@@ -140,45 +139,62 @@ def small_windows(demand: DataFrame, credits: DataFrame) -> DataFrame:
     )
 
 
-def _index_sets():
-    """All pairs, then all triples, of up to twelve positions, as one SQL literal."""
-    places = range(K.SUBSET_MAX_WINDOW)
-    sets = [(i, j, -1) for i, j in combinations(places, 2)] + list(combinations(places, 3))
-    return F.expr("array(" + ",".join(
-        f"named_struct('i',{i},'j',{j},'k',{k})" for i, j, k in sets) + ")")
+def pair_sums(windows: DataFrame) -> DataFrame:
+    """The index of a window: the sum of every two of its credits, at their places ``i`` < ``j``."""
+    first = windows.select(*WINDOW, "window", F.posexplode("window").alias("i", "a"))
+    later = F.slice("window", F.col("i") + 2, F.lit(K.SUBSET_MAX_WINDOW))
+    return first.select(*WINDOW, "i", "a", F.posexplode(later).alias("d", "b")).select(
+        *WINDOW, "i", (F.col("i") + F.col("d") + 1).alias("j"),
+        (F.col("a.credit_amount") + F.col("b.credit_amount")).alias("pair"))
+
+
+def goals(demand: DataFrame, windows: DataFrame) -> DataFrame:
+    """What a subset may sum up to: the target, then the target less each charge a rule expects
+    on a credit of the window, in window order (``g``)."""
+    charge = F.col("c.adj")
+    charges = (
+        windows.select(*WINDOW, F.posexplode("window").alias("g", "c"))
+        .filter(charge.isNotNull() & (charge != 0))
+        .groupBy(*WINDOW, charge.alias("adj")).agg(
+            (F.min("g") + 1).alias("g"), F.min_by("c.adj_rule", "g").alias("rule")))
+    none = F.lit(None)
+    whole = windows.select(*WINDOW, none.cast(S.MONEY).alias("adj"), F.lit(0).alias("g"),
+                           none.cast("string").alias("rule"))
+    rows = skew_join(demand, whole.unionByName(charges), list(WINDOW), spread_by="batch_seq")
+    return rows.withColumn("goal", F.col("target") - F.coalesce("adj", F.lit(0).cast(S.MONEY)))
 
 
 def wants_subset(demand: DataFrame, windows: DataFrame) -> DataFrame:
-    """Demands met by two or three credits, in full or less one learned charge."""
-    rows = skew_join(demand, windows, ["close_id", "settled_on"], spread_by="batch_seq")
-    window, zero = F.col("window"), F.lit(0).cast(S.MONEY)
-    charged = F.filter(window, lambda c: c["adj"].isNotNull() & (c["adj"] != 0))
-    rows = rows.withColumn("_charged", charged)
-    once = F.filter("_charged", lambda c, n: ~F.exists(
-        F.slice("_charged", F.lit(1), n), lambda e: e["adj"] == c["adj"]))
-    full = F.array(F.struct(F.lit(None).cast(S.MONEY).alias("adj"),
-                            F.lit(None).cast("string").alias("rule")))
-    charges = F.concat(full, F.transform(once, lambda c: F.struct(
-        c["adj"].alias("adj"), c["adj_rule"].alias("rule"))))
-    rows = rows.withColumn("_charges", charges).withColumn("_sets", _index_sets())
-
-    def amount(at):
-        return F.coalesce(F.get(window, at)["credit_amount"], zero)
-
-    def solve(charge):
-        goal = F.col("target") - F.coalesce(charge["adj"], zero)
-        fits = F.filter("_sets", lambda s: (F.greatest(s["j"], s["k"]) < F.size(window)) & (
-            F.abs(amount(s["i"]) + amount(s["j"]) + amount(s["k"]) - goal)
-            <= F.lit(K.TOLERANCE)))
-        return F.struct(charge["adj"].alias("adj"), charge["rule"].alias("rule"),
-                        F.get(fits, F.lit(0)).alias("pick"))
-
-    solved = F.filter(F.transform("_charges", solve), lambda s: s["pick"].isNotNull())
-    rows = rows.withColumn("_best", F.get(solved, F.lit(0))).filter(F.col("_best").isNotNull())
-    pick = F.col("_best.pick")
-    chosen = F.array_compact(F.array(*[F.get(window, pick[p]) for p in ("i", "j", "k")]))
-    return rows.select(*DEMAND, "n_batches", "batch_id", "batch_seq", chosen.alias("credits"),
-                       F.col("_best.adj").alias("adj"), F.col("_best.rule").alias("rule"))
+    """Demands met by two or three credits, in full or less one learned charge.
+
+    Goals meet the pair sums of their window in an equi join on sum buckets; three credits
+    are a pair that meets what one later credit leaves of the goal. So a goal costs one look
+    into the index for pairs and one for each credit of its window, whatever the pairs. The
+    first goal, then the smaller subset, then the earlier credits decide.
+    """
+    tolerance, width = F.lit(K.TOLERANCE), F.lit(K.TOLERANCE) * 2
+
+    def bucket(value):
+        return F.floor(value / width).cast("long")
+
+    asked = goals(demand, windows)
+    # k is -1 for a pair; amount is what one more credit brings.
+    alone = F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast(S.MONEY).alias("amount")))
+    more = windows.select(*WINDOW, F.inline(F.concat(alone, F.transform("window", lambda c, k: F.struct(
+        k.alias("k"), c["credit_amount"].alias("amount"))))))
+    left = asked.join(more, list(WINDOW)).withColumn("rest", F.col("goal") - F.col("amount"))
+    left = left.withColumn("bucket", F.explode(F.sequence(
+        bucket(F.col("rest") - tolerance), bucket(F.col("rest") + tolerance))))
+    sums = pair_sums(windows).withColumn("bucket", bucket(F.col("pair")))
+    hits = left.join(sums, [*WINDOW, "bucket"]).filter(
+        (F.abs(F.col("pair") - F.col("rest")) <= tolerance)
+        & ((F.col("k") < 0) | (F.col("j") < F.col("k"))))
+    pick = F.min(F.struct("g", (F.col("k") >= 0).alias("three"), "i", "j", "k", "adj", "rule"))
+    best = hits.groupBy(*DEMAND, "n_batches", "batch_id", "batch_seq").agg(pick.alias("b"))
+    found = best.join(windows, list(WINDOW))
+    chosen = F.array_compact(F.array(*[F.get("window", F.col(f"b.{p}")) for p in ("i", "j", "k")]))
+    return found.select(*DEMAND, "n_batches", "batch_id", "batch_seq", chosen.alias("credits"),
+                        F.col("b.adj").alias("adj"), F.col("b.rule").alias("rule"))
 
 
 def settle(wanted: DataFrame, contested: str, name: str) -> DataFrame:
@@ -224,6 +240,11 @@ def _stage_matches(settled: DataFrame, layer, confidence, method) -> DataFrame:
     )
 
 
+def _subset(demand, credits, _):
+    # Small, and looked into from four sides.
+    return wants_subset(demand, materialise(small_windows(demand, credits), "windows"))
+
+
 def match_batches(batches: DataFrame, credits: DataFrame, book: RuleBook,
                   contested: str = "park") -> dict[str, DataFrame]:
     """All stages. Returns matches, match_credits, open_batches and open_credits."""
@@ -234,13 +255,14 @@ def match_batches(batches: DataFrame, credits: DataFrame, book: RuleBook,
     # Four tables follow from it, so it is written once.
     claimed = materialise(reference_credits(batches, credits), "claimed")
     taken = [claimed.select(*S.MATCH_CREDITS.names)]
+    # No stage waits for the matches by reference.
+    by_reference = start(lambda: materialise(reference_matches(batches, claimed), "by-reference"))
     first = materialise_all({
-        "by-reference": reference_matches(batches, claimed),
         "open-batches": skew_join(batches, claimed.select("close_id", "batch_id").distinct(),
                                   ["close_id", "batch_id"], "left_anti", spread_by="batch_seq"),
         "open-credits": credits.join(taken[0], ["close_id", "bank_txn_id"], "left_anti"),
     })
-    by_reference, open_batches, open_credits = first.values()
+    open_batches, open_credits = first.values()
 
     subset_rule = F.col("rule").isNotNull()
     stages = [("exact", wants_exact, F.lit(K.L1), 0.95, F.lit("amount_date_window"))]
@@ -248,12 +270,12 @@ def match_batches(batches: DataFrame, credits: DataFrame, book: RuleBook,
         stages.append(("charge", wants_net_of_charge, F.lit(K.L2), 0.97,
                        F.concat(F.lit("amount_net_of_learned_charge:"), F.col("rule"))))
     stages.append((
-        "subset", lambda d, c, n: wants_subset(d, small_windows(d, c)),
+        "subset", _subset,
         F.when(subset_rule, K.L2).otherwise(K.L1), 0.90,
         F.when(subset_rule, F.concat(F.lit("subset_netting+learned_charge:"), F.col("rule")))
         .otherwise("subset_netting")))
 
-    matches, parked = [by_reference], None
+    matches, parked = [], None
     rest_batches, rest_credits = open_batches, open_credits
     for name, wants, layer, confidence, method in stages:
         demand = demands(rest_batches)
@@ -274,7 +296,7 @@ def match_batches(batches: DataFrame, credits: DataFrame, book: RuleBook,
         gone = used.select("close_id", F.col("c.bank_txn_id").alias("bank_txn_id"))
         rest_credits = rest_credits.join(gone, ["close_id", "bank_txn_id"], "left_anti")
 
-    matched = union_all(m.select(*S.MATCHES.names) for m in matches)
+    matched = union_all(m.select(*S.MATCHES.names) for m in [by_reference.result(), *matches])
     links = union_all(taken)
     later = union_all(taken[1:])
     return {

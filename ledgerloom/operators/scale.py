@@ -57,6 +57,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_JOBS = ThreadPoolExecutor(max_workers=16)
+
+
+def start(work):
+    """Run ``work``, which submits Spark jobs of its own, beside the caller; gives a future."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    return _JOBS.submit(inheritable_thread_target(spark)(work))
+
+
 def materialise_all(frames: dict) -> dict[str, DataFrame]:
     """Write independent intermediate tables at the same time, each by its own Spark jobs.
 

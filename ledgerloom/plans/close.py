@@ -10,7 +10,7 @@ from .. import constants as K
 from ..functions.rulebook import RuleBook
 from ..operators import checks, forensics, matching, nets, post_match
 from ..operators.rows import union_all
-from ..operators.scale import materialise, materialise_all
+from ..operators.scale import materialise, materialise_all, start
 
 
 @dataclass
@@ -40,8 +40,8 @@ def close(settlement: DataFrame, bank: DataFrame, ledger: DataFrame,
           book: RuleBook | None = None, contested: str = "park") -> Close:
     """Run every deterministic check. Duplicates are known before ledger coverage.
 
-    Jobs that do not need each other run side by side: the row checks go along with
-    the preparation of batches and credits, and the outputs are written together.
+    Jobs that do not need each other run side by side: the row checks go along with the
+    matcher, which waits for batches and credits only, and the outputs are written together.
     """
     book = RuleBook() if book is None else book
 
@@ -60,32 +60,43 @@ def close(settlement: DataFrame, bank: DataFrame, ledger: DataFrame,
         return fees
 
     rate_cards: dict = {}
-    ready = materialise_all({
-        "batches": lambda: nets.batch_nets(settlement),
-        "credits": lambda: nets.prepare_credits(bank, book),
-        "captures": captures, "charges": charges,
-        "refunds": lambda: checks.cross_cycle_refunds(settlement),
-        "row-exceptions": lambda: post_match.suspicious_narrations(bank).unionByName(
-            forensics.fabricated_amounts(settlement)),
-        "source-counts": lambda: checks.source_counts(settlement, bank, ledger),
-    })
-    batches, credits = ready["batches"], ready["credits"]
+    made = {name: start(work) for name, work in {
+        # What the matcher waits for comes first.
+        "batches": lambda: materialise(nets.batch_nets(settlement), "batches"),
+        "credits": lambda: materialise(nets.prepare_credits(bank, book), "credits"),
+        "captures": lambda: materialise(captures(), "captures"),
+        "charges": lambda: materialise(charges(), "charges"),
+        "refunds": lambda: materialise(checks.cross_cycle_refunds(settlement), "refunds"),
+        "row-exceptions": lambda: materialise(post_match.suspicious_narrations(bank).unionByName(
+            forensics.fabricated_amounts(settlement)), "row-exceptions"),
+        "source-counts": lambda: materialise(
+            checks.source_counts(settlement, bank, ledger), "source-counts"),
+    }.items()}
+
+    def ready(name):
+        return made[name].result()
+
+    batches, credits = ready("batches"), ready("credits")
     m = matching.match_batches(batches, credits, book, contested)
-    m = materialise_all(m)
-    out = materialise_all({
+
+    def questions():
+        ready("charges")
+        return rate_cards["df"]
+
+    out = materialise_all(m | {
         "findings": lambda: union_all([
-            ready["charges"], ready["captures"], ready["refunds"],
+            ready("charges"), ready("captures"), ready("refunds"),
             post_match.match_findings(batches, m["matches"])]),
         "exceptions": lambda: union_all([
-            ready["row-exceptions"], rate_cards["df"], checks.missing_sources(ready["source-counts"]),
+            ready("row-exceptions"), questions(), checks.missing_sources(ready("source-counts")),
             post_match.stale_rules(m["matches"], book),
             post_match.open_items(m["open_batches"], m["open_credits"]),
         ]),
     })
     return Close(
-        settlement, bank, ledger, batches, credits, m["matches"], m["match_credits"],
-        out["findings"], out["exceptions"], ready["source-counts"], m["open_batches"],
-        m["open_credits"], book)
+        settlement, bank, ledger, batches, credits, out["matches"], out["match_credits"],
+        out["findings"], out["exceptions"], ready("source-counts"), out["open_batches"],
+        out["open_credits"], book)
 
 
 def match_rate(matches: DataFrame) -> DataFrame:
