@@ -50,6 +50,16 @@ def mark(spark: SparkSession, path: str) -> None:
     files.create(at, True).close()
 
 
+def in_writing_order(file: str) -> list:
+    """Order of part files as their tasks are numbered: 100000 comes after 99999.
+
+    Files go by folder, then by the number in a part file's name, then by name.
+    """
+    path = F.col(file)
+    number = F.regexp_extract(path, r"/part-(\d+)[^/]*$", 1).try_cast("long")
+    return [F.regexp_extract(path, "^(.*)/", 1), number.asc_nulls_first(), path]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table once and read it back, columnar and with known size."""
     path = f"{shared_folder(df.sparkSession)}/ledgerloom/{name}-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .. import constants as K, schemas as S
-from ..operators.scale import materialise
+from ..operators.scale import in_writing_order, materialise
 
 
 def normalise_header(name: str) -> str:
@@ -19,7 +19,7 @@ def read_raw(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     """All columns as text, plus the file, the record's line in it and its place in all files.
 
     ``_line`` counts records of a file, the header being line one; ``_place`` goes on over
-    the files in name order, so it is unique and keeps the order in which part files of one
+    the files in writing order, so it is unique and keeps the order in which part files of one
     table were written. Splits are numbered by themselves and shifted by what is before
     them.
     """
@@ -38,7 +38,7 @@ def read_raw(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     blocks = rows.groupBy("_file", "_block").agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    overall = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    overall = W.orderBy(*in_writing_order("_file"), "_block").rowsBetween(W.unboundedPreceding, -1)
     # One row per file split: written, so Spark knows its size and broadcasts it if small.
     shifts = materialise(blocks.withColumns({
         "_shift": F.coalesce(F.sum("_n").over(before), F.lit(0)),

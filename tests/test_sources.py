@@ -138,3 +138,11 @@ def test_line_numbers_go_on_over_part_files(spark, tmp_path):
     back = [(r.line_no, r.bank_txn_id) for r in good.collect()]
     assert bad.count() == 0 and len({n for n, _ in back}) == 2000
     assert [i for _, i in sorted(back)] == [f"bank_{n}" for n in range(1, 2001)]
+
+
+def test_part_files_go_by_their_numbers(spark):
+    from ledgerloom.operators.scale import in_writing_order
+    names = [f"dfs://a/t/part-{n:05d}-x-c000.csv" for n in range(100_001)] + ["dfs://a/t/own.csv", "dfs://b/t/part-00000.csv"]
+    rows = spark.createDataFrame([(n,) for n in reversed(names)], "f string")
+    got = [r.f for r in rows.orderBy(*in_writing_order("f")).collect()]
+    assert got == ["dfs://a/t/own.csv", *names[:100_001], "dfs://b/t/part-00000.csv"]
