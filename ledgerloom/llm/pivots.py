@@ -151,8 +151,8 @@ def near_copies(df: DataFrame, key: str = "vec_id", vector: str = "embedding", l
                 least: float = LEAST_COSINE) -> DataFrame:
     """``key``, ``n_links``, ``component_id`` and ``kept`` of every row."""
     fine = usable(F.col(vector)) & F.col(label).isNotNull()
-    same = F.md5(F.concat_ws(",", F.lit("v"), F.col(label).cast("string"),
-                             F.concat_ws(",", F.col(vector).cast("array<string>"))))
+    # As JSON, so that no label can run into the components.
+    same = F.md5(F.to_json(F.struct(F.col(label).alias("l"), F.col(vector).alias("v"))))
     # A row that links with nothing has no class.
     rows = df.select(F.col(key).alias("_id"), F.col(label).alias("label"),
                      F.col(vector).alias("vector"), F.when(fine, same).alias("key"))

@@ -19,7 +19,8 @@ a null component_id; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from itertools import combinations
+import re
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,23 +44,58 @@ GROUP = 32
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """SimHash of a UTF-8 text over the XXH64 values of its word shingles."""
+_TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
+# Texts of more bytes are taken in slices of so many words.
+WHOLE_BYTES, SLICE = 1 << 22, 100_000
+
+
+def _tokens(text: bytes):
+    if len(text) <= WHOLE_BYTES:
+        yield text.split()
+        return
+    found = map(re.Match.group, _TOKEN.finditer(text))
+    while part := list(islice(found, SLICE)):
+        yield part
+
+
+def shingle_hashes(text: bytes, words: int = WORDS):
+    """XXH64 values of the word shingles of a UTF-8 text, in slices."""
     from xxhash import xxh64_intdigest
 
-    tokens = text.translate(_LOWER).split()
-    if not tokens:
-        return 0
-    line = b" ".join(tokens)
-    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
-    begins = np.append(0, ends[:-1] + 1)
-    size = min(words, len(tokens))
-    hashes = np.array([xxh64_intdigest(line[a:b], SEED) for a, b in
-                       zip(begins[:len(tokens) - size + 1].tolist(), ends[size - 1:].tolist())],
-                      np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    on = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(on, bitorder="little").view(np.uint64)[0])
+    def hashed(tokens, size):
+        line = b" ".join(tokens)
+        ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
+        begins = np.append(0, ends[:-1] + 1)
+        return np.array([xxh64_intdigest(line[a:b], SEED) for a, b in
+                         zip(begins[:len(tokens) - size + 1].tolist(), ends[size - 1:].tolist())],
+                        np.uint64)
+
+    kept, some = [], False
+    for tokens in _tokens(text.translate(_LOWER)):
+        tokens = kept + tokens
+        if len(tokens) >= words:
+            some = True
+            yield hashed(tokens, words)
+        kept = tokens[-(words - 1):] if words > 1 else []
+    if not some and kept:
+        yield hashed(kept, len(kept))
+
+
+def _majority(slices) -> int:
+    """A bit is set where it is in over half of the hashes."""
+    on, n = np.zeros(64, np.int64), 0
+    for hashes in slices:
+        for i in range(0, len(hashes), SLICE):
+            part = np.ascontiguousarray(hashes[i:i + SLICE])
+            on += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
+                axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(on * 2 > n, bitorder="little").view(np.uint64)[0]) if n else 0
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """SimHash of a UTF-8 text over the XXH64 values of its word shingles."""
+    return _majority(shingle_hashes(text, words))
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", name: str = "_fp", words: int = WORDS):
@@ -217,6 +253,184 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     return packed.join(gone, "_number", "left_anti").select("_all.*")
 
 
+# --- near copies by similarity ---------------------------------------------------
+
+# Two prints of 64 bits; eight blocks of each, and a top node is the value of two of them.
+SIMILAR_WORDS = 5
+LEAST_SIMILARITY = 0.8
+WIDE_BLOCKS = 8
+WIDE_MASKS = tuple(combinations(range(WIDE_BLOCKS), 2))
+# Of 128 bits, sets just similar enough differ in 19 on average and hardly ever in more than this.
+WIDE_BITS = 34
+# Nodes with more points give the edges of a minimum spanning forest only.
+ALL_PAIRS = 8
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Hashes that tell the same apart, with other bits (the finaliser of SplitMix64)."""
+    h = hashes ^ (hashes >> np.uint64(30))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_set(text: bytes, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """Distinct shingle hashes of a text, sorted."""
+    parts = [np.unique(part) for part in shingle_hashes(text, words)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def spanning_pairs(prints: np.ndarray, most: int = WIDE_BITS):
+    """Edges of a minimum spanning forest over the pairs that differ in ``most`` bits or less.
+
+    ``prints`` has a row of two 64-bit words for each point. Points are put in Gray order and
+    grouped; a group whose shared bits differ too much from the point looked from is left
+    aside whole.
+    """
+    n = len(prints)
+    order = np.argsort(gray_rank(prints[:, 0]), kind="stable")
+    points = prints[order]
+    first = np.arange(0, n, GROUP)
+    ones = np.bitwise_and.reduceat(points, first, axis=0)
+    zeros = np.bitwise_and.reduceat(~points, first, axis=0)
+    near, best, via = np.full(n, False), np.full(n, most + 1), np.full(n, -1)
+    left, right = [], []
+    now = 0
+    for _ in range(n):
+        near[now] = True
+        if via[now] >= 0:
+            left.append(via[now])
+            right.append(now)
+        x = points[now]
+        least = np.bitwise_count((ones & ~x) | (zeros & x)).sum(axis=1)
+        for g in np.flatnonzero(least <= most).tolist():
+            a, b = g * GROUP, min(n, (g + 1) * GROUP)
+            apart = np.bitwise_count(points[a:b] ^ x).sum(axis=1)
+            closer = (apart < best[a:b]) & ~near[a:b]
+            best[a:b][closer], via[a:b][closer] = apart[closer], now
+        open_ = np.where(near, most + 2, best)
+        now = int(open_.argmin())
+        if open_[now] > most:
+            via[now] = -1
+    return order[np.array(left, np.int64)], order[np.array(right, np.int64)]
+
+
+def candidate_pairs(points: DataFrame, most: int = WIDE_BITS) -> DataFrame:
+    """``src``, ``dst``: pairs of points (``_id``, prints ``_a`` and ``_b``) to verify.
+
+    Every pair with few bits apart that meets below a top node is a candidate where the node
+    is small; a larger node gives the closest pairs that hold its points together.
+    """
+    def block(column, i):
+        return F.shiftrightunsigned(F.col(column), 8 * i).bitwiseAND(255)
+
+    nodes = F.array(*[F.lit((r * len(WIDE_MASKS) + m) << 16) + block(column, a) * 256 + block(column, b)
+                      for r, column in enumerate(("_a", "_b")) for m, (a, b) in enumerate(WIDE_MASKS)])
+    below = points.select("_id", "_a", "_b", F.explode(nodes).alias("_node"))
+    full = (below.groupBy("_node").count().filter(F.col("count") > NODE_ROWS)
+            .select("_node", F.ceil(F.col("count") * 2 / NODE_ROWS).cast("long").alias("_chunks")))
+    chunk = F.pmod(F.xxhash64("_id"), F.col("_chunks"))
+    pairs = F.when(F.col("_chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1),
+        lambda other: F.least(chunk, other) * F.col("_chunks") + F.greatest(chunk, other)))
+    dealt = below.join(full, "_node", "left").select("_node", F.explode(pairs).alias("_pair"), "_id", "_a", "_b")
+
+    def found(rows):
+        new = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(rows)))
+        ids, prints = rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+        left, right = [ids[:0]], [ids[:0]]
+        for a, n in zip(starts[sizes > ALL_PAIRS].tolist(), sizes[sizes > ALL_PAIRS].tolist()):
+            x, y = spanning_pairs(prints[a:a + n], most)
+            left.append(ids[a + x])
+            right.append(ids[a + y])
+        small = sizes <= ALL_PAIRS
+        rest = np.repeat(sizes * small, sizes) - (np.arange(len(rows)) - np.repeat(starts, sizes))
+        for step in range(1, ALL_PAIRS):
+            at = np.flatnonzero(rest > step)
+            at = at[np.bitwise_count(prints[at] ^ prints[at + step]).sum(axis=1) <= most]
+            left.append(ids[at])
+            right.append(ids[at + step])
+        pair = np.sort(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+        pair = np.unique(pair, axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["src", "dst"])
+
+    def work(batches):
+        held = np.empty((0, 5), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns])])
+            if len(held) < 200_000:
+                continue
+            last = np.flatnonzero((held[:, :2] != held[-1, :2]).any(axis=1))
+            cut = last[-1] + 1 if len(last) else 0
+            if cut:
+                yield found(held[:cut])
+                held = held[cut:]
+        if len(held):
+            yield found(held)
+
+    parts = dealt.repartition("_node", "_pair").sortWithinPartitions("_node", "_pair")
+    return parts.mapInArrow(work, "src long, dst long").distinct()
+
+
+def deduplicate_similar(df: DataFrame, key: str = "doc_id", text: str = "text",
+                        words: int = SIMILAR_WORDS, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """One row of each group stays, whole: that with the smallest key, null last.
+
+    Rows are linked when their sets of word shingles have a Jaccard similarity of ``least``
+    or more, compared on the whole sets; texts without words are alike. Which pairs are
+    compared comes from two fingerprints of the set: pairs below a common top node with few
+    bits apart. A pair just similar enough is compared in about nine of ten cases, a closer
+    one nearly always. Rows with equal sets are one point; points are numbered in the order
+    of their smallest rows, so a group's root is the one to keep.
+    """
+    packed, _ = numbered(df)
+    row = packed.select("_number", F.col("_all")[key].alias("_key"), F.col("_all")[text].alias("_text"))
+
+    @F.pandas_udf("struct<a:long,b:long,s:long>")
+    def prints(texts):
+        from xxhash import xxh64_intdigest
+        import pandas as pd
+        out = []
+        for t in texts:
+            found = shingle_set(t.encode(), words)
+            out.append((_majority([found]), _majority([_mixed(found)]), xxh64_intdigest(found.tobytes(), SEED)))
+        return pd.DataFrame(np.array(out, np.uint64).reshape(-1, 3).view(np.int64), columns=["a", "b", "s"])
+
+    @F.pandas_udf("array<long>")
+    def sets(texts):
+        return texts.map(lambda t: shingle_set(t.encode(), words).view(np.int64))
+
+    rank = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"),
+                    F.col("_number").alias("number"))
+    rows = materialise(row.select(rank.alias("_rank"), prints(F.coalesce("_text", F.lit(""))).alias("p"))
+                       .select("_rank", "p.*"), "prints")
+    points = materialise(rows.groupBy("s", "a", "b").agg(F.min("_rank").alias("_least")).orderBy("_least"),
+                         "points")
+    point = numbered(points)[0].select(F.col("_number").alias("_id"), F.col("_all.a").alias("_a"),
+                                       F.col("_all.b").alias("_b"), F.col("_all.s").alias("s"), F.col("_all._least").alias("_least"))
+    point = materialise(point, "numbered_points")
+    pairs = materialise(candidate_pairs(point), "candidates")
+    # Texts of the points that are in some pair, once each.
+    asked = pairs.select(F.explode(F.array("src", "dst")).alias("_id")).distinct()
+    numbers = materialise(point.join(asked, "_id").select("_id", F.col("_least.number").alias("_number")), "asked")
+    told = materialise(packed.join(numbers, "_number").select(
+        "_id", sets(F.coalesce(F.col("_all")[text], F.lit(""))).alias("_set")), "sets")
+    both = pairs.join(told.select(F.col("_id").alias("src"), F.col("_set").alias("_x")), "src").join(
+        told.select(F.col("_id").alias("dst"), F.col("_set").alias("_y")), "dst")
+    shared = F.size(F.array_intersect("_x", "_y"))
+    alike = shared >= F.lit(least) * (F.size("_x") + F.size("_y") - shared)
+    below = components(both.filter(alike).select("src", "dst")).select(F.col("node").alias("_id"))
+    # A point below another goes whole; of the others the smallest row stays.
+    gone = point.join(below.withColumn("_below", F.lit(True)), "_id", "left")
+    copies = rows.join(gone.select("s", F.col("_a").alias("a"), F.col("_b").alias("b"), "_least", "_below"),
+                       ["s", "a", "b"]).filter(
+        F.col("_below").isNotNull() | (F.col("_rank") != F.col("_least"))).select(
+        F.col("_rank.number").alias("_number"))
+    return packed.join(materialise(copies, "copies"), "_number", "left_anti").select("_all.*")
+
+
 def grouped(rows: DataFrame, key: str, most: int = MOST_BITS) -> DataFrame:
     """Rows of ``key`` and ``_fp`` with their component_id, the smallest key of theirs."""
     points = materialise(rows.groupBy("_fp").agg(F.min(key).alias("_least")), "points")

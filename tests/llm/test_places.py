@@ -38,3 +38,11 @@ def test_operators_on_filtered_documents(spark, docs, tmp_path):
     assert mixing.mixture(half).count() == mixing.mix(half).selectExpr("sum(size(starts)) n").first().n
     rows, n = training_order.slots(half, "doc_id", "text", 7)
     assert sorted(r.slot for r in rows.select("slot").collect()) == list(range(n)) and n == 200
+
+
+def test_a_path_given_twice_is_read_twice(spark, tmp_path):
+    spark.range(200).repartition(4).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t", f"{tmp_path}/t")
+    assert not whole_scan(df)
+    rows, n = numbered(df)
+    assert n == 400 and sorted(r._number for r in rows.collect()) == list(range(400))

@@ -1,3 +1,6 @@
+import random
+import re
+
 import numpy as np
 import xxhash
 
@@ -87,3 +90,77 @@ def test_components_of_a_long_path_and_a_star(spark):
     rows = {r.node: r.root for r in components.components(df).collect()}
     assert rows == {**{i: 0 for i in range(1, 301)}, **{1000 + i: 1000 for i in range(1, 300)}}
     assert components.components(df.limit(0)).count() == 0
+
+
+# --- near copies by similarity --------------------------------------------------------
+
+def plain_shingles(text, words=5):
+    found = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(found[i:i + words]) for i in range(max(1, len(found) - words + 1))) if found else frozenset()
+
+
+def alike(a, b):
+    """Similarity 0.8 or more; texts without words are alike."""
+    return 10 * len(a & b) >= 8 * len(a | b)
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(out))
+        out[at:at + 1] = rng.choice([[], [f"e{rng.randrange(10 ** 6)}"], [out[at], f"e{rng.randrange(10 ** 6)}"]])
+    return out
+
+
+def test_lightly_edited_copies_go(spark, docs):
+    rng = random.Random(11)
+    texts = []
+    for i in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((60, 200, 500)))]
+        texts.append(" ".join(words))
+        # Up to the point where the similarity is about 0.8.
+        texts += [" ".join(edited(rng, words, rng.randrange(1, 1 + len(words) // 45))) for _ in range(4)]
+    texts += ["", None, "  ", "one two", "One  TWO", "one two three"]
+    sets = [plain_shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if alike(sets[i], sets[j])]
+    root = smallest_reachable(sets, lambda i, j: alike(sets[i], sets[j]))
+    want = {i for i, r in enumerate(root) if r == i}
+    got = {r.doc_id for r in simhash.deduplicate_similar(docs(texts)).collect()}
+    assert want <= got and len(links) > 200
+    # Every text that had to go has gone, but for a few that are just similar enough.
+    assert len(got - want) <= 0.03 * (len(texts) - len(want))
+
+
+def test_a_large_group_of_near_copies(spark, docs, monkeypatch):
+    monkeypatch.setattr(simhash, "NODE_ROWS", 64)
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    texts = [" ".join(edited(rng, words, 1)) for _ in range(400)] + ["quite another text of some more words"]
+    kept = [r.doc_id for r in simhash.deduplicate_similar(docs(texts)).collect()]
+    assert sorted(kept) == [0, 400]
+
+
+def test_long_texts_are_hashed_in_slices(monkeypatch):
+    rng = random.Random(5)
+    text = " ".join(f"W{rng.randrange(99)}" for _ in range(5000)).encode()
+    whole = simhash.fingerprint(text), simhash.shingle_set(text).tolist()
+    monkeypatch.setattr(simhash, "WHOLE_BYTES", 100)
+    monkeypatch.setattr(simhash, "SLICE", 7)
+    assert (simhash.fingerprint(text), simhash.shingle_set(text).tolist()) == whole
+    monkeypatch.setattr(simhash, "SLICE", 2)
+    assert simhash.fingerprint(text) == whole[0]
+
+
+def test_spanning_pairs_hold_together_what_is_near():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2 ** 63, (6, 2)).astype(np.uint64)
+    points = np.repeat(base, 30, axis=0)
+    for row in points:
+        for bit in rng.integers(0, 128, rng.integers(0, 12)):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    a, b = simhash.spanning_pairs(points)
+    near = lambda i, j: int(np.bitwise_count(points[i] ^ points[j]).sum()) <= simhash.WIDE_BITS
+    assert all(near(i, j) for i, j in zip(a, b))
+    root = smallest_reachable(range(len(points)), near)
+    found = {frozenset((int(i), int(j))) for i, j in zip(a, b)}
+    assert smallest_reachable(range(len(points)), lambda i, j: frozenset((i, j)) in found) == root

@@ -179,3 +179,10 @@ def test_groups_come_whole_from_any_batches():
         assert [g["k"][0].as_py() for g in got] == list(range(40))
         assert sum(len(g) for g in got) == len(keys)
         assert all(len(set(g["k"].to_pylist())) == 1 for g in got)
+
+
+def test_labels_of_text_do_not_run_into_components(spark):
+    rows = [(1, [2.0], "a,1.0"), (2, [1.0, 2.0], "a"), (3, [1.0, 2.0], "a"), (4, [1.0], "[1.0")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_copies(df).collect()}
+    assert got == {1: (0, 1), 2: (1, 2), 3: (1, 2), 4: (0, 4)}
