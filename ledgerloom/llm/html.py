@@ -7,7 +7,8 @@ the root with digits made equal, so pages of one template name the same path. A
 only its class, id or role calls a menu, advert and so on is kept all the same if it holds
 most of the page's text that is not a link (and lies in an <article> or <main>, or the page
 has none outside such parts), or an <article> or <main> with more of it than those outside
-such parts; words as in "with-sidebar" or "comments-open" say nothing. The pages
+such parts; words as in "with-sidebar" or "comments-open" say nothing. Notices, adverts and
+dialogs never wrap a page: with nothing else on it, its text is empty. The pages
 of a host vote, and every page is extracted again from the first winning path that is its
 own: the container holds a fair share of the page's score, or what lies elsewhere lies in
 containers that the voters of that path have text in as well (a page of their template).
@@ -34,13 +35,13 @@ table; only the named columns are read.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Container
 from html import unescape
 from itertools import takewhile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.scale import materialise
 
@@ -91,8 +92,15 @@ _HEADS = frozenset("header masthead topbar".split())
 # What follows the first ones, or comes before the others, is a state of a wrapper.
 _WITH = frozenset("with without no not has have hide hides show shows".split())
 _STATES = frozenset("open opened closed enabled disabled on off".split())
-# A part is no aside if it holds more than this share of the page's text outside links.
+# Parts of these names never wrap a page: they are left out even where there is little else.
+_NEVER_WRAPS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr "
+    "notice notices popup modal overlay dialog alert newsletter subscribe subscription signup login".split())
+# A part of another name is no aside if it holds more than this share of the page's text
+# outside links.
 MOST_OF_PAGE = 0.5
+# Names of deeper containers are digests: a path of any depth has a short name.
+SPELT_DEPTH = 64
 
 
 def _named(value: str) -> set[str]:
@@ -105,10 +113,11 @@ def _named(value: str) -> set[str]:
     return found
 
 
-def _place(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, bool]:
+def _place(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, int]:
     """Step of the path for an element, whether it is left out, and whether it is an aside
-    by its class, id or role, which is left out unless it holds the article."""
-    skip, aside = tag in _SKIP or (tag == "header" and not in_article), False
+    by its class, id or role, which is left out unless it holds the article: 1, or 2 for
+    one that cannot be a wrapper."""
+    skip, aside = tag in _SKIP or (tag == "header" and not in_article), 0
     if not attributes or attributes.isspace():
         return tag, skip, aside
     step = tag
@@ -118,9 +127,9 @@ def _place(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, bool
             words = _named(value)
             if tag not in ("body", "html", "main") and (
                     words & _ASIDE or (words & _HEADS and not in_article)):
-                aside = True
+                aside = max(aside, 2 if words & _NEVER_WRAPS else 1)
             if name == "class" and value:
-                step = tag + "." + ".".join(sorted(_DIGITS.sub("#", value).split()))
+                step = tag + "." + ".".join(sorted(_DIGITS.sub("#", value).replace(">", "#").split()))
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             skip = True
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
@@ -128,46 +137,196 @@ def _place(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, bool
     return step, skip, aside
 
 
-def _left_out(found, holds: set[int], most_counts) -> set[int]:
-    """Asides to leave out: those without most of the text, where ``most_counts`` for them,
-    and without the page's article."""
-    weight: dict[int, int] = {}
-    total = articles = 0
-    for _, pieces in found:
-        for piece, link, asides, in_article in pieces:
+class Tree:
+    """Nodes by number, each with its parent's, which is smaller; 0 is the root."""
+
+    def __init__(self):
+        self.parent = [0]
+
+    def add(self, parent: int) -> int:
+        self.parent.append(parent)
+        return len(self.parent) - 1
+
+    def summed(self, own: dict[int, float]) -> list[float]:
+        """For each node the sum over itself and all below it."""
+        out = [0] * len(self.parent)
+        for node, value in own.items():
+            out[node] += value
+        for node in range(len(out) - 1, 0, -1):
+            out[self.parent[node]] += out[node]
+        return out
+
+    def covered(self, tops) -> list[bool]:
+        """Whether each node is one of ``tops`` or below one."""
+        out = [False] * len(self.parent)
+        for node in tops:
+            out[node] = True
+        for node in range(1, len(out)):
+            out[node] = out[node] or out[self.parent[node]]
+        return out
+
+
+class Page(Tree):
+    """Containers of a page as nodes (elements with the same steps to them are one node), and
+    its kept ``found`` blocks: node of the enclosing container, text, characters in links."""
+
+    def __init__(self):
+        super().__init__()
+        self.step, self.depth, self._known = [""], [0], {}
+        self.found: list[tuple[int, str, int]] = []
+        self.seen: set[int] = set()  # containers kept
+        self.heads: set[int] = set()  # containers with a heading right in them
+
+    def at(self, parent: int, step: str) -> int:
+        node = self._known.get((parent, step))
+        if node is None:
+            node = self._known[parent, step] = self.add(parent)
+            self.step.append(step)
+            self.depth.append(self.depth[parent] + 1)
+        return node
+
+    def path(self, node: int) -> str:
+        """Name of a container: its generalised steps, or their digest below SPELT_DEPTH."""
+        steps = []
+        while node:
+            steps.append(self.step[node])
+            node = self.parent[node]
+        steps.append("")
+        if len(steps) <= SPELT_DEPTH + 1:
+            return ">".join(reversed(steps))
+        digest = b""
+        for step in reversed(steps[:-1]):
+            digest = hashlib.blake2b(digest + step.encode(), digest_size=16).digest()
+        return f"#{len(steps) - 1}#{digest.hex()}"
+
+    def named(self, path: str) -> int | None:
+        """The container of a name, if the page has it."""
+        if path.startswith("#"):
+            depth = int(path.split("#")[1])
+            # Digests of all nodes, each from its parent's.
+            digests = [b""]
+            for node in range(1, len(self.parent)):
+                digests.append(hashlib.blake2b(
+                    digests[self.parent[node]] + self.step[node].encode(), digest_size=16).digest())
+                if self.depth[node] == depth and path.endswith(digests[node].hex()):
+                    return node
+            return None
+        node = 0
+        for step in path.split(">")[1:]:
+            node = self._known.get((node, step))
+            if node is None:
+                return None
+        return node
+
+    def weights(self) -> dict[int, int]:
+        """Characters outside links right in each container with a block."""
+        out: dict[int, int] = {}
+        for node, text, linked in self.found:
+            out[node] = out.get(node, 0) + len(text) - linked
+        return out
+
+    def choice(self) -> tuple[int, float]:
+        """The container that holds the article by the page alone, and its score."""
+        weights = self.weights()
+        score = self.summed(weights)
+        own = {n for n, w in weights.items() if w}
+        present = self.summed({n: 1 for n in weights})
+        nodes = [n for n in range(1, len(score)) if present[n]]
+        total = max((score[n] for n in nodes), default=0)
+        if total <= 0:
+            return 0, 0.0
+        tags = {n: self.step[n].split(".")[0] for n in nodes}
+        named = [n for n in nodes if score[n] >= NAMED_SHARE * total and tags[n] in ("article", "main")]
+        if named:
+            articles = [n for n in named if self.step[n].startswith("article")]
+            rank = lambda n: (self.depth[n], -score[n])
+            first = min(map(rank, articles or named))
+            best = min((n for n in articles or named if rank(n) == first), key=self.path)
+            return best, float(score[best])
+        children: dict[int, list[int]] = {}
+        for n in nodes:
+            if tags[n] in _CONTAINER:
+                children.setdefault(self.parent[n], []).append(n)
+        headed = self.summed({n: 1 for n in own & self.heads})
+        best, all_ = 0, total
+        while True:
+            next_ = max(children.get(best, ()), key=lambda n: (score[n], self.step[n]), default=0)
+            if not next_ or score[next_] < MOST_OF_IT * all_ or best in own:
+                return best, float(all_)
+            if score[next_] < all_ and (self.depth[next_] > _PAGE_LEVELS + 1 or headed[0] > headed[next_]):
+                return best, float(all_)
+            best, all_ = next_, score[next_]
+
+    def of_template(self, node: int, shell: list[str]) -> bool:
+        """Whether a winning container is the article of this page, ``shell`` being the
+        other containers its voters have text in."""
+        weights = self.weights()
+        inside = self.covered([node])
+        total = sum(weights.values())
+        held = sum(w for n, w in weights.items() if inside[n])
+        others = {self.named(path) for path in shell}
+        known = sum(w for n, w in weights.items() if n in others and not inside[n])
+        return held >= FAIR_SHARE * total or held + known >= SAME_TEMPLATE * total
+
+    def text(self, node: int) -> str:
+        inside = self.covered([node])
+        return "\n\n".join(t for n, t, _ in self.found if inside[n])
+
+
+class _Asides(Tree):
+    """Nested asides: which of them to leave out. Node 0 is the page outside of them."""
+
+    def __init__(self):
+        super().__init__()
+        self.never_wraps, self.holds, self.within = {0}, set(), set()
+
+    def gone(self, pieces, own_article: bool) -> list[bool]:
+        """Asides left out, with what is in them: those without most of the page's text,
+        where that counts for them, and without the page's article."""
+        weight: dict[int, int] = {}
+        articles = 0
+        for piece, link, aside, in_article in pieces:
             size = 0 if link else len("".join(piece.split()))
-            total += size
-            if in_article and not asides:
+            weight[aside] = weight.get(aside, 0) + size
+            if in_article and not aside:
                 articles += size
-            for aside in asides:
-                weight[aside] = weight.get(aside, 0) + size
-    return {a for a, w in weight.items()
-            if not (w > MOST_OF_PAGE * total and most_counts(a)) and not (a in holds and w > articles)}
+        inside, present = self.summed(weight), self.summed({a: 1 for a in weight})
+        holds = self.summed({a: 1 for a in self.holds})
+
+        def stays(a):
+            wraps = a not in self.never_wraps and (a in self.within or not own_article)
+            return (wraps and inside[a] > MOST_OF_PAGE * inside[0]) or (holds[a] and inside[a] > articles)
+
+        return self.covered([a for a in range(1, len(inside)) if present[a] and not stays(a)])
 
 
 def blocks(page: str) -> tuple[list[tuple[str, str, int]], set[str]]:
     """(path of the enclosing container, text, characters in links) of the kept blocks in
     page order, and the paths of all containers kept."""
-    return parsed(page)[:2]
-
-
-def parsed(page: str) -> tuple[list[tuple[str, str, int]], set[str], set[str]]:
-    """``blocks`` of a page, and the paths of the containers with a heading right in them."""
-    # Blocks as pieces: text, in a link, asides around it, in an article.
-    raw: list[tuple[str, list[tuple[str, bool, tuple[int, ...], bool]]]] = []
-    places: list[tuple[str, tuple[int, ...]]] = []
-    # Open elements: tag, path, path of the container it belongs to, left out, in an article,
-    # asides around it.
-    stack = [("", "", "", False, False, ())]
-    parts: list[tuple[str, bool, tuple[int, ...], bool]] = []
-    links, at, n_asides = 0, 0, 0
-    # Asides that are or contain an <article> or <main>.
-    holds: set[int] = set()
-    # Asides within one, and whether there is one outside asides.
-    within: set[int] = set()
+    tree = parsed(page)
+    return [(tree.path(n), t, linked) for n, t, linked in tree.found], {tree.path(n) for n in tree.seen}
+
+
+def parsed(page: str) -> Page:
+    """The containers and kept blocks of a page, in time and memory in proportion to it."""
+    tree, asides = Page(), _Asides()
+    # Blocks as pieces: text, in a link, innermost aside around it, in an article.
+    raw: list[tuple[int, list[tuple[str, bool, int, bool]]]] = []
+    places: list[tuple[int, int]] = []
+    # Open elements: tag, node, node of the container it belongs to, left out, in an article,
+    # innermost aside around it.
+    stack = [("", 0, 0, False, False, 0)]
+    # Where in the stack elements of a tag are, and blocks, and what ends a look upwards.
+    where: dict[str, list[int]] = {}
+    blocks_at, stops_at = [0], [0]
+    parts: list[tuple[str, bool, int, bool]] = []
+    links, at = 0, 0
     own_article = False
     titles: set[int] = set()
 
+    def last(*tags):
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
     def flush():
         nonlocal parts
         if parts:
@@ -178,11 +337,16 @@ def parsed(page: str) -> tuple[list[tuple[str, str, int]], set[str], set[str]]:
 
     def close(depth):
         nonlocal links
+        if any(entry[0] in _BLOCK for entry in stack[depth:]):
+            flush()
         for tag, *_ in stack[depth:]:
+            where[tag].pop()
             if tag == "a":
                 links -= 1
-        if any(entry[0] in _BLOCK for entry in stack[depth:]):
-            flush()
+        while blocks_at[-1] >= depth:
+            blocks_at.pop()
+        while stops_at[-1] >= depth:
+            stops_at.pop()
         del stack[depth:]
 
     def text(a, b):
@@ -205,12 +369,10 @@ def parsed(page: str) -> tuple[list[tuple[str, str, int]], set[str], set[str]]:
             continue
         tag = tag.lower()
         if hit[1] or hit[4]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if tag not in _BLOCK and stack[depth][0] in _BLOCK and tag not in ("td", "th"):
-                    break
+            # The end of an inline element does not reach beyond a block.
+            depth = last(tag)
+            if depth and (tag in _BLOCK or tag in ("td", "th") or depth > blocks_at[-1]):
+                close(depth)
             continue
         attributes = hit[3] if hit[3] is not None else hit[6]
         if tag in _VOID:
@@ -228,113 +390,53 @@ def parsed(page: str) -> tuple[list[tuple[str, str, int]], set[str], set[str]]:
             continue
         if tag in _BLOCK:
             # A block ends an open paragraph, a list item the one before it.
-            for depth in range(len(stack) - 1, 0, -1):
-                own = stack[depth][0]
-                if own == "p" or own in _CLOSES.get(tag, ()):
-                    close(depth)
-                    break
-                if own in _CONTAINER or own in _LISTS:
-                    break
+            depth = last("p", *_CLOSES.get(tag, ()))
+            if depth and depth >= stops_at[-1]:
+                close(depth)
             flush()
         elif tag in ("td", "th"):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in _CLOSES[tag]:
-                    close(depth)
-                    break
-                if stack[depth][0] in ("tr", "table"):
-                    break
+            depth = last(*_CLOSES[tag])
+            if depth and depth > last("tr", "table"):
+                close(depth)
             if not stack[-1][3]:
                 parts.append((" ", False, stack[-1][5], False))
         elif tag == "a":
             links += 1
-        _, path, container, out, in_article, asides = stack[-1]
-        step, skip, aside = _place(tag, attributes, in_article)
-        path = f"{path}>{step}"
+        _, node, container, out, in_article, aside = stack[-1]
+        step, skip, named = _place(tag, attributes, in_article)
+        node = tree.at(node, step)
         out = out or skip
-        if aside and not out:
-            asides = (*asides, n_asides)
+        if named and not out:
+            aside = asides.add(aside)
             if in_article:
-                within.add(n_asides)
-            n_asides += 1
+                asides.within.add(aside)
+            if named == 2:
+                asides.never_wraps.add(aside)
         if tag in ("article", "main") and not out:
             in_article = True
-            holds.update(asides)
-            own_article = own_article or not asides
+            if aside:
+                asides.holds.add(aside)
+            own_article = own_article or not aside
         if tag in _CONTAINER and not out:
-            container = path
-            places.append((path, asides))
-        stack.append((tag, path, container, out, in_article, asides))
+            container = node
+            places.append((node, aside))
+        where.setdefault(tag, []).append(len(stack))
+        if tag in _BLOCK:
+            blocks_at.append(len(stack))
+        if tag in _CONTAINER or tag in _LISTS:
+            stops_at.append(len(stack))
+        stack.append((tag, node, container, out, in_article, aside))
     flush()
-    gone = _left_out(raw, holds, lambda a: a in within or not own_article) if n_asides else set()
-    found: list[tuple[str, str, int]] = []
-    heads: set[str] = set()
-    for i, (path, pieces) in enumerate(raw):
-        if gone:
-            pieces = [p for p in pieces if gone.isdisjoint(p[2])]
-        text = " ".join("".join([p[0] for p in pieces]).split())
-        if text:
-            found.append((path, text, min(sum([len(p[0]) for p in pieces if p[1]]), len(text))))
+    gone = asides.gone([p for _, pieces in raw for p in pieces], own_article)
+    for i, (node, pieces) in enumerate(raw):
+        pieces = [p for p in pieces if not gone[p[2]]]
+        text_ = " ".join("".join([p[0] for p in pieces]).split())
+        if text_:
+            tree.found.append((node, text_, min(sum([len(p[0]) for p in pieces if p[1]]), len(text_))))
             if i in titles:
-                heads.add(path)
-    return found, {path for path, asides in places if gone.isdisjoint(asides)}, heads
-
-
-def choice(found: list[tuple[str, str, int]], heads: Container[str] = ()) -> tuple[str, float]:
-    """Path of the container that holds the article by the page alone, and its score.
-
-    ``heads`` are the containers with a heading.
-    """
-    score: dict[str, float] = {}
-    own: set[str] = set()
-    for path, text, linked in found:
-        weight = len(text) - linked
-        if weight:
-            own.add(path)
-        while path:
-            score[path] = score.get(path, 0.0) + weight
-            path = path.rpartition(">")[0]
-    total = max(score.values(), default=0.0)
-    if total <= 0:
-        return "", 0.0
-    named = [p for p, s in score.items() if s >= NAMED_SHARE * total
-             and p.rpartition(">")[2].split(".")[0] in ("article", "main")]
-    if named:
-        articles = [p for p in named if p.rpartition(">")[2].startswith("article")]
-        best = min(articles or named, key=lambda p: (p.count(">"), -score[p], p))
-        return best, score[best]
-    best = ""
-    while True:
-        depth = best.count(">") + 1
-        below = [p for p in score if p.count(">") == depth and p.startswith(best + ">")
-                 and p.rpartition(">")[2].split(".")[0] in _CONTAINER]
-        next_ = max(below, key=lambda p: (score[p], p), default="")
-        all_ = score[best] if best else total
-        if not next_ or score[next_] < MOST_OF_IT * all_ or best in own:
-            return best, score.get(best, total)
-        inner = next_ + ">"
-        if score[next_] < all_ and (depth > _PAGE_LEVELS + 1 or any(
-                p in heads and p != next_ and not p.startswith(inner) for p in own)):
-            return best, score.get(best, total)
-        best = next_
-
-
-def of_template(found, path: str, shell: list[str]) -> bool:
-    """Whether a winning path is the article of this page, ``shell`` being the other
-    containers its voters have text in."""
-    inner, total, held, known = path + ">", 0, 0, 0
-    for at, text, linked in found:
-        weight = len(text) - linked
-        total += weight
-        if at == path or at.startswith(inner):
-            held += weight
-        elif at in shell:
-            known += weight
-    return held >= FAIR_SHARE * total or held + known >= SAME_TEMPLATE * total
-
-
-def below(found, path: str) -> str:
-    inner = path + ">"
-    return "\n\n".join(t for p, t, _ in found if p == path or p.startswith(inner))
+                tree.heads.add(node)
+    tree.seen = {node for node, aside in places if not gone[aside]}
+    return tree
 
 
 def host(url):
@@ -350,13 +452,13 @@ def _votes(df: DataFrame, url: str, html: str) -> DataFrame:
         for batch in batches:
             paths, scores, others = [], [], []
             for page in batch.column(1).to_pylist():
-                found, _, heads = parsed(page)
-                path, score = choice(found, heads)
-                inner = path + ">"
-                paths.append(path)
+                tree = parsed(page)
+                node, score = tree.choice()
+                inside = tree.covered([node])
+                paths.append(tree.path(node))
                 scores.append(score)
-                others.append(sorted({p for p, t, n in found if len(t) > n and p != path
-                                      and p.count(">") > _PAGE_LEVELS and not p.startswith(inner)}))
+                others.append(sorted({tree.path(p) for p in {p for p, t, n in tree.found if len(t) > n}
+                                      if tree.depth[p] > _PAGE_LEVELS and not inside[p]}))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(paths, pa.string()), pa.array(scores, pa.float64()),
                  pa.array(others, pa.list_(pa.string()))], names=["host", "path", "score", "others"])
@@ -383,8 +485,8 @@ def winners(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     told = materialise(_votes(df, url, html).select("host", "path", other.alias("other"))
                        .groupBy("host", "path", "other").agg(F.count("*").alias("n")), "host_votes")
     counted = told.filter("other = ''").select("host", "path", F.col("n").alias("voters"))
-    all_votes = F.sum("voters").over(W.partitionBy("host"))
-    won = counted.withColumn("all", all_votes).filter(F.col("voters") >= LEAST_SHARE * F.col("all"))
+    every = counted.groupBy("host").agg(F.sum("voters").alias("all"))
+    won = counted.join(every, "host").filter(F.col("voters") >= LEAST_SHARE * F.col("all"))
     usual = told.join(won.select("host", "path", "voters"), ["host", "path"]).filter(
         F.col("n") >= MOST_VOTERS * F.col("voters"))
     shells = usual.groupBy("host", "path", "voters").agg(
@@ -406,13 +508,13 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
         for batch in batches:
             texts, places = [], []
             for page, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found, seen, heads = parsed(page)
-                path = next((w["path"] for w in paths or () if w["path"] in seen
-                             and of_template(found, w["path"], w["shell"])), None)
-                if path is None:
-                    path = choice(found, heads)[0]
-                texts.append(below(found, path) if path else "")
-                places.append(path)
+                tree = parsed(page)
+                won = ((tree.named(w["path"]), w["shell"]) for w in paths or ())
+                node = next((n for n, shell in won if n in tree.seen and tree.of_template(n, shell)), None)
+                if node is None:
+                    node = tree.choice()[0]
+                texts.append(tree.text(node) if node else "")
+                places.append(tree.path(node))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                  pa.array(places, pa.string())], names=["_key", "_url", "text", "path"])

@@ -1,4 +1,6 @@
 import re
+import time
+import tracemalloc
 from collections import Counter
 from html import unescape
 
@@ -31,10 +33,10 @@ def rows_of(spark, pages):
 
 
 def test_one_page_with_everything_around_the_article():
-    found, _ = html.blocks(FULL)
-    path, _ = html.choice(found)
-    assert path == ">html>body>div.wrap-#>div.post.post-#"
-    assert html.below(found, path).split("\n\n") == [
+    tree = html.parsed(FULL)
+    node, _ = tree.choice()
+    assert tree.path(node) == ">html>body>div.wrap-#>div.post.post-#"
+    assert tree.text(node).split("\n\n") == [
         "Title & more", "First bold line here. Next <line> é", "Second link words", "one", "two",
         "a b", "c", "quoted"]
 
@@ -42,7 +44,7 @@ def test_one_page_with_everything_around_the_article():
 def test_broken_markup():
     for text in ("", "<", "a < b", "<p", "<p class='x>open", "</p></div>", "<script>never ends",
                  "<!-- open", "<a href=\"q>t</a>", "x" * 200_000, "<b>" * 3000 + "deep"):
-        html.choice(html.blocks(text)[0])
+        html.parsed(text).choice()
     assert [t for _, t, _ in html.blocks("1 < 2 <p>and<p>more")[0]] == ["1 < 2", "and", "more"]
 
 
@@ -67,7 +69,9 @@ def test_votes_are_counted_by_host_and_path(spark):
     counted = {(r.host, r.path): r.n for r in html.votes(df).collect()}
     plain = Counter()
     for r in df.collect():
-        path, score = html.choice(html.blocks(r.html or "")[0])
+        tree = html.parsed(r.html or "")
+        node, score = tree.choice()
+        path = tree.path(node)
         if score > 0:
             plain[(re.match(r"https?://([^/:]+)", r.url)[1].lower(), path)] += 1
     assert counted == plain
@@ -130,8 +134,8 @@ def test_title_and_lead_stay_in():
                  f"<div class='post'><div class='top'>Title</div><p>lead</p><div><div>{long}</div></div></div>",
                  f"<div class='title'><h1>Title</h1></div><p>lead</p><div class='entry'>{long}</div>",
                  f"<div class='title'><h1>Title</h1> <p>lead</p></div><div class='entry'>{long}</div>"):
-        found, _, heads = html.parsed(page(body))
-        assert html.below(found, html.choice(found, heads)[0]) == f"Title\n\nlead\n\n{long.strip()}"
+        tree = html.parsed(page(body))
+        assert tree.text(tree.choice()[0]) == f"Title\n\nlead\n\n{long.strip()}"
 
 
 def test_a_page_of_a_second_template_keeps_its_article(spark):
@@ -148,3 +152,31 @@ def test_a_page_of_a_second_template_keeps_its_article(spark):
     assert got[0].text == f"T\n\n{long.strip()}"
     assert got[50].text == got[51].text == f"S\n\n{long.strip()}"
     assert got[52].text == "T"
+
+
+def test_pages_of_notices_have_no_text(spark):
+    for name in ("cookie-notice", "modal popup", "newsletter", "advert"):
+        only = page(f"<div class='{name}'><p>We would like you to read this first.</p></div>")
+        assert html.blocks(only)[0] == []
+        assert rows_of(spark, [(1, "http://h.example/x", only)])[1].text == ""
+
+
+def test_deep_and_unclosed_markup_costs_what_its_length_does():
+    """Seconds and 500 MB for pages that are a few hundred kilobytes of open elements."""
+    pages = {
+        "inline": "<b>x" * 100_000, "blocks": "<div>a" * 10_000, "asides": "<div class=widget>a" * 10_000,
+        "ends without starts": "<b>" * 50_000 + "</i>" * 50_000 + "<div></div>" * 50_000,
+        "ends in vain": "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000, "cells": "<table>" + "<td><b>" * 30_000}
+    for name, body in pages.items():
+        tracemalloc.start()
+        start = time.perf_counter()
+        tree = html.parsed("<html><body>" + body)
+        node, _ = tree.choice()
+        tree.text(node)
+        deepest = tree.path(len(tree.parent) - 1)
+        assert tree.named(deepest) == len(tree.parent) - 1
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert time.perf_counter() - start < 20 and peak < 500 << 20, name
+    deep = html.parsed("<html><body>" + "<div>" * 3000 + "deep" + "</div>" * 3000)
+    assert [t for _, t, _ in deep.found] == ["deep"] and len(deep.path(deep.found[0][0])) < 60
