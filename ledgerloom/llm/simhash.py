@@ -374,6 +374,48 @@ def candidate_pairs(points: DataFrame, most: int = WIDE_BITS) -> DataFrame:
     return parts.mapInArrow(work, "src long, dst long").distinct()
 
 
+def _wide_prints(rows: DataFrame, words: int) -> DataFrame:
+    """First column of ``rows``, and two prints and a hash of the shingle set of the text in the second."""
+    def work(batches):
+        from xxhash import xxh64_intdigest
+        for batch in batches:
+            out = np.empty((batch.num_rows, 3), np.uint64)
+            for i, text in enumerate(batch.column(1)):
+                found = shingle_set(text.as_py().encode(), words)
+                out[i] = _majority([found]), _majority([_mixed(found)]), xxh64_intdigest(found.tobytes(), SEED)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(np.ascontiguousarray(out[:, c]).view(np.int64)) for c in range(3))],
+                names=["_rank", "a", "b", "s"])
+
+    schema = T.StructType([rows.schema[0], *(T.StructField(c, T.LongType()) for c in "abs")])
+    return rows.mapInArrow(work, schema)
+
+
+def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+    """``_id`` and ``_set``, the distinct shingle hashes of the text in the second column."""
+    def work(batches):
+        for batch in batches:
+            ids, held, size = [], [], 0
+
+            def told():
+                ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+                values = pa.array(np.concatenate(held).view(np.int64))
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], names=["_id", "_set"])
+
+            for i, text in zip(batch.column(0), batch.column(1)):
+                ids.append(i.as_py())
+                held.append(shingle_set(text.as_py().encode(), words))
+                size += len(held[-1])
+                if size > SLICE:
+                    yield told()
+                    ids, held, size = [], [], 0
+            if ids:
+                yield told()
+
+    return rows.mapInArrow(work, "_id long, _set array<long>")
+
+
 def deduplicate_similar(df: DataFrame, key: str = "doc_id", text: str = "text",
                         words: int = SIMILAR_WORDS, least: float = LEAST_SIMILARITY) -> DataFrame:
     """One row of each group stays, whole: that with the smallest key, null last.
@@ -388,24 +430,9 @@ def deduplicate_similar(df: DataFrame, key: str = "doc_id", text: str = "text",
     packed, _ = numbered(df)
     row = packed.select("_number", F.col("_all")[key].alias("_key"), F.col("_all")[text].alias("_text"))
 
-    @F.pandas_udf("struct<a:long,b:long,s:long>")
-    def prints(texts):
-        from xxhash import xxh64_intdigest
-        import pandas as pd
-        out = []
-        for t in texts:
-            found = shingle_set(t.encode(), words)
-            out.append((_majority([found]), _majority([_mixed(found)]), xxh64_intdigest(found.tobytes(), SEED)))
-        return pd.DataFrame(np.array(out, np.uint64).reshape(-1, 3).view(np.int64), columns=["a", "b", "s"])
-
-    @F.pandas_udf("array<long>")
-    def sets(texts):
-        return texts.map(lambda t: shingle_set(t.encode(), words).view(np.int64))
-
     rank = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"),
                     F.col("_number").alias("number"))
-    rows = materialise(row.select(rank.alias("_rank"), prints(F.coalesce("_text", F.lit(""))).alias("p"))
-                       .select("_rank", "p.*"), "prints")
+    rows = materialise(_wide_prints(row.select(rank.alias("_rank"), F.coalesce("_text", F.lit("")).alias("_text")), words), "prints")
     points = materialise(rows.groupBy("s", "a", "b").agg(F.min("_rank").alias("_least")).orderBy("_least"),
                          "points")
     point = numbered(points)[0].select(F.col("_number").alias("_id"), F.col("_all.a").alias("_a"),
@@ -415,8 +442,8 @@ def deduplicate_similar(df: DataFrame, key: str = "doc_id", text: str = "text",
     # Texts of the points that are in some pair, once each.
     asked = pairs.select(F.explode(F.array("src", "dst")).alias("_id")).distinct()
     numbers = materialise(point.join(asked, "_id").select("_id", F.col("_least.number").alias("_number")), "asked")
-    told = materialise(packed.join(numbers, "_number").select(
-        "_id", sets(F.coalesce(F.col("_all")[text], F.lit(""))).alias("_set")), "sets")
+    told = materialise(_shingle_sets(packed.join(numbers, "_number").select(
+        "_id", F.coalesce(F.col("_all")[text], F.lit("")).alias("_text")), words), "sets")
     both = pairs.join(told.select(F.col("_id").alias("src"), F.col("_set").alias("_x")), "src").join(
         told.select(F.col("_id").alias("dst"), F.col("_set").alias("_y")), "dst")
     shared = F.size(F.array_intersect("_x", "_y"))
