@@ -7,6 +7,8 @@ points in the same text: a secret-looking value near an identifier, an identifie
 a secret, an endpoint near both. The search for partners is an interval join on cells
 of ``SCOPE`` code points: cells are reduced to their first and last part of a role
 before the join, so a candidate meets at most three rows per role whatever a text holds.
+Places and overlaps are running sums and maxima over a text's matches, so the work is in
+proportion to their number.
 
 Everything is DataFrame expressions. Spans are code points, the end exclusive.
 
@@ -18,12 +20,14 @@ columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.scale import materialise
 from .places import numbered
 
 SCOPE = 256
+# Code points of a block when a text is put together again.
+BLOCK = 256
 
 BEFORE_VALUE = r"""["']?\x20*[:=]\x20*["']?"""
 # Base kinds, in the order in which they are listed at one place.
@@ -45,64 +49,68 @@ PARTS = (
 )
 KINDS = (*BASE, *(kind for kind, _, _ in PARTS))
 SPAN = "array<struct<start:bigint,stop:bigint,kind:string,role:string>>"
+ROLES = dict(zip(BASE, ("secret", "identifier", "secret"))) | {kind: role for kind, role, _ in PARTS}
+HITS = "array<struct<kind:string,place:int,gap:bigint,n:bigint,keep:boolean>>"
 
 
-def matches(text: Column, pattern: str, kind: str, role: str, keep=None) -> Column:
-    """Leftmost non-overlapping matches as spans; ``keep`` drops matches by their string.
+def matches(text: Column, pattern: str, kind: str, keep=None) -> Column:
+    """Leftmost non-overlapping matches in order: length and that of the text before each.
 
-    The text between the matches gives their places.
+    ``keep`` says by a match's string whether it counts; the others only move the places.
     """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pieces = F.arrays_zip(found.alias("hit"), F.slice(between, 1, F.size(found)).alias("gap"))
-    empty = F.lit(None).cast(SPAN)
+    hits = F.transform(pieces, lambda piece, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("place"), F.length(piece["gap"]).cast("long").alias("gap"),
+        F.length(piece["hit"]).cast("long").alias("n"),
+        (F.lit(True) if keep is None else keep(piece["hit"])).alias("keep")))
+    return F.coalesce(F.when(text.rlike(pattern), hits), F.array()).cast(HITS)
 
-    def walk(state, piece):
-        start = state["at"] + F.length(piece["gap"]).cast("long")
-        stop = start + F.length(piece["hit"]).cast("long")
-        span = F.array(F.struct(start.alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"),
-                                F.lit(role).alias("role")))
-        kept = span if keep is None else F.when(keep(piece["hit"]), span).otherwise(
-            F.array().cast(SPAN))
-        return F.struct(stop.alias("at"), F.concat(state["spans"], kept).alias("spans"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.coalesce(F.when(text.rlike(pattern), F.aggregate(pieces, zero, walk, lambda s: s["spans"]))
-                      .otherwise(empty), F.array().cast(SPAN))
+def with_hits(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with ``_hits``, the matches of all kinds; one scan over the text."""
+    def long_value(hit):
+        return F.length(F.regexp_extract(hit, ASSIGN, 1)) >= 6
 
-
-def base_spans(text: Column) -> Column:
-    long_value = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 1)) >= 6
-    return F.concat(matches(text, ASSIGN, "assign", "secret", long_value),
-                    matches(text, ACCESS, "access", "identifier"),
-                    matches(text, HEX, "hex", "secret"))
-
-
-def weak_spans(text: Column, base: Column) -> Column:
-    """Candidates that overlap no base span."""
     def mixed(hit):
         return hit.rlike("[0-9]") & hit.rlike("[A-Z]") & hit.rlike("[a-z]")
 
-    found = F.concat(*[matches(text, pattern, kind, role, mixed if kind == "opaque" else None)
-                       for kind, role, pattern in PARTS])
-    return F.filter(found, lambda w: ~F.exists(
-        base, lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
-
-
-def with_parts(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with ``_base`` and ``_weak`` spans, one scan over the text."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    return (df.withColumn("_base", base_spans(whole))
-            .withColumn("_weak", weak_spans(whole, F.col("_base"))))
+    return df.withColumn("_hits", F.concat(
+        matches(whole, ASSIGN, "assign", long_value), matches(whole, ACCESS, "access"),
+        matches(whole, HEX, "hex"),
+        *[matches(whole, pattern, kind, mixed if kind == "opaque" else None)
+          for kind, _, pattern in PARTS]))
 
 
-def linked(parts: DataFrame, row: str = "_row", scope: int = SCOPE) -> DataFrame:
-    """``row`` and ``_linked``: its candidates that have their complementary parts in scope.
+def placed(rows: DataFrame, row: str = "_row") -> DataFrame:
+    """``row``, ``start``, ``stop``, ``kind``, ``role``: base spans, and candidates that overlap none.
 
-    ``row`` must be unique; rows without candidates do not appear.
+    Places are running sums over the matches of a kind. A candidate overlaps a base span when
+    the furthest end of those that start before its own end lies behind its start, a running
+    maximum. Both read a text's spans once, in order.
     """
-    some = parts.filter(F.size("_weak") > 0)
-    spans = some.select(row, F.explode(F.concat("_base", "_weak")).alias("s")).select(
-        row, "s.*", F.floor(F.col("s.start") / scope).alias("cell"))
+    so_far = W.rowsBetween(W.unboundedPreceding, W.currentRow)
+    hits = rows.select(row, F.explode("_hits").alias("_h")).select(row, "_h.*")
+    stop = F.sum(F.col("gap") + F.col("n")).over(
+        so_far.partitionBy(row, "kind").orderBy("place"))
+    role = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    spans = hits.withColumn("stop", stop).filter("keep").select(
+        row, (F.col("stop") - F.col("n")).alias("start"), "stop", "kind", role[F.col("kind")].alias("role"))
+    base = F.col("kind").isin(*BASE)
+    # At one place a candidate's end comes before a base span's start: they only touch.
+    furthest = F.max(F.when(base, F.col("stop"))).over(so_far.partitionBy(row).orderBy(
+        F.when(base, F.col("start")).otherwise(F.col("stop")), base))
+    return spans.withColumn("_furthest", furthest).filter(
+        base | F.coalesce(F.col("_furthest") <= F.col("start"), F.lit(True))).drop("_furthest")
+
+
+def linked(spans: DataFrame, row: str = "_row", scope: int = SCOPE) -> DataFrame:
+    """The candidates among ``spans`` that have their complementary parts in scope.
+
+    ``row`` must be unique to a text.
+    """
+    spans = spans.withColumn("cell", F.floor(F.col("start") / scope))
     cells = spans.groupBy(row, "role", "cell").agg(F.min("start").alias("first"),
                                                    F.max("start").alias("last"))
     candidates = spans.filter(~F.col("kind").isin(*BASE))
@@ -119,8 +127,13 @@ def linked(parts: DataFrame, row: str = "_row", scope: int = SCOPE) -> DataFrame
     told = (F.when(F.col("own") == "secret", F.col("by_identifier"))
             .when(F.col("own") == "identifier", F.col("by_secret"))
             .otherwise(F.col("by_identifier") & F.col("by_secret")))
-    return met.filter(told).groupBy(row).agg(F.collect_list(F.struct(
-        "start", "stop", "kind", F.col("own").alias("role"))).alias("_linked"))
+    return met.filter(told).select(row, "start", "stop", "kind", F.col("own").alias("role"))
+
+
+def told_spans(rows: DataFrame, row: str = "_row", scope: int = SCOPE) -> DataFrame:
+    """All spans to report for rows with ``_hits``: base ones and linked candidates."""
+    spans = materialise(placed(rows, row), "secret_spans")
+    return spans.filter(F.col("kind").isin(*BASE)).unionByName(linked(spans, row, scope))
 
 
 def in_order(spans: Column) -> Column:
@@ -141,27 +154,49 @@ def as_text(spans: Column) -> Column:
 def find(df: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """``key``, ``base`` and ``spans`` (base and linked) of every row."""
     parts = materialise(
-        with_parts(df.select(F.col(key), F.col(text)), text).drop(text)
+        with_hits(df.select(F.col(key), F.col(text)), text).drop(text)
         .withColumn("_row", F.monotonically_increasing_id()), "secret_parts")
-    return parts.join(linked(parts, scope=scope), "_row", "left").select(
-        key, F.col("_base").alias("base"),
-        F.concat("_base", F.coalesce("_linked", F.array().cast(SPAN))).alias("spans"))
-
+    span = F.struct("start", "stop", "kind", "role")
+    lists = told_spans(parts, scope=scope).groupBy("_row").agg(
+        F.collect_list(F.when(F.col("kind").isin(*BASE), span)).alias("base"),
+        F.collect_list(span).alias("spans"))
+    none = F.array().cast(SPAN)
+    return parts.select("_row", key).join(lists, "_row", "left").select(
+        key, F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
+
+
+def stretches(spans: DataFrame, row: str) -> DataFrame:
+    """``row`` and ``_cuts``: the stretches its spans cover, sorted and disjoint."""
+    order = W.partitionBy(row).orderBy("start", "stop")
+    before = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
+    part = F.sum(F.when(F.col("_before") > F.col("start"), 0).otherwise(1)).over(
+        order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return (spans.withColumn("_before", before).withColumn("_part", part).groupBy(row, "_part")
+            .agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+            .groupBy(row).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cuts")))
+
+
+def redacted(text: Column, cuts: Column, mark: str = "[REMOVED]") -> Column:
+    """The text with every stretch of code points in ``cuts`` replaced by a mark.
+
+    The text is cut into blocks once; what is kept between two stretches is taken from the
+    blocks it lies in, so the work is in proportion to the text and the stretches.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
 
-def redacted(text: Column, spans: Column, mark: str = "[REMOVED]") -> Column:
-    """The text with every stretch of code points that spans cover replaced by a mark."""
-    def walk(state, s):
-        fresh = s["start"] >= state["at"]
-        kept = F.when(fresh, F.concat(text.substr(state["at"].cast("int") + 1,
-                                                  (s["start"] - state["at"]).cast("int")),
-                                      F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"),
-                        F.concat(state["out"], kept).alias("out"))
+    def kept(v, i):
+        start = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(v["cuts"], i - 1)["stop"])
+        stop = F.coalesce(F.get(v["cuts"], i)["start"], v["size"])
+        first, last = F.floor(start / BLOCK).cast("int"), F.floor(stop / BLOCK).cast("int")
+        near = F.array_join(F.slice(v["blocks"], first + 1, last - first + 1), "")
+        return near.substr((start % BLOCK + 1).cast("int"), (stop - start).cast("int"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(in_order(spans), start, walk, lambda s: F.concat(
-        s["out"], text.substr(s["at"].cast("int") + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+    # One element: its parts are worked out once and then named by the inner function.
+    whole = F.array(F.struct(blocks.alias("blocks"), cuts.alias("cuts"),
+                             F.length(text).cast("long").alias("size")))
+    joined = F.transform(whole, lambda v: F.array_join(
+        F.transform(F.sequence(F.lit(0), F.size(v["cuts"])), lambda i: kept(v, i)), mark))
+    return F.get(joined, F.lit(0))
 
 
 def redact(df: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -171,16 +206,12 @@ def redact(df: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     """
     packed, _ = numbered(df)
     row = packed.select("_number", F.col("_all")[text].alias("_text"))
-    some = materialise(
-        with_parts(row, "_text").select("_number", "_base", "_weak")
-        .filter((F.size("_base") > 0) | (F.size("_weak") > 0)), "secret_parts")
-    spans = materialise(
-        some.join(linked(some, "_number", scope), "_number", "left").select("_number", F.concat(
-            "_base", F.coalesce("_linked", F.array().cast(SPAN))).alias("_spans"))
-        .filter(F.size("_spans") > 0), "secret_spans")
-    clean = F.when(F.col("_spans").isNull(), F.col("_all")[text]).otherwise(
-        redacted(F.col("_all")[text], F.col("_spans")))
-    return (packed.join(spans, "_number", "left")
+    some = materialise(with_hits(row, "_text").select("_number", "_hits")
+                       .filter(F.size("_hits") > 0), "secret_parts")
+    cuts = materialise(stretches(told_spans(some, "_number", scope), "_number"), "secret_cuts")
+    clean = F.when(F.col("_cuts").isNull(), F.col("_all")[text]).otherwise(
+        redacted(F.col("_all")[text], F.col("_cuts")))
+    return (packed.join(cuts, "_number", "left")
             .select(F.col("_all").withField(text, clean).alias("_all")).select("_all.*"))
 
 

@@ -95,3 +95,19 @@ def test_sql_says_the_same(spark, docs, tmp_path):
         texts = {r[0]: r[1] for r in con.execute("SELECT doc_id, text FROM documents").fetchall()}
         for r in rows:
             assert r.base_sha256 == hashlib.sha256(plain_base(texts[r.doc_id]).encode()).hexdigest()
+
+
+def test_work_is_linear_in_the_secrets_of_a_text(docs):
+    n = 50_000
+    text = "token=abcdef é " * n
+    (_, base, spans), = found(docs([text]))
+    assert base == spans == ",".join(f"assign:{i * 15}:{i * 15 + 12}" for i in range(n))
+    (row,) = secrets.redact(docs([text])).collect()
+    assert row.text == "[REMOVED] é " * n
+
+
+def test_redaction_joins_overlaps_and_keeps_long_stretches(docs):
+    between = "é\n" * 3000
+    text = f"token={'0f' * 20}{between}AKIA{'A1' * 10} pwd=\U0001F600 password=abcdefg"
+    (row,) = secrets.redact(docs([text])).collect()
+    assert row.text == f"[REMOVED]{between}[REMOVED] pwd=\U0001F600 [REMOVED]"
