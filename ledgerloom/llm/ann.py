@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.scale import materialise
-from .blocks import chunk_counts, groups
+from .blocks import chunk_counts, runs
 from .vectors import rows_of, usable
 
 K = 20
@@ -192,21 +192,27 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
         return cells.mapInArrow(work, f"query long, query_id {id_type}, vec_id {id_type}, score double")
 
     def work(batches):
-        held = None
-        for table in groups(batches, 3):
-            cell = (table["list"][0].as_py(), table["chunk"][0].as_py())
+        # A chunk's vectors come first and are held; queries pass by as they arrive.
+        cell, parts, held = None, [], None
+        for table in runs(batches, 3):
+            now = (table["list"][0].as_py(), table["chunk"][0].as_py())
+            if now != cell:
+                cell, parts, held = now, [], None
             if table["asks"][0].as_py() == 0:
-                x = rows_of(table["vector"])
-                held = cell, x, index.value.long(x), table["row"].to_numpy(), table["id"].combine_chunks()
+                parts.append(table)
                 continue
-            if held is None or held[0] != cell:
+            if parts:
+                chunk, parts = pa.Table.from_batches(parts), []
+                x, ids = rows_of(chunk["vector"]), chunk["id"].combine_chunks()
+                tie = np.argsort(np.argsort(ids.fill_null(2 ** 63 - 1).to_numpy(), kind="stable"))
+                held = x, index.value.long(x), chunk["row"].to_numpy(), ids, tie
+            if held is None:
                 continue  # a list without vectors
-            _, x, rotated, own, ids = held
-            tie = np.argsort(np.argsort(ids.fill_null(2 ** 63 - 1).to_numpy(), kind="stable"))
+            x, rotated, own, ids, tie = held
             for at in range(0, len(table), QUERY_BATCH):
                 part = table.slice(at, QUERY_BATCH)
                 q, me = rows_of(part["vector"]), part["row"].to_numpy()
-                known = part["known"].combine_chunks().fill_null(-np.inf).to_numpy()
+                known = part["known"].fill_null(-np.inf).to_numpy()
                 # One more than asked for: the query may be among them itself.
                 qi, xi = index.value.scan(index.value.asked(q), rotated, min(k + 1, len(x)), known)
                 score = np.einsum("ij,ij->i", q[qi], x[xi])
@@ -218,7 +224,7 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
                 keep = np.arange(len(qi)) - start[qi] < k
                 qi, xi, score = qi[keep], xi[keep], score[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(me[qi]), part["id"].combine_chunks().take(pa.array(qi)),
+                    [pa.array(me[qi]), part["id"].take(pa.array(qi)),
                      ids.take(pa.array(xi)), pa.array(score)],
                     names=["query", "query_id", "vec_id", "score"])
 

@@ -27,6 +27,21 @@ def pairs_of_chunks(df: DataFrame, keys: list[str], item: Column, rows: int) ->
     return cut.withColumn("_chunk", chunk).withColumn("_pair", F.explode(pairs))
 
 
+def runs(batches, keys: int):
+    """Slices of the batches with one value each of the first ``keys`` columns, as they arrive."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = None
+        for i in range(keys):
+            column = batch.column(i)
+            differs = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
+            change = differs if change is None else pc.or_(change, differs)
+        cuts = [0, *(x + 1 for x in pc.indices_nonzero(change).to_pylist()), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
 def groups(batches, keys: int):
     """Whole groups, as tables, from batches sorted by their first ``keys`` columns."""
     held: list[pa.RecordBatch] = []

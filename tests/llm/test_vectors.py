@@ -181,6 +181,28 @@ def test_groups_come_whole_from_any_batches():
         assert all(len(set(g["k"].to_pylist())) == 1 for g in got)
 
 
+def test_runs_pass_by_as_they_arrive():
+    batch = pa.RecordBatch.from_pydict({"a": [1, 1, 1, 2], "b": [0, 0, 1, 1], "c": [5, 6, 7, 8]})
+    got = [r["c"].to_pylist() for r in blocks.runs([batch, batch.slice(0, 0), batch.slice(3)], 2)]
+    assert got == [[5, 6], [7], [8], [8]]
+
+
+def test_queries_of_a_cell_in_many_batches(spark):
+    """Arrow batches smaller than a chunk and smaller than a cell's queries change nothing."""
+    df = spark.range(1, 1501).select(F.col("id").alias("vec_id"), F.transform(
+        F.sequence(F.lit(1), F.lit(8)), lambda j: F.sin(F.col("id") * j * 0.37)).alias("embedding"))
+
+    def found():
+        return sorted(map(tuple, ann.search(df, F.col("vec_id") % 2 == 0).collect()))
+
+    want = found()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)
+    try:
+        assert found() == want and len(want) == 750 * 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_labels_of_text_do_not_run_into_components(spark):
     rows = [(1, [2.0], "a,1.0"), (2, [1.0, 2.0], "a"), (3, [1.0, 2.0], "a"), (4, [1.0], "[1.0")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
