@@ -130,13 +130,15 @@ def salted_join(left, right, on, how="inner", spread_by="line_no") -> DataFrame:
     return salted.join(copied, [*on, "_salt"], how).drop("_salt")
 
 
-def running(df: DataFrame, group, order, name, **totals) -> DataFrame:
+def running(df: DataFrame, group, order, name, backward=(), **totals) -> DataFrame:
     """Running aggregates in a global order, without one task per group.
 
     ``totals`` maps an output column to ``(kind, column)``, kind one of sum, max, min
-    or count. The rows are range sorted over all tasks, each task's share is
-    aggregated by itself, and what earlier tasks hold is added; only one row per
-    group and task travels between them. ``order`` must end in a unique column.
+    or count; those named in ``backward`` run from the end of the group. The rows are
+    range sorted over all tasks, each task's share is aggregated by itself, and what
+    earlier (later) tasks hold is added; only one row per group and task travels
+    between them. ``order`` must end in a unique column; with ``backward`` it is names of
+    columns, all ascending.
     """
     ordered = materialise(
         df.orderBy(*[F.col(c) for c in group], *order)
@@ -145,16 +147,22 @@ def running(df: DataFrame, group, order, name, **totals) -> DataFrame:
     merge = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
     pieces = ordered.groupBy(*group, "_part").agg(
         *[step[kind](col).alias(f"_p_{out}") for out, (kind, col) in totals.items()])
-    before = (W.partitionBy(*group) if group else W.partitionBy(F.lit(0))) \
-        .orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+
+    def part(out):
+        return F.desc("_part") if out in backward else F.col("_part")
+
+    def row(out):
+        return [F.desc(c) for c in order] if out in backward else order
+
+    parts = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
     carried = pieces.select(*group, "_part", *[
-        merge[kind](f"_p_{out}").over(before).alias(f"_c_{out}")
+        merge[kind](f"_p_{out}").over(parts.orderBy(part(out)).rowsBetween(
+            W.unboundedPreceding, -1)).alias(f"_c_{out}")
         for out, (kind, _) in totals.items()])
-    inside = W.partitionBy(*group, "_part").orderBy(*order).rowsBetween(
-        W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy(*group, "_part").rowsBetween(W.unboundedPreceding, W.currentRow)
     local = ordered
     for out, (kind, col) in totals.items():
-        local = local.withColumn(f"_l_{out}", step[kind](col).over(inside))
+        local = local.withColumn(f"_l_{out}", step[kind](col).over(inside.orderBy(*row(out))))
     both = local.join(carried, [*group, "_part"], "left")
     for out, (kind, _) in totals.items():
         mine, earlier = F.col(f"_l_{out}"), F.col(f"_c_{out}")

@@ -53,6 +53,19 @@ def test_running_aggregates(spark):
     assert len(got) == 200
 
 
+def test_running_from_the_end(spark):
+    rows = [("a" if i % 3 else "b", (i * 7) % 101, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, n int, i int").repartition(7)
+    got = scale.running(df, ["g"], ["n", "i"], "t", backward=("high", "left"), low=("max", "i"),
+                        high=("min", "i"), left=("sum", "n")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        after = [x for x in rows if x[0] == r.g and x[1:] >= (r.n, r.i)]
+        upto = [x for x in rows if x[0] == r.g and x[1:] <= (r.n, r.i)]
+        assert r.low == max(x[2] for x in upto) and r.high == min(x[2] for x in after)
+        assert r.left == sum(x[1] for x in after)
+
+
 def test_running_over_everything(spark):
     df = spark.range(100).withColumn("one", F.lit(1))
     got = scale.running(df, [], [F.desc("id")], "t", place=("count", "one")).collect()
