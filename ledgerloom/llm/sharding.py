@@ -1,9 +1,11 @@
 """Shards of nearly equal bytes by sampled splitters, all in DataFrame expressions.
 
 Records are cut into ranges of a key. The splitters are quantiles of a sample of keys in
-which a record's chance grows with its size, so ranges hold nearly equal bytes. A key that
-fills a range by more than its share is subdivided by record. The exact bytes of the
-ranges are then summed up in key order and give every range its shard.
+which a record's chance grows with its size, so ranges hold nearly equal bytes. An
+overfull range is subdivided by key: each large key is a unit of its own, the others are
+dealt by their hash. Only a key larger than a twentieth of a shard is cut, record by
+record. The exact bytes of the units are then summed up in key order and give every unit
+its shard; whole large keys go first, the small units fill the room they leave.
 
 The rows of a range, not of a shard, are ranked together, and there are many ranges per
 shard: the work of the last step spreads however few the shards are.
@@ -25,6 +27,8 @@ from ..operators.scale import materialise
 SHARDS = 16
 RANGES_PER_SHARD = 64
 SAMPLE_PER_RANGE = 32
+# A key of at most this part of a shard's bytes stays whole.
+WHOLE = 20
 
 
 def _unit(column: Column) -> Column:
@@ -84,22 +88,46 @@ def assign(rows: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RANGES
     ranges = shards * ranges_per_shard
     bounds = splitters(rows, ranges, ranges * sample_per_range)
     ranged = rows.withColumn("range", range_of(F.col("key"), bounds))
-    sums = ranged.groupBy("range").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size").alias("n")).first()["n"] or 1
+    sums = materialise(ranged.groupBy("range").agg(F.sum("size").alias("bytes")), "range_sums")
+    total = sums.agg(F.sum("bytes").alias("n")).first()["n"] or 1
     share = total / ranges
-    # An overfull range is subdivided record by record; a range is one row here.
-    parts = sums.select("range", F.when(
-        F.col("bytes") > 2 * share, F.ceil(F.col("bytes") / share)).otherwise(1).cast("int")
-        .alias("parts"))
+    crowded = F.col("bytes") > 2 * share
+    # Large keys of overfull ranges, at most twice as many as ranges; cut if they must be.
+    keys = ranged.join(F.broadcast(sums.filter(crowded).select("range")), "range", "left_semi").groupBy(
+        "range", "key").agg(F.sum("size").alias("large")).filter(F.col("large") > share / 2)
+    pieces = F.when(F.col("large") * shards * WHOLE <= total, 1).otherwise(F.ceil(F.col("large") / share))
+    first = F.coalesce(F.sum("pieces").over(
+        W.orderBy("key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    large = materialise(keys.withColumn("pieces", pieces.cast("int")).withColumn("first", first), "large_keys")
+    rest = F.col("bytes") - F.coalesce("large", F.lit(0))
+    parts = sums.join(large.groupBy("range").agg(F.sum("large").alias("large")), "range", "left").select(
+        "range", F.when(crowded, F.greatest(F.ceil(rest / share), F.lit(1))).otherwise(1).alias("parts"))
+    # A unit is a range, a part of its keys, a large key or a piece of one.
     cut = (ranged.join(F.broadcast(parts), "range")  # at most ``ranges`` rows
-           .withColumn("sub", F.floor(_unit(F.xxhash64("tie", "row")) * F.col("parts")).cast("int"))
-           .drop("parts"))
-    filled = cut.groupBy("range", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    # At most three times ``ranges`` rows from here on.
+           .join(F.broadcast(large.select("key", "pieces", "first")), "key", "left")
+           .withColumn("sub", F.when(F.col("pieces").isNull(), F.floor(_unit(F.xxhash64("key")) * F.col("parts")))
+                       .otherwise(ranges + 1 + F.col("first") + F.floor(
+                           _unit(F.xxhash64("tie", "row")) * F.col("pieces"))).cast("int")))
+    filled = materialise(cut.groupBy("range", "sub").agg(
+        F.sum("size").alias("bytes"), F.count("*").alias("n"),
+        F.coalesce(F.max("pieces") == 1, F.lit(False)).alias("whole")), "units")
+    cut = cut.drop("parts", "pieces", "first")
+    # At most a few times ``ranges`` rows from here on.
     order = W.orderBy("range", "sub").rowsBetween(W.unboundedPreceding, -1)
     middle = F.coalesce(F.sum("bytes").over(order), F.lit(0)) + F.col("bytes") / 2
-    placed = filled.withColumn("shard", F.least(
-        F.floor(middle * shards / F.lit(total)), F.lit(shards - 1)).cast("int"))
+    whole = materialise(filled.withColumn("shard", F.least(
+        F.floor(middle * shards / F.lit(total)), F.lit(shards - 1)).cast("int")).filter("whole"), "whole_keys")
+    taken = {r["shard"]: r["n"] for r in whole.groupBy("shard").agg(F.sum("bytes").alias("n")).collect()}
+    room = [max(total / shards - taken.get(i, 0), 0) for i in range(shards)]
+    # Where the room of each shard but the last ends, as parts of all room.
+    ends = [sum(room[:i + 1]) / (sum(room) or 1) for i in range(shards - 1)]
+    small = filled.filter("not whole")
+    of_small = small.agg(F.sum("bytes").alias("n")).first()["n"] or 1
+    at = middle / F.lit(of_small)
+    small = small.withColumn("at", at).withColumn("shard", F.size(F.filter(
+        F.array(*map(F.lit, ends)) if ends else F.array().cast("array<double>"),
+        lambda end: end <= F.col("at")))).drop("at")
+    placed = small.unionByName(whole)
     offset = F.coalesce(F.sum("n").over(
         W.partitionBy("shard").orderBy("range", "sub").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = placed.select("range", "sub", "shard", offset.alias("offset"))
@@ -113,8 +141,8 @@ def by_text(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     """Documents to shards by the hash of their text, so that equal texts lie together.
 
     Returns ``key``, ``size`` (UTF-8 bytes and one), ``text_crc32``, ``text_md5``, ``range``,
-    ``shard`` and ``slot``. A group of equal texts is parted only if it is larger than two
-    ranges.
+    ``shard`` and ``slot``. A group of equal texts is parted only if it holds more than a
+    twentieth of a shard's bytes.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = materialise(df.select(

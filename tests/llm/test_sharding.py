@@ -38,6 +38,21 @@ def test_one_text_with_half_of_all_bytes_is_subdivided(spark):
     assert all(len(g) == 1 for text, g in groups.items() if text != b"copy " * 20)
 
 
+def test_pairs_beside_a_hot_text_stay_whole(spark):
+    """Only the hot text is cut, though its range holds others; so do groups up to a twentieth."""
+    hot, n = "copy " * 80, 20_000
+    texts = {i: hot for i in range(n)}
+    texts |= {n + i: f"pair {i // 2} " * 11 for i in range(2 * n)}
+    shard = sum(len(t) + 1 for t in texts.values()) / 16
+    middling = {f"group {g} " * 20: int(shard / 25 / (len(f"group {g} ") * 20)) for g in range(12)}
+    for text, copies in middling.items():
+        texts |= {len(texts) + i: text for i in range(copies)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    groups = checked(sharding.by_text(df).collect(), texts, 0.05)
+    assert len(groups[hot.encode()]) >= 4
+    assert all(len(g) == 1 for text, g in groups.items() if text != hot.encode())
+
+
 def test_repeated_ids_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "same")] * 400 + [(None, None)] * 5 + [(2, "")],
                                "doc_id long, text string").selectExpr(
