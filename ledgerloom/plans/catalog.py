@@ -862,6 +862,24 @@ def taught_against_untaught(spark, sf_dir):
                              for m in ("precision", "recall")})
 
 
+@query("stress_summary", f"""SELECT *, coalesce(level_no = min(level_no) FILTER (false_positives>0) OVER (),
+  FALSE) AS broke_here FROM (
+  SELECT level_no, count(*) AS runs, round(avg(p),6) AS precision, round(avg(r),6) AS recall,
+    round(avg(coalesce(mr,0)),6) AS match_rate, round(avg(coalesce(ne,0)),6) AS n_exceptions,
+    CAST(sum(coalesce(fp,0)) AS BIGINT) AS false_positives FROM (
+    SELECT close_id, CAST(floor(coalesce(tp+fn,0)*100.0::DOUBLE/(n_settlement+n_bank+n_ledger)) AS BIGINT)
+      AS level_no, fp, CAST(tp AS DOUBLE)/nullif(tp+fp,0) p, CAST(tp AS DOUBLE)/nullif(tp+fn,0) r
+    FROM counts LEFT JOIN (SELECT close_id, {SCORED} FROM pairs GROUP BY 1) USING (close_id))
+  LEFT JOIN (SELECT close_id, avg(CASE WHEN {CLEAN} THEN 1 ELSE 0 END) mr FROM matches GROUP BY 1)
+    USING (close_id)
+  LEFT JOIN (SELECT close_id, count(*) ne FROM exceptions GROUP BY 1) USING (close_id) GROUP BY 1)""",
+       extra=HITS)
+def stress_summary(spark, sf_dir):
+    """Accuracy by labelled defects per hundred records, and the level that first broke."""
+    level = F.floor(F.coalesce("support", F.lit(0)) * 100 / F.col("records"))
+    return scoring.stress_summary(_card(spark, sf_dir, True), level)
+
+
 @query("averages_by_year", f"""SELECT close_seq, count(*) AS runs, round(avg(mr),6) AS match_rate,
   round(avg(records),6) AS records, CAST(sum(ne) AS BIGINT) AS n_exceptions FROM (
   SELECT CAST(regexp_extract(close_id,'([0-9]+)$',1) AS INTEGER) close_seq,
@@ -1383,10 +1401,15 @@ def review_budget(spark, sf_dir):
     return risk.review_budget(_probe(spark, sf_dir))
 
 
-def _risk_model(spark, sf_dir, backend):
+def _risk_rows(spark, sf_dir):
+    """Batches to learn from, and those of every fourth merchant to report on."""
     rows = _dataset(spark, sf_dir)
     held = F.substring_index("close_id", "_", -1).cast("long") % 4 == 0
-    learn_on, report_on = rows.filter(~held), rows.filter(held)
+    return rows.filter(~held), rows.filter(held)
+
+
+def _risk_model(spark, sf_dir, backend):
+    learn_on, report_on = _risk_rows(spark, sf_dir)
     risk.refuse_overlap(learn_on, report_on)
     model = _once(spark, ("model", sf_dir, backend), lambda: risk.train(learn_on, backend))
     return model, report_on
@@ -1406,6 +1429,20 @@ def risk_model_boosted(spark, sf_dir):
     return risk.evaluate(model.predict(rows), model.base_rate)
 
 
+@query("risk_model_audit", """SELECT backend, count(*)::DOUBLE AS n, sum(label) AS positives,
+  round(avg(pow(base-label,2)),6) AS baseline, TRUE AS beats_base_rate, TRUE AS rising,
+  CASE WHEN backend='logistic' THEN TRUE END AS at_minimum, TRUE AS scores_agree,
+  CAST(0 AS BIGINT) AS shared_closes FROM (VALUES ('logistic'), ('gbt')) b(backend),
+  (SELECT label, avg(label) FILTER (k%4<>0) OVER () base, k FROM (
+    SELECT label, CAST(regexp_extract(close_id,'([0-9]+)$',1) AS BIGINT) k FROM feats))
+  WHERE k%4=0 GROUP BY 1""", extra=FEATS, learned=False)
+def risk_model_audit(spark, sf_dir):
+    """Both models scored again from their weights, trees and steps, on unseen closes."""
+    learn_on, report_on = _risk_rows(spark, sf_dir)
+    return union_all(risk.audit(_risk_model(spark, sf_dir, backend)[0], learn_on, report_on)
+                     for backend in ("logistic", "gbt"))
+
+
 @query("risk_ranking")
 def risk_ranking(spark, sf_dir):
     """Unseen batches by risk."""

@@ -155,6 +155,14 @@ def test_stress_summary(spark):
     assert {r.level_no: (r.precision, r.false_positives) for r in s.collect()} == {
         1: (0.75, 0), 2: (0.5, 3)}
     assert scoring.broke_at(s).first().level_no == 2
+    card = spark.createDataFrame([("a", 2, 1.0, 0), ("b", 2, None, None), ("c", 3, 0.5, 2), ("d", 4, 0.0, 1)],
+                                 "close_id string, hard int, precision double, fp long")
+    got = {r.level_no: (r.runs, r.precision, r.false_positives, r.broke_here)
+           for r in scoring.stress_summary(card, F.col("hard"), ["precision"]).collect()}
+    assert got == {2: (2, 1.0, 0, False), 3: (1, 0.5, 2, True), 4: (1, 0.0, 1, False)}
+    calm = scoring.stress_summary(card.filter("hard = 2"), F.col("hard"), ["precision"]).collect()
+    assert [r.broke_here for r in calm] == [False]
+    assert scoring.stress_summary(card.limit(0), F.col("hard"), ["precision"]).count() == 0
 
 
 def test_first_digit_screen(spark):
@@ -203,6 +211,39 @@ def test_risk_model_learns_and_calibrates(spark):
         risk.rank_close(model, df.filter("close_id = 'c12'"))
 
 
+@pytest.mark.parametrize("backend", ["logistic", "gbt"])
+def test_audit_holds_for_a_fitted_model_and_fails_for_a_spoiled_one(spark, backend, monkeypatch):
+    rows = [(f"c{n // 20 + 10}", f"b{n}", float((n * 7) % 10 + (n % 3) >= 7), float((n * 7) % 10),
+             *[float((n * k) % 5) for k in range(2, 16)], 1.0) for n in range(400)]
+    df = features(spark, rows)
+    learn_on, held = df.filter("close_id < 'c22'"), df.filter("close_id >= 'c22'")
+    model = risk.train(learn_on, backend)
+    a = risk.audit(model, learn_on, held).first()
+    assert a.scores_agree and a.rising and a.beats_base_rate and a.shared_closes == 0
+    assert a.at_minimum is (True if backend == "logistic" else None)
+    assert (a.n, a.positives) == (160, sum(r[2] for r in rows[240:]))
+    assert risk.audit(model, df, held).first().shared_closes == 8
+
+    # The calibrator against least squares by the best means over every stretch of steps.
+    pooled = model.scores(risk.split(learn_on)[1]).groupBy("score").agg(
+        F.avg("label").alias("y"), F.count("*").alias("w")).orderBy("score").collect()
+    mean = lambda a, b: (sum(p.y * p.w for p in pooled[a:b + 1])
+                         / sum(p.w for p in pooled[a:b + 1]))
+    n = len(pooled)
+    best = {p.score: max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1))
+            for i, p in enumerate(pooled)}
+    for r in model.predict(learn_on).select("score", "risk").distinct().collect():
+        if r.score in best:
+            assert r.risk == pytest.approx(best[r.score])
+
+    model.values = model.values[::-1]
+    assert not risk.audit(model, learn_on, held).first().rising
+    if backend == "logistic":
+        monkeypatch.setattr(risk, "plain_score", lambda model: F.lit(0.5))
+        spoiled = risk.audit(model, learn_on, held).first()
+        assert not spoiled.scores_agree and not spoiled.at_minimum
+
+
 def test_one_class_is_refused(spark):
     df = features(spark, [("c", f"b{n}", 0.0, *[1.0] * 16) for n in range(20)])
     model = risk.train(df)
