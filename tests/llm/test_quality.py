@@ -50,6 +50,63 @@ def test_flat_walk_equals_a_plain_walk():
     assert np.mean((score >= 0.5) == y) > 0.95
 
 
+def gain(grad, hess, *parts):
+    return sum(grad[p].sum() ** 2 / (hess[p].sum() + quality.RIDGE) for p in parts)
+
+
+def best_gain(x, rows, grad, hess, least):
+    """The largest gain of a cut between two values, all cuts of all columns tried."""
+    best = 0.0
+    for f in range(x.shape[1]):
+        for at in np.unique(x[rows, f])[:-1]:
+            left, right = rows[x[rows, f] <= at], rows[x[rows, f] > at]
+            if min(len(left), len(right)) >= least:
+                best = max(best, gain(grad, hess, left, right) - gain(grad, hess, rows))
+    return best
+
+
+def follow(trees, t, x, rows, grad, hess, least, margin, node=0, depth=0):
+    """Every split of tree ``t`` is the best one by exact search, every leaf its Newton step."""
+    if depth == quality.DEPTH:
+        if len(rows):
+            step = -quality.RATE * grad[rows].sum() / (hess[rows].sum() + quality.RIDGE)
+            assert abs(trees.value[t, node] - step) < 1e-9
+            margin[rows] += step
+        return 0
+    f, at = trees.feature[t, node], trees.threshold[t, node]
+    left, right = rows[x[rows, f] <= at], rows[x[rows, f] > at]
+    best = best_gain(x, rows, grad, hess, least)
+    if np.isinf(at):
+        assert best < 1e-8
+    else:
+        assert min(len(left), len(right)) >= least
+        assert abs(gain(grad, hess, left, right) - gain(grad, hess, rows) - best) < 1e-8
+    return int(np.isfinite(at)) + sum(
+        follow(trees, t, x, side, grad, hess, least, margin, 2 * node + i, depth + 1)
+        for i, side in ((1, left), (2, right)))
+
+
+def test_histogram_fit_equals_an_exact_split_search():
+    """With fewer values than bins every cut lies on an edge, so each split is the best there is.
+
+    Equal gains may be broken either way, so the search follows the fitted trees.
+    """
+    for seed in range(5):
+        random = np.random.default_rng(seed)
+        n = quality.BINS - 14  # an edge lies in every gap between two values
+        x = random.normal(size=(n, 6))
+        y = ((x[:, 0] + 0.3 * random.normal(size=n) > 0) ^ (x[:, 3] > 0.7)).astype(float)
+        x[:, 5] = random.integers(0, 4, n)
+        trees = quality.fit(x, y, 6)
+        margin, splits = np.full(n, trees.base), 0
+        for t in range(6):
+            p = 1 / (1 + np.exp(-margin))
+            splits += follow(trees, t, x, np.arange(n), p - y, np.maximum(p * (1 - p), 1e-6),
+                             max(2, min(quality.LEAST_ROWS, n // 50)), margin)
+        assert splits > 20
+        assert np.allclose(trees.score(x), 1 / (1 + np.exp(-margin)), atol=1e-9)
+
+
 def test_nulls_empty_long_repeated_and_odd_labels(spark, docs):
     texts = [None, "", "a fine text about things", "a fine text about things", "### *** " * 20_000]
     df = docs(texts, ids=[1, 2, 3, 3, None]).selectExpr("*", "1 AS score", "2 AS held_out", "3 AS _x")
